@@ -20,8 +20,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(normalized(text), " "), lambda w: w != "")
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def paragraphs(text: Column) -> Column:
-    return F.split(F.trim(text), r"\n\s*\n")
+    """Non-empty pieces between blank lines."""
+    return F.filter(F.split(strip(text), r"\n\s*\n"), lambda p: strip(p) != "")
 
 
 def is_chapter_header(paragraph: Column) -> Column:
@@ -30,7 +35,7 @@ def is_chapter_header(paragraph: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces after ``. ! ?`` and blanks."""
-    return F.split(F.regexp_replace(F.trim(text), r"([.!?])\s+", "$1\u0001"), "\u0001")
+    return F.split(F.regexp_replace(strip(text), r"([.!?])\s+", "$1\u0001"), "\u0001")
 
 
 def strip_tags(html: Column) -> Column:
@@ -39,12 +44,21 @@ def strip_tags(html: Column) -> Column:
 
 
 def phrase_positions(text: Column, phrase: Column) -> Column:
-    """All 1-based starts of a phrase, overlapping ones included."""
-    last = F.length(text) - F.length(phrase) + 1
-    starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+    """All 1-based starts of a phrase, overlapping ones included.
+
+    The text is cut in front of every occurrence (a zero-width look-ahead), and the starts are
+    the running lengths of the pieces: one pass over the text.
+    """
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(
+        F.split(text, quoted), start,
+        lambda acc, piece: F.struct((acc["at"] + F.length(piece)).alias("at"),
+                                    F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+        lambda acc: acc["starts"])
     return F.when(
         F.contains(text, phrase) & (F.length(phrase) > 0),
-        F.filter(starts, lambda i: F.substring(text, i, F.length(phrase)) == phrase),
+        F.filter(starts, lambda i: (i > 1) | F.startswith(text, phrase)),
     ).otherwise(F.array().cast("array<int>"))
 
 

@@ -368,10 +368,16 @@ def approximate_search(corpus: DataFrame, probes: DataFrame, dims: int, k: int =
                        width: int = 4, threshold: float = 0.0) -> DataFrame:
     """Candidates share at least one band of ``width`` trits, then are scored exactly.
 
-    Band keys are shuffled without vectors; a bucket is joined with probes only, never with
-    itself, and vectors join back per distinct candidate pair.
+    Of documents with one and the same vector only the first k by id can be in a top k, so the
+    rest are dropped before anything is paired (exact, and a mass of copies cannot fill a
+    bucket).  Band keys are shuffled without vectors; a bucket is joined with probes only,
+    never with itself, and vectors join back per distinct candidate pair.  Choose ``width`` so
+    that ``3**width`` is well above the number of documents a probe may be compared with.
     """
     from ternweave.operators.algebra import dot
+    copies = Window.partitionBy("vec").orderBy("doc_id")
+    corpus = (corpus.select("doc_id", "vec", F.row_number().over(copies).alias("_n"))
+              .where(F.col("_n") <= k).drop("_n"))
     left = corpus.select("doc_id", F.explode(band_keys(F.col("vec"), dims, bands, width)).alias("b"))
     right = probes.select("query_id", F.explode(band_keys(F.col("vec"), dims, bands, width)).alias("b"))
     pairs = left.join(right, "b").select("query_id", "doc_id").distinct()

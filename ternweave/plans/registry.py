@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ternweave.plans import search, vectors  # noqa: F401
+from ternweave.plans import corpus, search, vectors  # noqa: F401
 from ternweave.plans.common import ORACLES, QUERIES
 
 
