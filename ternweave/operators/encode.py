@@ -125,10 +125,9 @@ def idf_table(units: DataFrame, doc_id: str, words: str, n: int) -> DataFrame:
     two-step aggregate, so a gram that occurs everywhere only costs one row per map task.
     """
     grams = units.select(doc_id, F.explode(ngrams(F.col(words), n)).alias("gram")).distinct()
-    total = units.select(F.countDistinct(doc_id).alias("total"))
+    total = units.agg(F.countDistinct(doc_id)).scalar()
     return (grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-            .crossJoin(F.broadcast(total))
-            .select("gram", "df", F.log(F.col("total") / F.col("df")).alias("idf")))
+            .select("gram", "df", F.log(total / F.col("df")).alias("idf")))
 
 
 def encode_idf_ngrams(units: DataFrame, unit_id: str, words: str, dims: int = DEFAULT_DIMS,

@@ -298,6 +298,9 @@ def search_table(corpus: DataFrame, probes: DataFrame, dims: int, k: int = 10, t
         scored = _scan(corpus, [], probes.schema["query_id"].dataType, [r["query_id"] for r in head], matrix,
                        [ask] * len(head), [floor] * len(head), [0] * len(head), dims, metric)
     else:
+        few = corpus.select("doc_id", "vec").limit(limit + 1).collect() if cells is None else None
+        if few and len(few) <= limit:
+            return _scan_probes(few, corpus.schema["doc_id"].dataType, probes, dims, k, floor, metric, exclude_self)
         if cells is None:
             sizes = [df.count() * width for df in (corpus, probes)]
             cells = tuple(max(1, math.ceil(s / CELL_BYTES)) for s in sizes)
@@ -307,6 +310,41 @@ def search_table(corpus: DataFrame, probes: DataFrame, dims: int, k: int = 10, t
     return _rank(scored, F.lit(k))
 
 
+def _scan_probes(docs, doc_type, probes, dims, k, floor, metric, exclude_self) -> DataFrame:
+    """Many probes against a small corpus: the corpus is broadcast and every probe row is ranked
+    where it lies, without a shuffle."""
+    binary = isinstance(probes.schema["vec"].dataType, T.BinaryType)
+    docs = sorted(docs, key=lambda r: r["doc_id"])
+    matrix = np.stack([np.frombuffer(r["vec"], np.int8) if binary else np.asarray(r["vec"], np.float64) for r in docs])
+    shared = probes.sparkSession.sparkContext.broadcast(([r["doc_id"] for r in docs], matrix))
+    query_type = probes.schema["query_id"].dataType
+    a_doc, a_query = _arrow(doc_type), _arrow(query_type)
+
+    def run(batches):
+        names, known = shared.value
+        take = min(len(names), k + 1 if exclude_self else k)
+        step = max(1, min(K.rows_per_block(dims), K.BLOCK_BYTES // (8 * len(names))))
+        for whole in batches:
+            for s in range(0, whole.num_rows, step):
+                b = whole.slice(s, step)
+                scores = K.score_block(metric, _vectors(b.column("vec"), dims), known)
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :take]
+                rows, ranks = np.divmod(np.arange(order.size), take)
+                best = scores[rows, order.ravel()]
+                keep = best >= floor
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("query_id").take(pa.array(rows[keep])),
+                     pa.array([names[j] for j in order.ravel()[keep]], a_doc),
+                     pa.array(best[keep], pa.float64()), pa.array((ranks[keep] + 1).astype(np.int32))],
+                    names=["query_id", "doc_id", "score", "rank"])
+
+    schema = T.StructType([*_result_schema(query_type, doc_type), T.StructField("rank", T.IntegerType())])
+    out = probes.select("query_id", "vec").mapInArrow(run, schema)
+    if exclude_self:
+        out = _rank(out.where(F.col("query_id") != F.col("doc_id")).drop("rank"), F.lit(k))
+    return out
+
+
 def _grid(corpus, probes, dims, k, floor, metric, cells) -> DataFrame:
     """Every (corpus slice, probe slice) cell is one cogroup of bounded size."""
     rows, cols = cells
