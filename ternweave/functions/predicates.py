@@ -6,6 +6,7 @@ scan; on a VARIANT document column it becomes path lookups.
 
 from __future__ import annotations
 
+import datetime
 import json
 from functools import reduce
 
@@ -48,6 +49,17 @@ def _true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _literal(value, dtype: T.DataType) -> Column:
+    """Literal of the column's own type, so the comparison reaches the scan without a cast."""
+    if isinstance(dtype, T.TimestampNTZType) and isinstance(value, datetime.datetime):
+        return F.to_timestamp_ntz(F.lit(value.isoformat(sep=" ")))
+    if isinstance(dtype, T.NumericType) and isinstance(value, (int, float)) and not isinstance(value, bool):
+        exact = not isinstance(dtype, T.IntegralType) or float(value).is_integer()
+        if exact and not isinstance(dtype, T.DecimalType):
+            return F.lit(value).cast(dtype)
+    return F.lit(value)
+
+
 class _Typed:
     """Values of a DataFrame's typed columns."""
 
@@ -84,7 +96,7 @@ class _Typed:
             return F.lit(False)
         if value is None:
             return node[0].isNull()
-        return _true(node[0] == F.lit(value))
+        return _true(node[0] == _literal(value, node[1]))
 
     def isin(self, node, values):
         return _any([self.eq(node, v) for v in values])
@@ -98,7 +110,7 @@ class _Typed:
         return _true(_all(parts))
 
     def compare(self, node, op, value):
-        return _true(RANGE_OPS[op](node[0], F.lit(value)))
+        return _true(RANGE_OPS[op](node[0], _literal(value, node[1])))
 
     def contains(self, node, value):
         if self.is_list(node):

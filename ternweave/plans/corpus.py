@@ -82,7 +82,7 @@ def _vec_sql(items, book, name):
     """Default n-gram vectors of ``items(id, a, i, n)`` through distinct grams."""
     return f"""
 {name}_pr AS (SELECT *, lead(a) OVER (PARTITION BY id ORDER BY i) AS a1 FROM {items}),
-{name}_g AS (SELECT a, NULL AS a1, id FROM {items} UNION ALL SELECT a, a1, id FROM {name}_pr WHERE a1 IS NOT NULL),
+{name}_g AS (SELECT a, CAST(NULL AS VARCHAR) AS a1, id FROM {items} UNION ALL SELECT a, a1, id FROM {name}_pr WHERE a1 IS NOT NULL),
 {name}_p AS (SELECT p.a, p.a1, c.d, c.x * coalesce(e.x, 1) AS x FROM (SELECT DISTINCT a, a1 FROM {name}_g) p
   JOIN {book} c ON c.a = p.a LEFT JOIN {book} e ON e.a = p.a1 AND e.d = c.d),
 {name} AS (SELECT id, d, CAST(sign(sum(x)) AS INT) AS x FROM {name}_g g JOIN {name}_p p

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ternweave.plans import corpus, graphs, measures, numbers, search, vectors  # noqa: F401
+from ternweave.plans import corpus, graphs, jobs, measures, numbers, search, stores, streams, vectors  # noqa: F401
 from ternweave.plans.common import ORACLES, QUERIES
 
 
