@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 from ternweave.functions.codebook import SET_ATOM, atom_matrix, atom_text, atom_vector, position_atom
-from ternweave.functions.kernels import rows_per_block, sign
+from ternweave.functions.kernels import rows_per_block, segment_starts, segment_sums, sign
 
 SCALE = 1_000_000
 
@@ -138,8 +138,9 @@ def reduce_lists(fetch: Callable[[int, int], np.ndarray], offsets: np.ndarray, d
         for s in range(first, last, step):
             e = min(s + step, last)
             own = owner[s - first:e - first]
-            cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            acc[own[cut]] *= np.multiply.reduceat(fetch(s, e), cut, axis=0)
+            items, cut = fetch(s, e), segment_starts(own)
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), e - s]):
+                acc[own[a]] *= np.multiply.reduce(items[a:b], axis=0)
         return acc
 
     if mode == "positional":
@@ -153,10 +154,8 @@ def reduce_lists(fetch: Callable[[int, int], np.ndarray], offsets: np.ndarray, d
     def add(rows, own, weights):
         if not len(own):
             return
-        cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        if not plain:
-            rows = rows * weights[:, None]
-        acc[own[cut]] += np.add.reduceat(rows, cut, axis=0, dtype=acc.dtype)
+        cut = segment_starts(own)
+        acc[own[cut]] += segment_sums(rows, cut, None if plain else weights)
 
     for s in range(first, last, step):
         e = min(s + step, last)
@@ -177,9 +176,10 @@ def reduce_lists(fetch: Callable[[int, int], np.ndarray], offsets: np.ndarray, d
                 ok &= (pos == 0) & (np.minimum(length, 3) == n)
             idx = np.flatnonzero(ok)
             if len(idx):
-                rows = items[idx]
+                whole = len(idx) == len(ok)
+                rows = items[:len(ok)] if whole else items[idx]
                 for k in range(1, n):
-                    rows = rows * items[idx + k]
+                    rows = rows * (items[k:k + len(ok)] if whole else items[idx + k])
                 w = None
                 if not plain:
                     w = int_weight(_pattern_weights(n, base, pos[idx], length[idx], before[idx] + pos[idx],
@@ -272,6 +272,12 @@ def encode_value(value, dims: int, mode: str = "positional", config: dict | None
     if isinstance(value, list):
         if not value:
             return np.zeros(dims, np.int8)
+        if mode in ("bundle", "positional") and len(value) <= rows_per_block(dims):
+            acc = np.zeros(dims, np.int32)
+            for i, v in enumerate(value):
+                item = encode_value(v, dims)
+                acc += item * atom_vector(position_atom(i), dims) if mode == "positional" else item
+            return sign(acc)
         return reduce_lists(lambda s, e: np.stack([encode_value(v, dims) for v in value[s:e]]),
                             np.array([0, len(value)]), dims, mode, config)[0]
     return atom_vector(atom_text(value), dims)

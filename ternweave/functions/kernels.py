@@ -16,6 +16,31 @@ def sign(x: np.ndarray) -> np.ndarray:
     return np.sign(x).astype(np.int8)
 
 
+def segment_starts(owner: np.ndarray) -> np.ndarray:
+    """First row of every run of equal owners."""
+    return np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+
+
+def segment_sums(rows: np.ndarray, starts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Exact (weighted) sums of runs of small-integer rows.
+
+    A contiguous slice sum is far faster than ``reduceat`` along the first axis.  Weighted sums
+    go through float64, which is exact below 2**53.
+    """
+    ends = np.r_[starts[1:], len(rows)]
+    if weights is not None:
+        out = np.empty((len(starts), rows.shape[1]), np.int64)
+        w = weights.astype(np.float64)
+        for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+            out[i] = w[a:b] @ rows[a:b].astype(np.float64)
+        return out
+    narrow = rows.dtype == np.int8 and (ends - starts).max(initial=0) < (1 << 15)
+    out = np.empty((len(starts), rows.shape[1]), np.int16 if narrow else np.int64)
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+        rows[a:b].sum(axis=0, dtype=out.dtype, out=out[i])
+    return out
+
+
 def to_matrix(col, dims: int) -> np.ndarray:
     """``BINARY`` column (one byte per dimension) to int8[n, dims]; nulls become zero vectors."""
     if isinstance(col, pa.ChunkedArray):

@@ -170,8 +170,8 @@ class _Variant:
         return self.list_test(node) & _true(_all(parts))
 
     def compare(self, node, op, value):
-        kind = "string" if isinstance(value, str) else "double"
-        return _true(RANGE_OPS[op](self._get(node, kind), F.lit(value)))
+        kind, shape = ("string", '^"') if isinstance(value, str) else ("double", "^-?[0-9]")
+        return _true(RANGE_OPS[op](self._get(node, kind), F.lit(value)) & self.text(node).rlike(shape))
 
     def contains(self, node, value):
         items = F.from_json(self.text(node), "array<string>")

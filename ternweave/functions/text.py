@@ -17,11 +17,16 @@ def normalized(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(normalized(text), " "), lambda w: w != "")
+    """Words of the normalised text, found in one pass over it."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+
+
+def has_word(text: Column) -> Column:
+    return text.rlike(r"[\p{L}\p{N}_]")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def paragraphs(text: Column) -> Column:

@@ -131,11 +131,10 @@ def _partial_sums(df: DataFrame, keys: list[str], vec: str, dims: int, weight: s
                 if not len(codes):
                     continue
                 order = np.argsort(codes, kind="stable")
-                cut = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+                cut = K.segment_starts(codes[order])
                 rows = prepare(K.to_matrix(batch.column("vec"), dims)[order])
-                if weight:
-                    rows = rows * batch.column("weight").to_numpy(zero_copy_only=False).astype(np.int64)[order, None]
-                sums = np.add.reduceat(rows, cut, axis=0, dtype=np.int64)
+                weights = batch.column("weight").to_numpy(zero_copy_only=False)[order] if weight else None
+                sums = K.segment_sums(rows, cut, weights).astype(np.int64)
                 lead = pa.array(np.repeat(order[cut], blocks))
                 columns = [batch.column(k).take(lead) for k in keys]
                 columns.append(pa.array(np.tile(np.arange(blocks, dtype=np.int32), len(cut))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternweave.functions import text as X
+from ternweave.functions.rows import explode_into
 from ternweave.operators import search as S
 from ternweave.operators.encode import encode_ngrams
 
@@ -27,20 +28,18 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         chapter = F.size(above) + 1
         paragraph = i + 1 - F.coalesce(F.array_max(above), F.lit(0))
         return F.transform(X.sentences(p), lambda s, j: F.struct(
-            chapter.alias("chapter"), paragraph.alias("paragraph"), j.alias("sentence_index"), s.alias("sentence"),
-            X.words(s).alias("words")))
+            chapter.alias("chapter"), paragraph.alias("paragraph"), j.alias("sentence_index"), s.alias("sentence")))
 
     body = F.flatten(F.transform("paras", lambda p, i: F.when(
         X.is_chapter_header(p), F.array().cast(_UNIT_TYPE)).otherwise(paragraph_units(p, i))))
-    kept = F.filter(body, lambda u: (F.length(X.strip(u["sentence"])) >= X.MIN_SENTENCE) & (F.size(u["words"]) > 0))
-    return (staged.select(doc_id, F.posexplode(kept).alias("unit", "u"))
+    kept = F.filter(body, lambda u: (F.length(X.strip(u["sentence"])) >= X.MIN_SENTENCE) & X.has_word(u["sentence"]))
+    return (explode_into(staged, kept, "u", doc_id, position="unit")
             .select(doc_id, "unit", "u.chapter", "u.paragraph",
                     (F.floor(F.col("unit") / X.PAGE_UNITS) + 1).cast("int").alias("page"),
-                    "u.sentence_index", "u.sentence", "u.words"))
+                    "u.sentence_index", "u.sentence", X.words(F.col("u.sentence")).alias("words")))
 
 
-_UNIT_TYPE = ("array<struct<chapter:int,paragraph:int,sentence_index:int,sentence:string,"
-              "words:array<string>>>")
+_UNIT_TYPE = "array<struct<chapter:int,paragraph:int,sentence_index:int,sentence:string>>"
 
 
 def unit_vectors(unit_table: DataFrame, dims: int, doc_id: str = "doc_id", **config) -> DataFrame:
@@ -92,24 +91,25 @@ def locate_phrases(docs: DataFrame, phrases: DataFrame, margin: int = 100) -> Da
     split = text.select("doc_id", F.split("text", " ").alias("words"))
     grams = None
     for n in (1, 2, 3):
-        part = split.select("doc_id", F.lit(n).alias("n"), F.explode(_grams(F.col("words"), n)).alias("gram"))
+        part = explode_into(split, _grams(F.col("words"), n), "gram", "doc_id", F.lit(n).alias("n"))
         grams = part if grams is None else grams.unionByName(part)
     long_hits = grams.join(keys.where("n > 0"), ["n", "gram"]).select("query_id", "doc_id")
 
     brief = wanted.where("n = 0").select("query_id", "pw")
-    vocabulary = split.select("doc_id", F.explode(F.array_distinct("words")).alias("word"))
+    vocabulary = explode_into(split, F.array_distinct("words"), "word", "doc_id")
     lone = brief.where("size(pw) = 1").select("query_id", F.element_at("pw", 1).alias("part"))
     lone_keys = lone.select("query_id", F.substring("part", 1, 3).alias("piece"))
     tails = brief.where("size(pw) = 2").select("query_id", F.element_at("pw", 1).alias("part"))
     tail_keys = tails.select("query_id", F.expr("right(part, 3)").alias("piece"))
-    word_pieces = vocabulary.select("word").distinct().select("word", F.explode(F.concat(
-        *[_pieces(F.col("word"), n) for n in (1, 2, 3)])).alias("piece"))
+    word_pieces = explode_into(vocabulary.select("word").distinct(), F.concat(
+        *[_pieces(F.col("word"), n) for n in (1, 2, 3)]), "piece", "word")
     short_hits = (word_pieces.join(lone_keys.union(tail_keys), "piece").select("query_id", "word").distinct()
                   .join(vocabulary, "word").select("query_id", "doc_id"))
 
     pairs = long_hits.union(short_hits).distinct()
-    found = (pairs.join(wanted.select("query_id", "phrase"), "query_id").join(text, "doc_id")
-             .withColumn("position", F.explode(X.phrase_positions(F.col("text"), F.col("phrase")))))
+    found = explode_into(pairs.join(wanted.select("query_id", "phrase"), "query_id").join(text, "doc_id"),
+                         X.phrase_positions(F.col("text"), F.col("phrase")), "position",
+                         "query_id", "doc_id", "phrase", "text")
     return found.select("query_id", "doc_id", "position",
                         X.context(F.col("text"), F.col("position"), F.length("phrase"), margin).alias("context"))
 
@@ -128,20 +128,23 @@ def best_sentences(hits: DataFrame, unit_table: DataFrame, phrases: DataFrame) -
 def overlap_matches(unit_table: DataFrame, phrases: DataFrame, min_overlap: float = 0.5) -> DataFrame:
     """Units sharing at least ``min_overlap`` of a phrase's distinct words: (query_id, unit_id, overlap).
 
-    A unit with that overlap must hold one of the phrase's ``m - ceil(min_overlap * m) + 1`` rarest
-    words, so only those are joined (an exact prefix filter): frequent words never become join keys
-    unless a phrase has nothing rarer.
+    A unit with that overlap must hold ``need = ceil(min_overlap * m)`` of the phrase's m words, hence
+    as many distinct words of its own and one of the phrase's ``m - need + 1`` rarest.  Only those
+    are joined (an exact prefix and length filter): frequent words become join keys only where a
+    phrase has nothing rarer.
     """
     u = unit_table.select(F.concat_ws("-", "doc_id", "unit").alias("unit_id"), F.array_distinct("words").alias("ws"))
-    tokens = u.select("unit_id", F.explode("ws").alias("w"))
+    tokens = explode_into(u, F.col("ws"), "w", "unit_id", F.size("ws").alias("size"))
     q = phrases.select("query_id", F.array_distinct("words").alias("qs")).where(F.size("qs") > 0)
-    df = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    q = q.withColumn("need", F.ceil(F.lit(min_overlap) * F.size("qs") - 1e-9).cast("int"))
+    each = q.select("query_id", "need", F.size("qs").alias("m"), F.explode("qs").alias("w"))
+    df = (tokens.select("w").join(each.select("w").distinct(), "w", "left_semi")
+          .groupBy("w").agg(F.count(F.lit(1)).alias("df")))
     rare = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "w")
-    prefix = (q.select("query_id", F.size("qs").alias("m"), F.explode("qs").alias("w")).join(df, "w", "left")
-              .withColumn("r", F.row_number().over(rare))
-              .where(F.col("r") <= F.col("m") - F.ceil(F.lit(min_overlap) * F.col("m")) + 1)
-              .select("query_id", "w"))
-    pairs = tokens.join(prefix, "w").select("query_id", "unit_id").distinct()
+    prefix = (each.join(df, "w", "left").withColumn("r", F.row_number().over(rare))
+              .where(F.col("r") <= F.col("m") - F.col("need") + 1).select("query_id", "need", "w"))
+    pairs = (tokens.join(prefix, "w").where(F.col("size") >= F.col("need"))
+             .select("query_id", "unit_id").distinct())
     return (pairs.join(u, "unit_id").join(q, "query_id")
             .select("query_id", "unit_id", X.token_overlap(F.col("qs"), F.col("ws")).alias("overlap"))
             .where(F.col("overlap") >= min_overlap))

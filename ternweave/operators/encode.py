@@ -17,6 +17,7 @@ from pyspark.sql.functions import arrow_udf
 from ternweave.functions import encoding as E
 from ternweave.functions.codebook import check_dims
 from ternweave.functions.kernels import rows_per_block, to_binary
+from ternweave.functions.rows import explode_into
 
 DEFAULT_DIMS = 1024
 
@@ -124,7 +125,7 @@ def idf_table(units: DataFrame, doc_id: str, words: str, n: int) -> DataFrame:
     Word lists are cut to distinct grams per unit before the shuffle, and the count is a
     two-step aggregate, so a gram that occurs everywhere only costs one row per map task.
     """
-    grams = units.select(doc_id, F.explode(ngrams(F.col(words), n)).alias("gram")).distinct()
+    grams = explode_into(units, ngrams(F.col(words), n), "gram", doc_id).distinct()
     total = units.agg(F.countDistinct(doc_id)).scalar()
     return (grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
             .select("gram", "df", F.log(total / F.col("df")).alias("idf")))
@@ -138,7 +139,7 @@ def encode_idf_ngrams(units: DataFrame, unit_id: str, words: str, dims: int = DE
     """
     scale = F.lit(E.SCALE)
     idf = idf_table(units, unit_id, words, n)
-    weighted = (units.select(unit_id, F.explode(ngrams(F.col(words), n)).alias("gram"))
+    weighted = (explode_into(units, ngrams(F.col(words), n), "gram", unit_id)
                 .groupBy(unit_id, "gram").agg(F.count(F.lit(1)).alias("times"))
                 .join(idf, "gram")
                 .select(unit_id, "gram", (F.col("times") * F.floor(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ternweave.functions import text as X
+from ternweave.functions.session import checkpoint_dir
 from ternweave.operators import corpus as C
 from ternweave.operators.encode import encode_ngrams
 from ternweave.plans.common import HEX, codebook_sql, hex_text, query, table, words_sql
@@ -73,6 +74,12 @@ def encode_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", hex_text(encode_ngrams(seg, D)).alias("vec"))
 
 
+def stored_units(spark, sf):
+    """Units checkpointed once, for jobs that read them several times."""
+    checkpoint_dir(spark)
+    return C.units(table(spark, sf, "documents")).select("doc_id", "unit", "words").checkpoint()
+
+
 def phrases(spark, sf):
     b = table(spark, sf, "benchmark")
     return b.select(F.col("item_id").alias("query_id"), X.words(F.col("text")).alias("words"))
@@ -147,7 +154,7 @@ SELECT query_id, doc_id, unit_id, round(overlap, 6) AS overlap FROM
  (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY overlap DESC, unit_id) AS n FROM o) WHERE n = 1""")
 def phrase_best_sentence(spark, sf):
     """Best sentence per passage and document by word overlap."""
-    u, q = C.units(table(spark, sf, "documents")), phrases(spark, sf)
+    u, q = stored_units(spark, sf), phrases(spark, sf)
     return C.best_sentences(C.phrase_search(u, q, D), u, q).withColumn("overlap", F.round("overlap", 6))
 
 
@@ -162,7 +169,7 @@ ov AS (SELECT query_id, unit_id, count(*) / CAST(any_value(m) AS DOUBLE) AS over
 @query(f"WITH {UNITS}, {_OVERLAP} SELECT query_id, unit_id, round(overlap, 6) AS overlap FROM ov")
 def overlap_matches(spark, sf):
     """Sentences holding at least 30 % of a passage's distinct words."""
-    return C.overlap_matches(C.units(table(spark, sf, "documents")), phrases(spark, sf), 0.3).withColumn(
+    return C.overlap_matches(stored_units(spark, sf), phrases(spark, sf), 0.3).withColumn(
         "overlap", F.round("overlap", 6))
 
 
@@ -174,7 +181,7 @@ SELECT query_id, unit_id, source, round(score, 6) AS score, CAST(rank AS INT) AS
  (PARTITION BY query_id ORDER BY source, score DESC, unit_id) AS rank FROM al) WHERE rank <= 5""")
 def hybrid_search(spark, sf):
     """Vector hits filled up with word-overlap hits."""
-    return C.hybrid_search(C.units(table(spark, sf, "documents")), phrases(spark, sf), D, 5, 0.3, 0.3).withColumn(
+    return C.hybrid_search(stored_units(spark, sf), phrases(spark, sf), D, 5, 0.3, 0.3).withColumn(
         "score", F.round("score", 6))
 
 

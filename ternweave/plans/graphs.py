@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ternweave.functions.session import checkpoint_dir
 from ternweave.operators import graphs as G
 from ternweave.operators import scoring
 from ternweave.operators import search as S
@@ -45,9 +46,10 @@ ft AS (SELECT graph_id, type AS graph_type, n AS num_nodes, m AS num_edges,
   role_hub, role_high, role_medium, role_leaf FROM fa JOIN fe USING (graph_id) JOIN gr USING (graph_id))"""
 
 
-def trade(spark, sf):
+def trade(spark, sf, reuse=False):
     """(nodes, edges, graphs).  Lines are reduced to distinct nation pairs per day before
-    anything else is derived."""
+    anything else is derived; with ``reuse`` the edges are checkpointed, for jobs that read
+    them many times."""
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
@@ -56,6 +58,9 @@ def trade(spark, sf):
              .select(day.alias("graph_id"), F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("src"),
                      F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("dst"),
                      F.lit("ships").alias("label")).distinct())
+    if reuse:
+        checkpoint_dir(spark)
+        edges = edges.checkpoint()
     nodes = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     odd = F.substring("graph_id", 10, 1).cast("int") % 2
     graphs = edges.select("graph_id").distinct().withColumn(
@@ -80,7 +85,7 @@ def graph_roles(spark, sf):
 @query(f"WITH {GRAPH} SELECT graph_id, src, dst, signature FROM sg")
 def graph_edge_signatures(spark, sf):
     """Role signature of every edge."""
-    return G.edge_signatures(*trade(spark, sf))
+    return G.edge_signatures(*trade(spark, sf, reuse=True))
 
 
 @query(f"WITH {GRAPH} SELECT graph_id, 'dist_' || role || '_' || format('{{:.2f}}', ratio) AS atom FROM rh")
@@ -94,7 +99,7 @@ def graph_role_histogram(spark, sf):
 @query(f"WITH {GRAPH} SELECT graph_id, a, b, c FROM tr")
 def graph_triangles(spark, sf):
     """All triangles."""
-    return G.triangles(trade(spark, sf)[1])
+    return G.triangles(trade(spark, sf, reuse=True)[1])
 
 
 @query(f"WITH {GRAPH} SELECT * FROM ft")
@@ -116,7 +121,7 @@ rp AS (SELECT min(graph_id) AS q FROM ft GROUP BY topology_type, graph_type)"""
 @query(f"WITH {_VECTOR} SELECT id AS graph_id, {HEX} AS vec FROM gv GROUP BY id")
 def graph_vectors(spark, sf):
     """Graph vectors."""
-    return G.graph_vectors(*trade(spark, sf), D).select("graph_id", hex_text("vec").alias("vec"))
+    return G.graph_vectors(*trade(spark, sf, reuse=True), D).select("graph_id", hex_text("vec").alias("vec"))
 
 
 _SCORED = f"""{_VECTOR}, sc AS (SELECT q, gl.id AS doc_id, CAST(list_dot_product(p.v, gl.v) AS BIGINT) AS s FROM rp JOIN gl p ON p.id = q, gl),
@@ -124,8 +129,8 @@ hit AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, doc_id) AS
 
 
 def _hits(spark, sf, k):
-    n, e, g = trade(spark, sf)
-    v = G.graph_vectors(n, e, g, D)
+    n, e, g = trade(spark, sf, reuse=True)
+    v = G.graph_vectors(n, e, g, D).checkpoint()
     rep = G.representatives(G.features(n, e, g))
     probes = v.join(rep, "graph_id", "left_semi").select(F.col("graph_id").alias("query_id"), "vec")
     return S.search_table(v.select(F.col("graph_id").alias("doc_id"), "vec"), probes, D, k, 0.1)
@@ -148,7 +153,7 @@ SELECT query_id, graph_id, round(score, 6) AS score, CAST(rank AS INT) AS rank F
  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, graph_id) AS rank FROM p) WHERE rank <= 5""")
 def graph_similar_by_features(spark, sf):
     """Nearest graphs by weighted feature agreement."""
-    f = G.features(*trade(spark, sf))
+    f = G.features(*trade(spark, sf, reuse=True)).checkpoint()
     probes = f.join(G.representatives(f), "graph_id", "left_semi")
     return G.similar_by_features(f, probes, 5).withColumn("score", F.round("score", 6))
 
@@ -174,8 +179,8 @@ def graph_family_purity(spark, sf):
        f"SELECT id AS graph_id, round(s / {D}.0, 6) AS best FROM sc WHERE s / {D}.0 < 0.3")
 def graph_anomalies(spark, sf):
     """Graphs unlike every known good graph."""
-    n, e, g = trade(spark, sf)
-    v = G.graph_vectors(n, e, g, D)
+    n, e, g = trade(spark, sf, reuse=True)
+    v = G.graph_vectors(n, e, g, D).checkpoint()
     good = v.join(G.representatives(G.features(n, e, g)), "graph_id", "left_semi")
     best = S.search_table(good.select(F.col("graph_id").alias("doc_id"), "vec"),
                           v.select(F.col("graph_id").alias("query_id"), "vec"), D, 1, None)

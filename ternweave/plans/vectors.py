@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ternweave.functions import text as X
+from ternweave.functions.rows import explode_into
 from ternweave.functions.codebook import POSITION_PREFIX, atom_trits, canon_atom
 from ternweave.operators import algebra as A
 from ternweave.operators import encode as E
@@ -82,7 +83,7 @@ WITH w AS (SELECT doc_id, unnest({words_sql('text')}) AS atom FROM documents)
 SELECT atom, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM w GROUP BY atom""")
 def vocabulary_frequency(spark, sf):
     """Occurrences and document counts per word."""
-    w = table(spark, sf, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("atom"))
+    w = explode_into(table(spark, sf, "documents"), X.words(F.col("text")), "atom", "doc_id")
     per_doc = w.groupBy("atom", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("atom").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("documents"))
 
@@ -92,7 +93,7 @@ WITH w AS (SELECT unnest({words_sql('text')}) AS atom FROM documents)
 SELECT count(*) AS occurrences, count(DISTINCT atom) AS atoms FROM w""")
 def vocabulary_size(spark, sf):
     """Number of words and of distinct words."""
-    w = table(spark, sf, "documents").select(F.explode(X.words(F.col("text"))).alias("atom"))
+    w = explode_into(table(spark, sf, "documents"), X.words(F.col("text")), "atom")
     return w.groupBy("atom").agg(F.count(F.lit(1)).alias("n")).agg(
         F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("atoms"))
 
