@@ -61,7 +61,11 @@ def _literal(value, dtype: T.DataType) -> Column:
 
 
 class _Typed:
-    """Values of a DataFrame's typed columns."""
+    """Values of a DataFrame's typed columns.
+
+    Comparisons stay bare, since a wrapped one is not pushed to the scan; a null result filters
+    the row all the same, and negations wrap what they negate.
+    """
 
     def __init__(self, schema: T.StructType):
         self.schema = schema
@@ -96,7 +100,7 @@ class _Typed:
             return F.lit(False)
         if value is None:
             return node[0].isNull()
-        return _true(node[0] == _literal(value, node[1]))
+        return node[0] == _literal(value, node[1])
 
     def isin(self, node, values):
         return _any([self.eq(node, v) for v in values])
@@ -110,12 +114,12 @@ class _Typed:
         return _true(_all(parts))
 
     def compare(self, node, op, value):
-        return _true(RANGE_OPS[op](node[0], _literal(value, node[1])))
+        return RANGE_OPS[op](node[0], _literal(value, node[1]))
 
     def contains(self, node, value):
         if self.is_list(node):
-            return _true(F.array_contains(node[0], F.lit(value)))
-        return _true(F.contains(node[0].cast("string"), F.lit(str(value))))
+            return F.array_contains(node[0], F.lit(value))
+        return F.contains(node[0].cast("string"), F.lit(str(value)))
 
 
 class _Variant:
@@ -224,9 +228,9 @@ def _special(view, child, op, value) -> Column:
     if op == "$contains":
         return view.contains(child, value)
     if op == "$not_contains":
-        return ~view.contains(child, value)
+        return ~_true(view.contains(child, value))
     if op == "$not":
-        return ~view.isin(child, value if isinstance(value, list) else [value])
+        return ~_true(view.isin(child, value if isinstance(value, list) else [value]))
     return view.compare(child, op, value)
 
 
@@ -290,11 +294,11 @@ def negation_predicate(source, negations: dict | None) -> Column:
     for path, value in negation_specs(negations)[0]:
         node = _walk(view, root, path)
         if node is not None:
-            keep.append(~view.eq(node, value))
+            keep.append(~_true(view.eq(node, value)))
     for path, value in _contains_specs(negations or {}, []):
         node = _walk(view, root, path)
         if node is not None:
-            keep.append(~view.contains(node, value))
+            keep.append(~_true(view.contains(node, value)))
     return _all(keep)
 
 

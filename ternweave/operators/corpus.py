@@ -129,9 +129,9 @@ def overlap_matches(unit_table: DataFrame, phrases: DataFrame, min_overlap: floa
     """Units sharing at least ``min_overlap`` of a phrase's distinct words: (query_id, unit_id, overlap).
 
     A unit with that overlap must hold ``need = ceil(min_overlap * m)`` of the phrase's m words, hence
-    as many distinct words of its own and one of the phrase's ``m - need + 1`` rarest.  Only those
-    are joined (an exact prefix and length filter): frequent words become join keys only where a
-    phrase has nothing rarer.
+    as many distinct words of its own and ``j`` of the phrase's ``m - need + j`` rarest (j up to 3).
+    Only those are joined and counted (an exact prefix and length filter): frequent words become
+    join keys only where a phrase has nothing rarer.
     """
     u = unit_table.select(F.concat_ws("-", "doc_id", "unit").alias("unit_id"), F.array_distinct("words").alias("ws"))
     tokens = explode_into(u, F.col("ws"), "w", "unit_id", F.size("ws").alias("size"))
@@ -142,9 +142,11 @@ def overlap_matches(unit_table: DataFrame, phrases: DataFrame, min_overlap: floa
           .groupBy("w").agg(F.count(F.lit(1)).alias("df")))
     rare = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "w")
     prefix = (each.join(df, "w", "left").withColumn("r", F.row_number().over(rare))
-              .where(F.col("r") <= F.col("m") - F.col("need") + 1).select("query_id", "need", "w"))
+              .withColumn("j", F.least("need", F.lit(3)))
+              .where(F.col("r") <= F.col("m") - F.col("need") + F.col("j")).select("query_id", "need", "j", "w"))
     pairs = (tokens.join(prefix, "w").where(F.col("size") >= F.col("need"))
-             .select("query_id", "unit_id").distinct())
+             .groupBy("query_id", "unit_id", "j").agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("n") >= F.col("j")).select("query_id", "unit_id"))
     return (pairs.join(u, "unit_id").join(q, "query_id")
             .select("query_id", "unit_id", X.token_overlap(F.col("qs"), F.col("ws")).alias("overlap"))
             .where(F.col("overlap") >= min_overlap))

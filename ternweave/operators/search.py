@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -183,8 +184,7 @@ def batch_search(corpus: DataFrame, probes: list[Probe], dims: int, metric: str
     if not plain:
         return _empty(corpus, probes)
 
-    flags, flag_of, seen = [], [], {}
-    view = corpus
+    flags, conditions, flag_of, seen = [], [], [], {}
     for p in plain:
         if p.guard is None and not p.negations:
             cond, key = F.lit(True), "all"
@@ -194,13 +194,13 @@ def batch_search(corpus: DataFrame, probes: list[Probe], dims: int, metric: str
         if key not in seen:
             seen[key] = len(flags)
             flags.append(f"_allow{len(flags)}")
-            view = view.withColumn(flags[-1], F.coalesce(cond, F.lit(False)))
+            conditions.append(cond)
         flag_of.append(seen[key])
+    view = corpus
     if filter_mode == "pre" and "all" not in seen:
-        wanted = F.col(flags[0])
-        for f in flags[1:]:
-            wanted = wanted | F.col(f)
-        view = view.where(wanted)
+        view = view.where(reduce(lambda a, b: a | b, conditions))    # bare, so it reaches the scan
+    for flag, cond in zip(flags, conditions):
+        view = view.withColumn(flag, F.coalesce(cond, F.lit(False)))
     matrix = np.stack([np.frombuffer(p.vec, np.int8) if p.vec is not None
                        else probe_vector(p.doc, dims, p.negations, p.any_marker) for p in plain])
     ks = [p.k for p in plain]
@@ -212,7 +212,7 @@ def batch_search(corpus: DataFrame, probes: list[Probe], dims: int, metric: str
         groups = [slots[i:i + step] for i in range(0, len(slots), step)]
     else:
         groups = [slots]
-    used = flags if filter_mode == "pre" and (len(flags) > 1 or "all" not in seen) else []
+    used = flags if filter_mode == "pre" and len(flags) > 1 else []
     scored = None
     for g in groups:
         part = _scan(view, used, T.IntegerType(), g, matrix[g], [ks[i] for i in g], [floors[i] for i in g],

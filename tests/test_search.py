@@ -169,3 +169,11 @@ def test_guard_reaches_the_scan(spark, tmp_path):
     t = spark.read.parquet(path)
     plan = t.where(guard_predicate(t.schema, {"n": {"$gte": 3}}))._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(n,3)" in plan
+
+
+def test_batch_search_filters_at_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, i % 5, "x") for i in range(50)], "doc_id INT, n INT, p STRING").write.parquet(path)
+    corpus = spark.read.parquet(path).withColumn("vec", Enc.encode_row("p", "n", dims=D))
+    plan = S.search(corpus, {"p": "x"}, D, 3, guard={"n": 3})._jdf.queryExecution().toString()
+    assert "EqualTo(n,3)" in plan
