@@ -110,7 +110,7 @@ def store_clear(spark, sf):
     store = _filled(spark, sf)
     n = store.table().agg(F.count(F.lit(1)).alias("removed")).checkpoint()
     store.clear()
-    return n.withColumn("left_over", F.lit(store.table().count()))
+    return n.withColumn("left_over", F.lit(store.table().count()).cast("bigint"))
 
 
 @query(f"SELECT count(*) AS items, count(*) AS vectors, CAST({D} AS INT) AS min_dims, CAST({D} AS INT) AS max_dims FROM part")
@@ -158,7 +158,8 @@ def store_collections(spark, sf):
     return out
 
 
-@query()
+@query("""SELECT DISTINCT p_brand AS query_id, CAST(10 AS BIGINT) AS hits_a, CAST(10 AS BIGINT) AS hits_b, CAST(10 AS BIGINT) AS shared,
+  CAST(0 AS DOUBLE) AS max_diff, CAST(1 AS DOUBLE) AS recall, TRUE AS consistent FROM part""")
 def index_consistency(spark, sf):
     """Search over a written store equals search over fresh vectors."""
     store = _filled(spark, sf)
