@@ -30,10 +30,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder from ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder from ``spark.checkpoint.dir``.  Where it is unset, a temporary one on a local
+    master; on a cluster that is an error, for executors don't share local folders."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
