@@ -99,3 +99,77 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, size: str, total: int)
     cold = lookup.where(F.col(size) < least)
     return (rows.join(hot, key).unionByName(
         rows.join(F.broadcast(lookup.where(F.col(size) >= least).select(key)), key, "left_anti").join(cold, key)))
+
+
+def join_skewed(rows: DataFrame, lookup: DataFrame, key: str, spread: str, how: str = "inner",
+                counted: DataFrame | None = None) -> DataFrame:
+    """Join of ``rows`` to ``lookup``, which has one row per key, without gathering a hot key.
+
+    Keys with at least one HOT_SHARE-th of the rows (there are at most HOT_SHARE) are split by a hash of
+    the column ``spread``; their lookup rows are repeated once per part, at most 2 * HOT_SHARE in all.
+    ``counted`` has the same keys as ``rows`` where counting those would repeat work."""
+    counted = rows if counted is None else counted
+    counts = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counted.count()
+    least = max(50, total // HOT_SHARE)
+    hot = counts.where((F.col("_n") >= least) & F.col(key).isNotNull()).select(key, F.ceil(F.col("_n") / least).cast("int").alias("_parts"))
+    hot = rows.sparkSession.createDataFrame(hot.limit(HOT_SHARE).collect(), hot.schema)
+    if not hot.head(1):
+        return rows.join(lookup, key, how)
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    right = (lookup.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts"))
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
+def id_filter(ids: DataFrame, name: str, rows: int, max_bits: int = 2 ** 27) -> tuple[DataFrame, int]:
+    """A Bloom filter of one hash over ids, as (bucket, bitmap); of ``max_bits`` at most."""
+    bits = 2 ** 15
+    while bits < min(max_bits, 16 * rows):
+        bits *= 2
+    cell = ids.select(F.pmod(F.xxhash64(name), F.lit(bits)).alias("cell"))
+    return cell.groupBy(F.shiftright("cell", 15).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col("cell").bitwiseAND(2 ** 15 - 1)).alias("bitmap")), bits
+
+
+def bit_set(bitmap: Column, cell: Column) -> Column:
+    """Whether the bit of a cell is set in the bitmap of its bucket; false for a null bitmap."""
+    place = cell.bitwiseAND(2 ** 15 - 1).cast("int")
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte.cast("long"), place.bitwiseAND(7)) == 1, F.lit(False))
+
+
+def may_be_in(rows: DataFrame, name: str, filter_: DataFrame, bits: int) -> DataFrame:
+    """Rows whose id may be in an :func:`id_filter`: all that are, and few others."""
+    cell = F.pmod(F.xxhash64(name), F.lit(bits))
+    part = F.broadcast(filter_.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap")))
+    return (rows.withColumn("_bucket", F.shiftright(cell, 15)).join(part, "_bucket")
+            .where(bit_set(F.col("_bitmap"), cell)).drop("_bucket", "_bitmap"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) of every node of the edges: the smallest node that it is connected with.
+
+    In each round all neighbours of a node are linked to the smallest of them, until only stars are
+    left.  Edges stay in stored tables; minima are combined before the shuffle and hot nodes split."""
+    now = store(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+
+    def mark(df):
+        r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        return r[0], r[1]
+
+    old = mark(now)
+    while old[0]:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        near = join_skewed(both, least, "u", "v")
+        nxt = store(near.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+                    .select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
+        new = mark(nxt)
+        discard(now)
+        now = nxt
+        if new == old:
+            break
+        old = new
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

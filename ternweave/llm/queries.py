@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternweave.llm import common, exact_dedup, language_id, token_binary, token_counts, url_filter
+from ternweave.llm import common, exact_dedup, language_id, near_dedup, token_binary, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,12 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query()
+def op8_near_dedup(spark, sf_dir):
+    """Near-duplicate class of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_url_filter(spark, sf_dir):
     """Verdict on every page's URL; the model learns from the pages that a rule fits."""
