@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternweave.llm import common, exact_dedup, language_id, near_dedup, token_binary, token_counts, url_filter
+from ternweave.llm import (common, decontaminate, exact_dedup, language_id, near_dedup, token_binary, token_counts, toxicity,
+                           url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +61,12 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query()
+def op7_decontamination(spark, sf_dir):
+    """Benchmark passages in every document."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op8_near_dedup(spark, sf_dir):
     """Near-duplicate class of every document."""
@@ -72,3 +79,12 @@ def op9_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     model = url_filter.fit(url_filter.labelled_by_rules(pages))
     return url_filter.url_verdicts(pages, model=model)
+
+
+@query()
+def op10_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from four fifths of the labelled ones."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(common.crc_of("doc_id"), F.lit(5)) == 0
+    net = toxicity.fit(toxicity.labelled_sample(docs, labels, ~held_out))
+    return toxicity.toxicity(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted", "threshold", "rejected")
