@@ -173,3 +173,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         old = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``rows`` whose id in column ``name`` isn't among ``ids`` (one column, no null).
+
+    A Bloom filter of a bounded size lets most of the other rows pass where they are; only rows that may be
+    among the ids are shuffled and compared."""
+    ids = store(ids.toDF("_id").distinct(), "left-out")
+    filter_, bits = id_filter(ids, "_id", ids.count())
+    cell = F.pmod(F.xxhash64(name), F.lit(bits))
+    part = F.broadcast(filter_.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap")))
+    marked = (rows.withColumn("_bucket", F.shiftright(cell, 15)).join(part, "_bucket", "left")
+              .withColumn("_maybe", F.col(name).isNotNull() & bit_set(F.col("_bitmap"), cell)))
+    clear = marked.where("not _maybe").select(*rows.columns)
+    maybe = marked.where("_maybe").select(*rows.columns)
+    return clear.unionByName(maybe.join(ids, maybe[name] == ids["_id"], "left_anti"))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternweave.llm import (common, decontaminate, exact_dedup, language_id, near_dedup, token_binary, token_counts, toxicity,
-                           url_filter)
+from ternweave.llm import (common, decontaminate, exact_dedup, language_id, mixing, near_dedup, token_binary, token_counts,
+                           toxicity, url_filter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,12 +55,24 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_mixing(spark, sf_dir):
+    """Place of every document in a mixture of its sources, by the square roots of their sizes."""
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_token_counts(spark, sf_dir):
     """Tokens of every document under the 32k piece model."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query()
+def op6_warc(spark, sf_dir):
+    """Metadata and conversion records of every page's response."""
+    return warc.derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+
+
 @query()
 def op7_decontamination(spark, sf_dir):
     """Benchmark passages in every document."""
