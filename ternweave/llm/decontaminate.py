@@ -71,8 +71,19 @@ def _sampled(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, bits: list
     return value, alive
 
 
+def _reach(flat, start, size, ids, seed: int, most: int) -> int:
+    """Steps for which the walks of all items stay within them, ``most`` at most: a sample beyond an item's end would
+    see what follows a passage in a text."""
+    at = start.copy()
+    for j in range(most):
+        if (at >= start + size).any():
+            return j
+        at = at + walk_bit(j, ids, seed)[flat[at]]
+    return most
+
+
 class Trials:
-    """Random items of the given lengths, each with a copy at the largest distance."""
+    """Random items of the given lengths, each with a copy at the largest distance in front of other words."""
 
     def __init__(self, rng, lengths: tuple[int, ...], trials: int = 200):
         texts = []
@@ -88,7 +99,7 @@ class Trials:
                     copy.insert(at, int(rng.integers(2, 2_000_000)))
                 elif len(copy) > 1:
                     del copy[at]
-            texts += [item, copy]
+            texts += [item, copy + rng.integers(2, 2_000_000, length).tolist()]
         size = np.array([len(x) for x in texts])
         self.names, self.flat = np.unique(np.concatenate([[PAD], *texts]), return_inverse=True)
         self.flat = self.flat[1:]
@@ -142,26 +153,27 @@ class Index:
             own = [p for p in order if p[0] <= max(short * SPREAD, short + 1)]
             order = order[len(own):]
             long = own[-1][0]
-            k = min(samples, 2 * short)
+            k, members = samples, [i for _, i in own]
+            flat, size = np.concatenate([self.items[i] for i in members]), np.array([len(self.items[i]) for i in members])
+            start = np.cumsum(size) - size
             trials, reached, seeds, steps = Trials(rng, (short, long)), 0.0, [], []
             while reached < recall and len(seeds) < MOST_REPEATS:
-                early = int(rng.integers(max(1, short // 3)))       # most windows end at the first sample: take that early
-                picked = (early, *sorted(rng.choice(np.arange(early + 1, 2 * short + early), k - 1, replace=False).tolist()))
                 s = int(rng.integers(1, 2 ** 31))
+                early = int(rng.integers(max(1, short // 3)))       # most windows end at the first sample: take that early
+                reach = _reach(flat, start, size, ids, s, 2 * short)
+                rest = np.arange(early + 1, max(reach, early + 1))
+                picked = (early, *sorted(rng.choice(rest, min(k - 1, len(rest)), replace=False).tolist()))
                 reached = trials.add(picked, s)
                 seeds.append(s)
                 steps.append(picked)
             mask = np.zeros(len(ids), bool)
             mask[np.concatenate([self.items[i] for _, i in own])] = True
-            c = LengthClass(short, long, [i for _, i in own], seeds, steps, [], [], [], mask, mask & ~common,
+            c = LengthClass(short, long, members, seeds, steps, [], [], [], mask, mask & ~common,
                             needs([n for n, _ in own], [int((~common[self.items[i]]).sum()) for _, i in own]))
-            flat = np.concatenate([self.items[i] for i in c.items])
-            size = np.array([len(self.items[i]) for i in c.items])
-            start = np.cumsum(size) - size
             for s, picked in zip(seeds, steps, strict=True):
                 bits = [walk_bit(j, ids, s).astype(np.int8) for j in range(picked[-1] + 1)]
                 c.tables.append(bits)
-                c.prefixes.append([np.unique(_sampled(flat, start, start + size, bits, picked[:n])[0]) for n in range(1, k + 1)])
+                c.prefixes.append([np.unique(_sampled(flat, start, start + size, bits, picked[:n])[0]) for n in range(1, len(picked) + 1)])
                 owner: dict[int, list[int]] = {}
                 for i, h in zip(c.items, _sampled(flat, start, start + size, bits, picked)[0].tolist(), strict=True):
                     owner.setdefault(h, []).append(i)
