@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ternweave.functions.session import checkpoint_dir
@@ -30,6 +30,13 @@ def store(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_counted(df: DataFrame, name: str, **more: Column) -> tuple[DataFrame, dict]:
+    """:func:`store`, and the number of rows (``n``) and further aggregates, observed while writing."""
+    seen = Observation()
+    out = store(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in more.items()]), name)
+    return out, {"n": 0} | seen.get
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of :func:`store` that are no longer read."""
     for df in tables:
@@ -101,23 +108,18 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, size: str, total: int)
         rows.join(F.broadcast(lookup.where(F.col(size) >= least).select(key)), key, "left_anti").join(cold, key)))
 
 
-def join_skewed(rows: DataFrame, lookup: DataFrame, key: str, spread: str, how: str = "inner",
+def join_skewed(rows: DataFrame, lookup: DataFrame, key: str, spread: str, total: int, how: str = "inner",
                 counted: DataFrame | None = None) -> DataFrame:
-    """Join of ``rows`` to ``lookup``, which has one row per key, without gathering a hot key.
+    """Join of ``rows`` (``total`` of them) to ``lookup``, which has one row per key, without gathering a hot key.
 
     Keys with at least one HOT_SHARE-th of the rows (there are at most HOT_SHARE) are split by a hash of
     the column ``spread``; their lookup rows are repeated once per part, at most 2 * HOT_SHARE in all.
     ``counted`` has the same keys as ``rows`` where counting those would repeat work."""
-    counted = rows if counted is None else counted
-    counts = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counted.count()
     least = max(50, total // HOT_SHARE)
-    hot = counts.where((F.col("_n") >= least) & F.col(key).isNotNull()).select(key, F.ceil(F.col("_n") / least).cast("int").alias("_parts"))
-    hot = rows.sparkSession.createDataFrame(hot.limit(HOT_SHARE).collect(), hot.schema)
-    if not hot.head(1):
-        return rows.join(lookup, key, how)
+    hot = ((rows if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+           .where(F.col("_n") >= least).select(key, F.ceil(F.col("_n") / least).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
-    left = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    left = (rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts"))
     right = (lookup.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts"))
     return left.join(right, [key, "_part"], how).drop("_part")
 
@@ -151,21 +153,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of the edges: the smallest node that it is connected with.
 
     In each round all neighbours of a node are linked to the smallest of them, until only stars are
-    left.  Edges stay in stored tables; minima are combined before the shuffle and hot nodes split."""
-    now = store(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-
-    def mark(df):
-        r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
-    old = mark(now)
-    while old[0]:
+    left.  Edges stay in stored tables, one job per round; minima are combined before the shuffle,
+    and the neighbours of hot nodes stay where they are."""
+    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    now, old = store_counted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges", mark=mark)
+    while old["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        near = join_skewed(both, least, "u", "v")
-        nxt = store(near.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-                    .select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
-        new = mark(nxt)
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count(F.lit(1)).alias("size"))
+        near = attach(both, least, "u", "size", 2 * old["n"])
+        nxt, new = store_counted(near.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+                                 .select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "edges", mark=mark)
         discard(now)
         now = nxt
         if new == old:
@@ -180,8 +177,8 @@ def without_ids(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
     A Bloom filter of a bounded size lets most of the other rows pass where they are; only rows that may be
     among the ids are shuffled and compared."""
-    ids = store(ids.toDF("_id").distinct(), "left-out")
-    filter_, bits = id_filter(ids, "_id", ids.count())
+    ids, seen = store_counted(ids.toDF("_id").distinct(), "left-out")
+    filter_, bits = id_filter(ids, "_id", seen["n"])
     cell = F.pmod(F.xxhash64(name), F.lit(bits))
     part = F.broadcast(filter_.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap")))
     marked = (rows.withColumn("_bucket", F.shiftright(cell, 15)).join(part, "_bucket", "left")

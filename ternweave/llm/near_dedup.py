@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ternweave.llm.common import (attach, components, discard, id_filter, join_skewed, may_be_in, mix64, portions, store,
-                                  word_hashes, words)
+                                  store_counted, word_hashes, words)
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Two documents of similarity 0.8 share one of 40 bands of 6 components but for 5 in a million.
 BANDS, ROWS = 40, 6
 #: Rounds in which a document is compared with one leader, before what is left is compared in full.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 4
+#: Rows of a bucket that are joined pair by pair at most; larger buckets are compared in cells of CELL x CELL rows by
+#: sketches of SKETCH components, with a margin of MARGIN standard deviations (a loss of one in a million).
+SMALL, CELL, SKETCH, MARGIN = 24, 256, 1200, 4.75
 CHARS = 2_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,7 +159,7 @@ def overlap(items_a: bytes, counts_a: bytes, items_b: bytes, counts_b: bytes) ->
     return common, int(x.sum() + y.sum()) - common
 
 
-def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, count: int, bags: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b, ca, cb) of at least the threshold's similarity, as (ca, cb)."""
     def check(batches):
         for batch in batches:
@@ -169,8 +172,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
     one = bags.select(F.col("id").alias("a"), F.col("items").alias("ia"), F.col("counts").alias("na"))
     two = bags.select(F.col("id").alias("b"), F.col("items").alias("ib"), F.col("counts").alias("nb"))
-    pairs = store(pairs, "near-pairs")
-    both = join_skewed(join_skewed(pairs, two, "b", "a"), one, "a", "b", counted=pairs)
+    both = join_skewed(join_skewed(pairs, two, "b", "a", count), one, "a", "b", count, counted=pairs)
     kind = pairs.schema["ca"].dataType.simpleString()
     return both.select("ca", "cb", "ia", "na", "ib", "nb").mapInArrow(check, f"ca {kind}, cb {kind}")
 
@@ -185,44 +187,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents of equal words are copies: only their first one is banded and compared.  In a
     bucket of documents that share a band, all are first compared with one leader per round, a
-    member of the bucket's largest class so far, drawn anew each round.  Then the rows of a bucket
+    member of the bucket's largest class so far that shares many buckets with others.  Then the rows of a bucket
     that are still of another class than the largest one are compared with all of the bucket that
-    is not of their own class; so every pair that shares a bucket is verified unless it is in one
-    class already, and none is formed inside a class.  Large buckets are split by a salt.
+    is not of their own class; so every pair that shares a bucket is checked unless it is in one
+    class already, and none is formed inside a class.  Large buckets are cut into bounded cells, in which
+    sketches are compared without forming pairs; only pairs whose sketches may reach the threshold are verified.
 
     Null and empty texts are copies of each other; texts without any word are compared as they
     are.  Rows of a null id have a null class and are kept.  Rows that share an id are one document.  An
     empty table gives no rows, other columns are not read."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    feats = store(features(own, "doc_id", "text", bands, rows), "near-features")
-    total = feats.count()
+    feats, seen = store_counted(features(own, "doc_id", "text", bands, rows), "near-features")
+    total = seen["n"]
     key = F.struct("key_a", "key_b")
     copies = store(feats.where("doc_id is not null").groupBy("key_a", "key_b").agg(
         F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")).withColumn("key", key), "near-copies")
-    firsts = copies.select(F.col("first").alias("doc_id")).distinct()
-    banded = store(feats.where("bands is not null").select(F.col("doc_id").alias("id"), "bands")
-                   .join(firsts.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "near-banded")
+    firsts = copies.select(F.col("first").alias("id")).distinct()
+    banded = store(feats.where("bands is not null").select(F.col("doc_id").alias("id"), "bands").join(firsts, "id", "left_semi"), "near-banded")
     exploded = banded.select("id", F.explode("bands").alias("bucket"))
     shared = store(exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
-    placed = store(attach(exploded, shared, "bucket", "n", total * bands).select("bucket", "id"), "near-placed")
+    placed, seen = store_counted(attach(exploded, shared, "bucket", "n", total * bands).select("bucket", "id", "n"), "near-placed")
     discard(shared, banded)
-    ids = placed.select("id").distinct()
-    state = store(ids.withColumn("class", F.col("id")), "near-classes")
-    count = placed.count()
+    count = seen["n"]
+    state, seen = store_counted(placed.groupBy("id").agg(F.sum("n").alias("weight")).withColumn("class", F.col("id")), "near-classes")
+    placed = placed.select("bucket", "id")
+    ids = seen["n"]
     if count:
-        filter_, bits = id_filter(state, "id", total)
-        texts = may_be_in(own.withColumnRenamed("doc_id", "id"), "id", filter_, bits).join(ids, "id", "left_semi")
+        filter_, bits = id_filter(state, "id", ids)
+        texts = may_be_in(own.withColumnRenamed("doc_id", "id"), "id", filter_, bits).join(state.select("id"), "id", "left_semi")
         bags = store(_bags(texts.select("id", "text")).dropDuplicates(["id"]), "near-bags")
         for turn in range(LEADER_ROUNDS + 1):
-            pairs = _open_pairs(placed, state, count, turn, full=turn == LEADER_ROUNDS)
-            if pairs is None:
+            if turn < LEADER_ROUNDS:
+                pairs, n = _leader_pairs(placed, state, count, turn)
+            else:
+                pairs, n = _remaining_pairs(placed, state, count, bags, threshold)
+            if not n:
                 break
-            links = store(_verified(pairs, bags, threshold).distinct(), "near-links")
-            roots = components(links, "ca", "cb").select(F.col("node").alias("class"), "root")
-            nxt = store(join_skewed(state, roots, "class", "id", "left")
-                        .select("id", F.coalesce("root", "class").alias("class")), "near-classes")
-            discard(state, links)
-            state = nxt
+            links, found = store_counted(_verified(pairs, n, bags, threshold).distinct(), "near-links")
+            if found["n"]:
+                roots = components(links, "ca", "cb").select(F.col("node").alias("class"), "root")
+                sizes = state.groupBy("class").agg(F.count(F.lit(1)).alias("n")).join(roots, "class", "left")
+                nxt = store(attach(state, sizes, "class", "n", ids).select("id", "weight", F.coalesce("root", "class").alias("class")), "near-classes")
+                discard(state)
+                state = nxt
         discard(bags)
     named = (copies.join(state.withColumnRenamed("id", "first"), "first", "left")
              .select("key", F.coalesce("class", "first").alias("class_id"), "size"))
@@ -232,27 +239,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))))
 
 
-def _open_pairs(placed: DataFrame, state: DataFrame, count: int, turn: int, full: bool) -> DataFrame | None:
-    """Pairs (a, b, ca, cb) of different classes in one bucket: with the bucket's leader, one per document; or,
-    in full, all that are left.  None if there are none."""
+def _open_buckets(placed: DataFrame, state: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(rows (bucket, id, class), buckets of several classes (bucket, top, n)): ``top`` is the largest class, with its
+    number of rows ``n`` and its leader ``id``."""
     rows = store(placed.join(state, "id"), "near-rows")
-    lead = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("lead")
-    tops = (rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), lead)
-            .groupBy("bucket").agg(F.max(F.struct("n", F.col("lead.id").alias("id"), F.col("class").alias("class"))).alias("top"),
-                                   F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1"))
-    tops = store(tops, "near-tops")
-    rest = store(attach(rows, tops, "bucket", "n", count).where("class <> top.class"), "near-rest")
-    if not rest.head(1):
-        return None
-    if not full:
-        best = F.max(F.struct(F.col("top.n").alias("n"), F.col("top.id").alias("id"), F.col("top.class").alias("class"))).alias("to")
-        return (rest.groupBy("id", "class").agg(best)
-                .select(F.col("id").alias("a"), F.col("to.id").alias("b"), F.col("class").alias("ca"), F.col("to.class").alias("cb")))
-    least = max(100, count // 1000)
-    parts = F.ceil(F.col("n") / least).cast("int")
-    one = rest.select("bucket", F.col("id").alias("a"), F.col("class").alias("ca"), F.col("top.class").alias("large"),
-                      F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    two = attach(rows, tops, "bucket", "n", count).select(
-        "bucket", F.col("id").alias("b"), F.col("class").alias("cb"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    return (one.join(two, ["bucket", "part"]).where("ca <> cb and (cb = large or a < b)")
-            .select("a", "b", "ca", "cb").distinct())
+    chance = F.lit(1.0) if turn == 0 else 0.6 + 0.4 * F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1000)) / 1000
+    lead = F.max(F.struct((F.col("weight") * chance).alias("w"), "id")).alias("lead")
+    tops = store(rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), lead)
+                 .groupBy("bucket").agg(F.max(F.struct("n", F.col("lead.id").alias("id"), F.col("class").alias("class"))).alias("top"),
+                                        F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1"), "near-tops")
+    return rows, tops
+
+
+def _leader_pairs(placed: DataFrame, state: DataFrame, count: int, turn: int) -> tuple[DataFrame, int]:
+    """Pairs (a, b, ca, cb) of a document and the leader of the largest foreign class in its buckets, and their number."""
+    rows, tops = _open_buckets(placed, state, turn)
+    rest = attach(rows, tops, "bucket", "n", count).where("class <> top.class")
+    best = F.max(F.struct(F.col("top.n").alias("n"), F.col("top.id").alias("id"), F.col("top.class").alias("class"))).alias("to")
+    pairs = (rest.groupBy("id", "class").agg(best)
+             .select(F.col("id").alias("a"), F.col("to.id").alias("b"), F.col("class").alias("ca"), F.col("to.class").alias("cb")))
+    out, seen = store_counted(pairs, "near-pairs")
+    discard(rows)
+    return out, seen["n"]
+
+
+def _remaining_pairs(placed: DataFrame, state: DataFrame, count: int, bags: DataFrame, threshold: float) -> tuple[DataFrame, int]:
+    """All pairs (a, b, ca, cb) of different classes in one bucket that may reach the threshold, and their number."""
+    rows, tops = _open_buckets(placed, state, 0)
+    open_ = store(attach(rows, tops, "bucket", "n", count).select("bucket", "id", "class", F.col("top.class").alias("large"), "n"), "near-open")
+    one = open_.where("class <> large").withColumnsRenamed({"id": "a", "class": "ca"})
+    two = open_.select("bucket", F.col("id").alias("b"), F.col("class").alias("cb"), "n")
+    few = (one.where(F.col("n") <= SMALL).join(two.where(F.col("n") <= SMALL).drop("n"), "bucket")
+           .where("ca <> cb and (cb = large or a < b)").select("a", "b", "ca", "cb"))
+    wide = open_.where(F.col("n") > SMALL)
+    sketches = store(_sketches(bags.join(wide.select("id").distinct(), "id", "left_semi")), "near-sketches")
+    cells = F.ceil(F.col("n") / CELL).cast("int")
+    every = F.explode(F.sequence(F.lit(0), cells - 1))
+    own = F.pmod(F.xxhash64("id", "bucket"), cells).cast("int")
+    marked = wide.join(sketches, "id").select("bucket", "id", "class", "large", "sketch", own.alias("own"), every.alias("other"))
+
+    def side(i: str, j: str) -> DataFrame:
+        return marked.select(*[F.col(c).alias(c) for c in ("bucket", "id", "class", "large", "sketch")], F.col(i).alias("i"), F.col(j).alias("j"))
+
+    left, right = side("own", "other").where("class <> large"), side("other", "own")
+    kind = state.schema["id"].dataType.simpleString()
+    least = int((threshold - MARGIN * (threshold * (1 - threshold) / SKETCH) ** 0.5) * SKETCH)
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        mine, theirs = (np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH) for t in (x, y))
+        a, ca = (x.column(c).to_numpy() for c in ("id", "class"))
+        b, cb, large = (y.column(c).to_numpy() for c in ("id", "class", "large"))
+        at, to = [], []
+        for i in range(len(a)):
+            may = np.flatnonzero((cb != ca[i]) & ((cb == large) | (a[i] < b)))
+            near = may[(theirs[may] == mine[i]).sum(1) >= least]
+            at += [i] * len(near)
+            to += near.tolist()
+        return pa.table({"a": a[at], "b": b[to], "ca": ca[at], "cb": cb[to]}) if at else pa.table(
+            {c: x.column(n).slice(0, 0) for c, n in (("a", "id"), ("b", "id"), ("ca", "class"), ("cb", "class"))})
+
+    many = (left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j"))
+            .applyInArrow(compare, f"a {kind}, b {kind}, ca {kind}, cb {kind}"))
+    out, seen = store_counted(few.unionByName(many).distinct(), "near-pairs")
+    discard(rows, open_, sketches)
+    return out, seen["n"]
+
+
+def _sketches(bags: DataFrame) -> DataFrame:
+    """(id, sketch): one byte of each of SKETCH signature components."""
+    def compute(batches):
+        for batch in batches:
+            items = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
+            counts = [np.frombuffer(x, "<u4") for x in batch.column("counts").to_pylist()]
+            out = []
+            for a, b in portions(map(len, items), 200_000):
+                text = np.repeat(np.arange(b - a), [len(x) for x in items[a:b]])
+                sig = bag_minhash(text, np.concatenate(items[a:b]), np.concatenate(counts[a:b]).astype(np.int64), b - a, SKETCH)
+                out += [x.tobytes() for x in (mix64(sig.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "sketch"])
+    return bags.mapInArrow(compute, f"id {bags.schema['id'].dataType.simpleString()}, sketch binary")
