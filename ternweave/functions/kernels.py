@@ -92,10 +92,15 @@ def cosine_from(dots, na2, nb2):
     return np.divide(dots, den, out=np.zeros_like(den, dtype=np.float64), where=den > 0)
 
 
+def widened(probes: np.ndarray, binary: bool) -> np.ndarray:
+    """Probes in the type of the product with binary or float vectors; to be done once per task."""
+    return np.ascontiguousarray(probes, np.float32 if binary else np.float64)
+
+
 def score_block(metric: str, docs: np.ndarray, probes: np.ndarray) -> np.ndarray:
-    """float64[docs, probes]; larger is always better."""
+    """float64[docs, probes]; larger is always better.  Probes of :func:`widened` are not copied again."""
     wide = np.float64 if docs.dtype.kind == "f" else np.float32
-    a, b = docs.astype(wide), probes.astype(wide)
+    a, b = docs.astype(wide), probes.astype(wide, copy=False)
     dots = (a @ b.T).astype(np.float64)
     if metric == "raw_dot":
         return dots

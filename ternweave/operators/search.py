@@ -8,6 +8,7 @@ most tasks x probes x k rows gives the final ranking.  Ties are broken by docume
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,9 +21,12 @@ from pyspark.sql import types as T
 from ternweave.functions import kernels as K
 from ternweave.functions.encoding import encode_value
 from ternweave.functions.predicates import (ANY, check_request, guard_predicate, negation_predicate, negation_specs)
+from ternweave.functions.session import checkpoint_dir
 
 BROADCAST_BYTES = 64 << 20
 CELL_BYTES = 64 << 20
+#: Probes scored at once, and bytes counted for the id of a broadcast row.
+TILE, ID_BYTES = 2048, 64
 
 
 @dataclass(frozen=True)
@@ -58,18 +62,19 @@ class _Best:
         self.rows: list[tuple] = []
         self.held = 0
 
-    def offer(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None):
+    def offer(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None, first: int = 0):
+        """Scores of documents against the probes from ``first`` on."""
         if allowed is not None:
             scores = np.where(allowed, scores, -np.inf)
         n = len(scores)
         kmax = int(self.ks.max())
-        floor = self.floors
+        floor = self.floors[first:first + scores.shape[1]]
         if n > 4 * kmax:
             kth = np.partition(scores, n - kmax, axis=0)[n - kmax]
             floor = np.maximum(floor, kth)
         docs, probes = np.nonzero((scores >= floor) & (scores > -np.inf))
         if len(docs):
-            self.rows.append((probes, scores[docs, probes], ids[docs]))
+            self.rows.append((probes + first, scores[docs, probes], ids[docs]))
             self.held += len(docs)
             if self.held > 4 * int(self.ks.sum()) + 4096:
                 self.compact()
@@ -126,27 +131,36 @@ def _result_schema(query_type: T.DataType, doc_type: T.DataType) -> T.StructType
 
 def _scan(corpus: DataFrame, flags: list[str], query_type: T.DataType, query_ids, matrix: np.ndarray, ks, floors,
           flag_of, dims: int, metric: str) -> DataFrame:
-    """Score a bounded probe matrix against every partition of the corpus."""
+    """Score a bounded probe matrix against every partition of the corpus.  Without ``ks`` every score
+    from the floor on is given as it is found, and nothing is held or ranked."""
+    binary = isinstance(corpus.schema["vec"].dataType, T.BinaryType)
     spark = corpus.sparkSession
     doc_type = corpus.schema["doc_id"].dataType
-    shared = spark.sparkContext.broadcast((list(query_ids), matrix, np.asarray(ks), np.asarray(floors, float),
+    shared = spark.sparkContext.broadcast((list(query_ids), matrix, None if ks is None else np.asarray(ks), np.asarray(floors, float),
                                            np.asarray(flag_of)))
     a_doc, a_query = _arrow(doc_type), _arrow(query_type)
 
     def run(batches):
         ids_, probes, k_, floors_, flag_ = shared.value
-        best = _Best(k_, floors_)
-        step = max(1, min(K.rows_per_block(dims), K.BLOCK_BYTES // (8 * len(ids_))))
+        probes = K.widened(probes, binary)
+        best = None if k_ is None else _Best(k_, floors_)
+        step = max(1, min(K.rows_per_block(dims), K.BLOCK_BYTES // (8 * min(TILE, len(ids_)))))
         for whole in batches:
             for s in range(0, whole.num_rows, step):
                 b = whole.slice(s, step)
-                scores = K.score_block(metric, _vectors(b.column("vec"), dims), probes)
-                allowed = None
-                if flags:
-                    masks = np.column_stack([b.column(f).to_numpy(zero_copy_only=False).astype(bool) for f in flags])
-                    allowed = masks[:, flag_]
-                best.offer(scores, _ids(b.column("doc_id")), allowed)
-        yield from _emit(best, ids_, a_doc, a_query)
+                docs, names = _vectors(b.column("vec"), dims), _ids(b.column("doc_id"))
+                masks = np.column_stack([b.column(f).to_numpy(zero_copy_only=False).astype(bool) for f in flags]) if flags else None
+                for t in range(0, len(ids_), TILE):
+                    scores = K.score_block(metric, docs, probes[t:t + TILE])
+                    if best is not None:
+                        best.offer(scores, names, masks[:, flag_[t:t + TILE]] if flags else None, t)
+                        continue
+                    at, found = np.nonzero(scores >= floors_[t:t + TILE])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids_[t + i] for i in found], a_query), b.column("doc_id").take(pa.array(at)),
+                         pa.array(scores[at, found], pa.float64())], names=["query_id", "doc_id", "score"])
+        if best is not None:
+            yield from _emit(best, ids_, a_doc, a_query)
 
     return corpus.select("doc_id", "vec", *flags).mapInArrow(run, _result_schema(query_type, doc_type))
 
@@ -206,12 +220,8 @@ def batch_search(corpus: DataFrame, probes: list[Probe], dims: int, metric: str
     ks = [p.k for p in plain]
     floors = [p.threshold for p in plain]
     slots = list(range(len(plain)))
-    n = matrix.nbytes
-    if n > BROADCAST_BYTES:
-        step = max(1, BROADCAST_BYTES // dims)
-        groups = [slots[i:i + step] for i in range(0, len(slots), step)]
-    else:
-        groups = [slots]
+    step = _fitting(corpus, dims, BROADCAST_BYTES)
+    groups = [slots[i:i + step] for i in range(0, len(slots), step)]
     used = flags if filter_mode == "pre" and len(flags) > 1 else []
     scored = None
     for g in groups:
@@ -276,9 +286,11 @@ def search_table(corpus: DataFrame, probes: DataFrame, dims: int, k: int = 10, t
                  cells: tuple[int, int] | None = None) -> DataFrame:
     """A probe table (query_id, vec) against a corpus (doc_id, vec): (query_id, doc_id, score, rank).
 
-    Probes whose measured size fits ``broadcast_bytes`` are broadcast.  Otherwise both sides are
-    cut into a grid of bounded cells and every cell is scored by one task, so neither side has
-    to fit anywhere as a whole.  ``threshold=None`` keeps every score.
+    Both sides are counted.  The smaller one is broadcast if it fits ``broadcast_bytes`` in the type it is
+    multiplied in, ids included; the larger one is never collected, copied or shuffled.  If neither fits,
+    the probes pass over the corpus in slices of that size, and the results of each slice are stored in the
+    shared folder before the next.  ``cells`` asks for a grid of bounded cells instead, which
+    copies both sides.  ``threshold=None`` keeps every score.
     """
     if metric not in K.METRICS:
         raise ValueError(f"unknown metric {metric!r}; expected one of {K.METRICS}")
@@ -286,30 +298,58 @@ def search_table(corpus: DataFrame, probes: DataFrame, dims: int, k: int = 10, t
         raise ValueError("k must be >= 1")
     floor = -math.inf if threshold is None else float(threshold)
     ask = k + 1 if exclude_self else k
-    binary = isinstance(probes.schema["vec"].dataType, T.BinaryType)
-    width = dims if binary else dims * 4
-    limit = max(1, broadcast_bytes // width)
-    head = probes.select("query_id", "vec").limit(limit + 1).collect() if cells is None else []
-    if cells is None and len(head) <= limit:
-        if not head:
-            return _rank(_grid(corpus, probes, dims, ask, floor, metric, (1, 1)), F.lit(k))
-        matrix = np.stack([np.frombuffer(r["vec"], np.int8) if binary else np.asarray(r["vec"], np.float64)
-                           for r in head])
-        scored = _scan(corpus, [], probes.schema["query_id"].dataType, [r["query_id"] for r in head], matrix,
-                       [ask] * len(head), [floor] * len(head), [0] * len(head), dims, metric)
+    if cells is not None:
+        scored = _grid(corpus, probes, dims, ask, floor, metric, cells)
     else:
-        few = corpus.select("doc_id", "vec").limit(limit + 1).collect() if cells is None else None
-        if few and len(few) <= limit:
+        limit = _fitting(corpus, dims, broadcast_bytes)
+        asked, known = probes.count(), corpus.count()
+        if 0 < known <= limit and known < asked:
+            few = corpus.select("doc_id", "vec").collect()
             return _scan_probes(few, corpus.schema["doc_id"].dataType, probes, dims, k, floor, metric, exclude_self)
-        if cells is None:
-            sizes = [df.count() * width for df in (corpus, probes)]
-            cells = tuple(max(1, math.ceil(s / CELL_BYTES)) for s in sizes)
-        scored = _grid(corpus, probes, dims, ask, floor, metric, cells)
+        scored = _slices(corpus, probes, asked, limit, ask, floor, dims, metric)
     if exclude_self:
         scored = scored.where(F.col("query_id") != F.col("doc_id"))
     return _rank(scored, F.lit(k))
 
 
+def score_table(corpus: DataFrame, probes: DataFrame, dims: int, threshold: float | None = None, metric: str = "dot",
+                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Every (query_id, doc_id, score) from the threshold on: no k, no rank, and no state in the tasks."""
+    if metric not in K.METRICS:
+        raise ValueError(f"unknown metric {metric!r}; expected one of {K.METRICS}")
+    floor = -math.inf if threshold is None else float(threshold)
+    return _slices(corpus, probes, probes.count(), _fitting(corpus, dims, broadcast_bytes), None, floor, dims, metric)
+
+
+def _fitting(corpus: DataFrame, dims: int, broadcast_bytes: int) -> int:
+    """Rows that fit a broadcast, as wide as they are multiplied."""
+    binary = isinstance(corpus.schema["vec"].dataType, T.BinaryType)
+    return max(1, broadcast_bytes // (dims * (4 if binary else 8) + ID_BYTES))
+
+
+def _slices(corpus, probes, asked: int, limit: int, k: int | None, floor: float, dims: int, metric: str) -> DataFrame:
+    query_type, doc_type = probes.schema["query_id"].dataType, corpus.schema["doc_id"].dataType
+    binary = isinstance(probes.schema["vec"].dataType, T.BinaryType)
+
+    def scan(rows):
+        matrix = np.stack([np.frombuffer(r["vec"], np.int8) if binary else np.asarray(r["vec"], np.float64) for r in rows])
+        return _scan(corpus, [], query_type, [r["query_id"] for r in rows], matrix, None if k is None else [k] * len(rows),
+                     [floor] * len(rows), [0] * len(rows), dims, metric)
+
+    if not asked:
+        return corpus.sparkSession.createDataFrame([], _result_schema(query_type, doc_type))
+    if asked <= limit:
+        return scan(probes.select("query_id", "vec").collect())
+    spark = corpus.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("query_id", "vec"), F.lit(-(-asked // limit) + 1))
+    for i in range(-(-asked // limit) + 1):
+        rows = probes.select("query_id", "vec").where(part == i).collect()
+        for a in range(0, len(rows), limit):
+            scan(rows[a:a + limit]).write.mode("append").parquet(path)
+    return spark.read.schema(_result_schema(query_type, doc_type)).parquet(path)
+
+
 def _scan_probes(docs, doc_type, probes, dims, k, floor, metric, exclude_self) -> DataFrame:
     """Many probes against a small corpus: the corpus is broadcast and every probe row is ranked
     where it lies, without a shuffle."""
@@ -317,11 +357,13 @@ def _scan_probes(docs, doc_type, probes, dims, k, floor, metric, exclude_self) -
     docs = sorted(docs, key=lambda r: r["doc_id"])
     matrix = np.stack([np.frombuffer(r["vec"], np.int8) if binary else np.asarray(r["vec"], np.float64) for r in docs])
     shared = probes.sparkSession.sparkContext.broadcast(([r["doc_id"] for r in docs], matrix))
+    wide = isinstance(probes.schema["vec"].dataType, T.BinaryType)
     query_type = probes.schema["query_id"].dataType
     a_doc, a_query = _arrow(doc_type), _arrow(query_type)
 
     def run(batches):
         names, known = shared.value
+        known = K.widened(known, wide)
         take = min(len(names), k + 1 if exclude_self else k)
         step = max(1, min(K.rows_per_block(dims), K.BLOCK_BYTES // (8 * len(names))))
         for whole in batches:
@@ -358,13 +400,14 @@ def _grid(corpus, probes, dims, k, floor, metric, cells) -> DataFrame:
     a_doc, a_query = _arrow(doc_type), _arrow(query_type)
     schema = _result_schema(query_type, doc_type)
     a_schema = pa.schema([("query_id", a_query), ("doc_id", a_doc), ("score", pa.float64())])
+    wide = isinstance(corpus.schema["vec"].dataType, T.BinaryType)
 
     def run(docs: pa.Table, asks: pa.Table) -> pa.Table:
         n = asks.num_rows
         if not n or not docs.num_rows:
             return a_schema.empty_table()
         query_ids = asks.column("query_id").to_pylist()
-        probes_ = _vectors(asks.column("vec").combine_chunks(), dims)
+        probes_ = K.widened(_vectors(asks.column("vec").combine_chunks(), dims), wide)
         best = _Best(np.full(n, k), np.full(n, floor))
         step = max(1, min(K.rows_per_block(dims), K.BLOCK_BYTES // (8 * n)))
         for s in range(0, docs.num_rows, step):

@@ -153,8 +153,7 @@ def search_metric_cosine(spark, sf):
 
 def _all_scores(spark, sf, metric):
     probe = spark.createDataFrame([(0, bytearray(E.encode_document(P, D)))], "query_id INT, vec BINARY")
-    n = 1 << 30
-    return S.search_table(parts(spark, sf), probe, D, n, None, metric).select(
+    return S.score_table(parts(spark, sf), probe, D, None, metric).select(
         "doc_id", F.round(F.round("score", 9), 6).alias("score"))
 
 
@@ -220,7 +219,7 @@ def search_approximate(spark, sf):
 def search_noise_threshold(spark, sf):
     """Hits above the noise level of unrelated documents."""
     floor = S.noise_threshold(D, 6.0)
-    hits = S.search_table(parts(spark, sf), _brand_probes(spark, sf), D, 1 << 30, floor)
+    hits = S.score_table(parts(spark, sf), _brand_probes(spark, sf), D, floor)
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
