@@ -195,26 +195,26 @@ def topological_similarity(a: str = "a", b: str = "b") -> Column:
     return (score + DENSITY_WEIGHT * (1 - gap) + ROLE_WEIGHT * distribution_similarity(a, b)) / F.lit(total)
 
 
-def similar_by_features(feature_table: DataFrame, probes: DataFrame, k: int = 5, max_probes: int = 100) -> DataFrame:
+def similar_by_features(feature_table: DataFrame, probes: DataFrame, k: int = 5) -> DataFrame:
     """Top-k graphs per probe graph by feature agreement: (query_id, graph_id, score, rank).
 
-    Equal feature rows score alike, so graphs are first cut to the k smallest ids per feature
-    combination; probe rows are few by contract and checked.
+    Equal feature rows score alike, so both sides are cut to their different feature combinations, graphs
+    with the k smallest ids of each; combinations are compared once, and each probe graph
+    then takes the result of its own.  Neither table passes through the driver.
     """
     cols = [*SIMILARITY_WEIGHTS, "density", *[f"role_{x}" for x in ROLES]]
-    asked = probes.select(F.col("graph_id").alias("query_id"), *cols).limit(max_probes + 1).collect()
-    if len(asked) > max_probes:
-        raise ValueError(f"more than {max_probes} probe graphs: search by vector instead")
     same = Window.partitionBy(*cols).orderBy("graph_id")
     reps = feature_table.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k)
-    if not asked:
-        return reps.limit(0).select(F.col("graph_id").alias("query_id"), "graph_id", F.lit(0.0).alias("score"),
-                                    F.lit(0).alias("rank"))
-    literal = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("query_id", *cols)]) for r in asked])
-    scored = (reps.select("graph_id", F.struct(*cols).alias("a"), F.explode(literal).alias("b"))
-              .select("b.query_id", "graph_id", F.round(topological_similarity(), 9).alias("score")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "graph_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    kinds = probes.groupBy(*cols).agg(F.min("graph_id").alias("kind"))
+    # every combination meets every graph combination: a nested loop over the two reduced tables, streamed over one of them
+    scored = (reps.select("graph_id", F.struct(*cols).alias("a"))
+              .join(kinds.select("kind", F.struct(*cols).alias("b")), F.col("a").isNotNull() & F.col("b").isNotNull())
+              .select("kind", "graph_id", F.round(topological_similarity(), 9).alias("score")))
+    w = Window.partitionBy("kind").orderBy(F.desc("score"), "graph_id")
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    on = [probes[c].eqNullSafe(kinds[c]) for c in cols]
+    asked = probes.join(kinds, on).select(probes["graph_id"].alias("query_id"), "kind")
+    return asked.join(best, "kind").select("query_id", "graph_id", "score", "rank")
 
 
 def representatives(feature_table: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -121,27 +122,28 @@ def judge(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 FACT = ("subject", "relation", "object")
 
 
-def forward_chain(facts: DataFrame, rules: list, max_rounds: int = 3) -> DataFrame:
+def forward_chain(facts: DataFrame, rules: list, max_rounds: int | None = None) -> DataFrame:
     """Facts derived from ``facts(subject, relation, object)`` by ``rules``, with an ``is_input`` flag.
 
     A rule is ``rule(known, fresh) -> DataFrame`` of facts; ``fresh`` are the facts of the last
     round, so a rule can join only what is new.  Facts already known are removed, hence nothing
-    is derived twice, and the loop stops when a round adds nothing.
+    is derived twice, and the loop goes on until a round adds nothing: the closure is complete.  A given
+    ``max_rounds`` that is not enough is an error.  Each round's facts are stored once and never rewritten.
     """
     checkpoint_dir(facts.sparkSession)
-    known = facts.select(*FACT).distinct().withColumn("is_input", F.lit(True)).checkpoint()
-    fresh = known
-    for _ in range(max_rounds):
+    known = fresh = facts.select(*FACT).distinct().withColumn("is_input", F.lit(True)).checkpoint()
+    for done in itertools.count():
         made = reduce(lambda a, b: a.unionByName(b), [r(known, fresh).select(*FACT) for r in rules])
         fresh = (made.distinct().join(known.select(*FACT), list(FACT), "left_anti")
                  .withColumn("is_input", F.lit(False))).checkpoint()
         if not fresh.limit(1).count():
-            break
-        known = known.unionByName(fresh).checkpoint()
-    return known
+            return known
+        if done == max_rounds:
+            raise RuntimeError(f"facts still follow after {max_rounds} rounds")
+        known = known.unionByName(fresh)
 
 
-def replay(derived: DataFrame, rules: list, max_rounds: int = 3) -> DataFrame:
+def replay(derived: DataFrame, rules: list, max_rounds: int | None = None) -> DataFrame:
     """Chain again from the input facts alone."""
     return forward_chain(derived.where("is_input"), rules, max_rounds)
 

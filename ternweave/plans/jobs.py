@@ -34,15 +34,14 @@ di AS (SELECT doc_id AS id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FRO
 {codebook_sql("SELECT a FROM di", D)}, {_vec_sql('di', 'cb', 'uv')},
 dl AS (SELECT id, list(x ORDER BY d)::FLOAT[] AS v FROM uv GROUP BY id),
 ld AS (SELECT id, min(id) OVER (PARTITION BY v) AS leader, v FROM dl),
-pa AS (SELECT a.id AS doc_id, b.id AS other_id, CAST(list_dot_product(a.v, b.v) AS DOUBLE) / {D}.0 AS s FROM ld a, ld b
-  WHERE a.id = a.leader AND b.id = b.leader AND a.id <> b.id),
-pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, other_id) AS r FROM pa WHERE s >= {THRESHOLD}) WHERE r <= 20)"""
+pk AS (SELECT * FROM (SELECT a.id AS doc_id, b.id AS other_id, CAST(list_dot_product(a.v, b.v) AS DOUBLE) / {D}.0 AS s FROM ld a, ld b
+  WHERE a.id <> b.id AND ((a.id = a.leader AND b.id = b.leader) OR a.leader = b.id OR b.leader = a.id)) WHERE s >= {THRESHOLD})"""
 
 
 @query(f"WITH {_DOCS} SELECT doc_id, other_id, round(s, 6) AS score FROM pk")
 def duplicate_pairs(spark, sf):
-    """Near-duplicate documents among distinct vectors."""
-    return Dup.similar_pairs(doc_vectors(spark, sf), D, 20, THRESHOLD).withColumn("score", F.round("score", 6))
+    """All pairs of near-duplicate documents with distinct vectors, and of copies with their leader."""
+    return Dup.similar_pairs(doc_vectors(spark, sf), D, None, THRESHOLD).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH RECURSIVE {_DOCS.strip()},
@@ -52,14 +51,19 @@ re(id, g) AS (SELECT DISTINCT a, a FROM ed UNION SELECT ed.b, re.g FROM re JOIN
 SELECT e.a AS doc_id, least(e.a, coalesce(min(re.g), e.a)) AS "group" FROM (SELECT DISTINCT a FROM ed) e LEFT JOIN re ON re.id = e.a GROUP BY e.a""")
 def duplicate_groups(spark, sf):
     """Connected groups of near duplicates and copies."""
-    return Dup.duplicate_groups(doc_vectors(spark, sf), D, 20, THRESHOLD)
+    return Dup.duplicate_groups(doc_vectors(spark, sf), D, THRESHOLD)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DOCS.strip()},
+hi AS MATERIALIZED (SELECT b.id AS doc_id, a.id AS by_id FROM dl a JOIN dl b ON a.id < b.id AND list_dot_product(a.v, b.v) / {D}.0 >= {THRESHOLD}),
+vx AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS n FROM dl),
+gr AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS heads, NULL::BIGINT AS doc_id, NULL::BIGINT AS leader UNION ALL
+  SELECT vx.n, CASE WHEN h.head IS NULL THEN list_append(gr.heads, vx.id) ELSE gr.heads END, vx.id, coalesce(h.head, vx.id)
+  FROM gr JOIN vx ON vx.n = gr.n + 1 LEFT JOIN LATERAL (SELECT min(by_id) AS head FROM hi WHERE hi.doc_id = vx.id AND list_contains(gr.heads, by_id)) h ON TRUE)
+SELECT doc_id, leader FROM gr WHERE doc_id IS NOT NULL AND leader IN (SELECT leader FROM gr WHERE doc_id IS NOT NULL GROUP BY leader HAVING count(*) > 1)""")
 def duplicate_greedy_clusters(spark, sf):
-    """Greedy clusters in id order over distinct vectors."""
-    v = doc_vectors(spark, sf)
-    return Dup.greedy_clusters(v.select("doc_id"), Dup.similar_pairs(v, D, 20, THRESHOLD))
+    """Greedy clusters in id order, copies included."""
+    return Dup.greedy_duplicates(doc_vectors(spark, sf), D, THRESHOLD)
 
 
 @query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS labels, p_brand FROM part)

@@ -141,12 +141,24 @@ def test_groups_and_greedy_clusters(spark):
     assert got == want
 
 
-def test_copies_do_not_pair(spark):
+def test_copies_pair_with_their_leader(spark):
     base = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"t{i}") for i in range(60)], "doc_id INT, t STRING")
     c = base.withColumn("vec", encode_row("t", dims=256))
-    assert Dup.similar_pairs(c, 256, 20, 0.4).where("doc_id % 3 = 0 AND other_id % 3 = 0").count() == 0
-    g = Dup.duplicate_groups(c, 256, 20, 0.4).collect()
+    same = [i for i in range(3, 60, 3)]
+    pairs = {(r.doc_id, r.other_id) for r in Dup.similar_pairs(c, 256, None, 0.4).collect()}
+    assert {p for p in pairs if p[0] % 3 == 0 and p[1] % 3 == 0} == {(0, i) for i in same} | {(i, 0) for i in same}
+    g = Dup.duplicate_groups(c, 256, 0.4).collect()
     assert {r.doc_id for r in g} == {i for i in range(60) if i % 3 == 0} and {r.group for r in g} == {0}
+    greedy = {r.doc_id: r.leader for r in Dup.greedy_duplicates(c, 256, 0.4).collect()}
+    assert greedy == {i: 0 for i in range(0, 60, 3)}
+
+
+def test_links_are_not_cut(spark):
+    """Forty documents that all resemble each other: every pair is there."""
+    c = spark.createDataFrame([(i, [f"w{j}" for j in range(30)] + [f"own{i}"]) for i in range(40)], "doc_id INT, t ARRAY<STRING>")
+    c = c.withColumn("vec", encode_row("t", dims=1024))
+    pairs = Dup.similar_pairs(c, 1024, None, 0.2).collect()
+    assert len({(r.doc_id, r.other_id) for r in pairs}) == 40 * 39
 
 
 def test_rules(spark):
@@ -163,6 +175,14 @@ def test_rules(spark):
     assert got["u"] == (["diamond", "square"], 2, "red")
 
 
+def test_forward_chaining_reaches_the_fixpoint(spark):
+    facts = spark.createDataFrame([(f"n{i}", "in", f"n{i + 1}") for i in range(12)], "subject STRING, relation STRING, object STRING")
+    out = R.forward_chain(facts, [R.transitive("in")])
+    assert out.count() == 12 * 13 // 2 and out.where("is_input").count() == 12
+    with pytest.raises(RuntimeError, match="still follow"):
+        R.forward_chain(facts, [R.transitive("in")], max_rounds=1)
+
+
 def test_forward_chaining(spark):
     facts = spark.createDataFrame([("alice", "parent_of", "bob"), ("bob", "parent_of", "charlie")], "subject STRING, relation STRING, object STRING")
     rules = [R.implies("parent_of", "has_children")]
