@@ -312,6 +312,36 @@ def search_table(corpus: DataFrame, probes: DataFrame, dims: int, k: int = 10, t
     return _rank(scored, F.lit(k))
 
 
+def search_requests(corpus: DataFrame, requests: DataFrame, dims: int, guards: dict[str, Column] | None = None,
+                    metric: str = "dot") -> DataFrame:
+    """A table of requests (query_id, vec, k, threshold, guard) against a corpus: (query_id, doc_id, score, rank).
+
+    Every request has its own k, threshold and guard.  ``guards`` names the conditions over the corpus's columns;
+    a null guard lets every document through and an unknown name is an error.  Each guard filters the
+    corpus before anything is scored, where the scan can use it, and only the requests that name it are
+    compared with what it leaves."""
+    guards = guards or {}
+    named = {r["guard"] for r in requests.select("guard").distinct().collect()}
+    if unknown := sorted(g for g in named if g is not None and g not in guards):
+        raise ValueError(f"unknown guards {unknown}")
+    if requests.where("k < 1 or k is null").limit(1).count():
+        raise ValueError("k must be >= 1")
+    out = None
+    for g in sorted(named, key=lambda x: (x is not None, x)):
+        own = requests.where(F.col("guard").eqNullSafe(F.lit(g)))
+        view = corpus if g is None else corpus.where(guards[g])
+        asks = own.agg(F.max("k").alias("k"), F.min(F.coalesce("threshold", F.lit(-math.inf))).alias("t")).first()
+        hits = search_table(view.select("doc_id", "vec"), own.select("query_id", "vec"), dims, int(asks["k"]), float(asks["t"]), metric)
+        limits = own.select("query_id", F.col("k").alias("_k"), F.coalesce("threshold", F.lit(-math.inf)).alias("_t"))
+        part = hits.join(limits, "query_id").where((F.col("rank") <= F.col("_k")) & (F.col("score") >= F.col("_t"))).drop("_k", "_t")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        schema = T.StructType([*_result_schema(requests.schema["query_id"].dataType, corpus.schema["doc_id"].dataType),
+                               T.StructField("rank", T.IntegerType())])
+        return corpus.sparkSession.createDataFrame([], schema)
+    return out.select("query_id", "doc_id", "score", "rank")
+
+
 def score_table(corpus: DataFrame, probes: DataFrame, dims: int, threshold: float | None = None, metric: str = "dot",
                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every (query_id, doc_id, score) from the threshold on: no k, no rank, and no state in the tasks."""

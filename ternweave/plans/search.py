@@ -197,6 +197,30 @@ def search_probe_table_grid(spark, sf):
         "score", F.round("score", 6))
 
 
+_REQUESTS = f"""WITH {pairs_sql("part", "p_partkey", PART)}, rq AS (SELECT p_brand || '/' || p_size AS id, p_brand AS b, CAST(p_size AS VARCHAR) AS z,
+  1 + p_size % 7 AS k, (p_size % 4) * 0.1 AS t, CASE p_size % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'not_economy' END AS g
+  FROM (SELECT DISTINCT p_brand, p_size FROM part)),
+bkv AS (SELECT id, 'p_brand' AS k, b AS v FROM rq UNION ALL SELECT id, 'p_size', z FROM rq),
+{codebook_sql("SELECT k AS a FROM kv UNION SELECT v FROM kv", D)}, {map_sql("dv")}, {map_sql("qv", "bkv")},
+dl AS (SELECT id, list(x ORDER BY d)::FLOAT[] AS v FROM dv GROUP BY id), ql AS (SELECT id, list(x ORDER BY d)::FLOAT[] AS v FROM qv GROUP BY id),
+sc AS (SELECT rq.id AS q, rq.k, dl.id AS doc_id, CAST(list_dot_product(dl.v, ql.v) AS DOUBLE) / {D}.0 AS s, t FROM rq JOIN ql USING (id), dl JOIN part ON p_partkey = dl.id
+  WHERE g IS NULL OR (g = 'small' AND part.p_size < 20) OR (g = 'not_economy' AND part.p_type <> 'ECONOMY')),
+hit AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, doc_id) AS rn FROM sc WHERE s >= t)
+SELECT q AS query_id, doc_id, round(s, 6) AS score, CAST(rn AS INT) AS rank FROM hit WHERE rn <= k"""
+
+
+@query(_REQUESTS)
+def search_request_table(spark, sf):
+    """A request per brand and size, each with its own k, threshold and guard."""
+    size = F.col("p_size")
+    asks = table(spark, sf, "part").select("p_brand", "p_size").distinct().select(
+        F.concat_ws("/", "p_brand", size.cast("string")).alias("query_id"), E.encode_row("p_brand", "p_size", dims=D).alias("vec"),
+        (1 + size % 7).alias("k"), ((size % 4) * F.lit(0.1)).alias("threshold"),
+        F.when(size % 3 == 0, "small").when(size % 3 == 1, "not_economy").alias("guard"))
+    guards = {"small": F.col("p_size") < 20, "not_economy": F.col("p_type") != "ECONOMY"}
+    return S.search_requests(parts(spark, sf), asks, D, guards).withColumn("score", F.round("score", 6))
+
+
 @query(_BRANDS + """ SELECT q AS query_id, CAST(10 AS BIGINT) AS hits_a, CAST(10 AS BIGINT) AS hits_b, CAST(10 AS BIGINT) AS shared,
   TRUE AS consistent FROM hit WHERE rn = 10""")
 def search_consistency(spark, sf):

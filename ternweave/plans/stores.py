@@ -11,7 +11,7 @@ from ternweave.functions.session import checkpoint_dir
 from ternweave.operators import corpus as C
 from ternweave.operators import search as S
 from ternweave.operators.encode import encode_json, encode_row
-from ternweave.plans.common import HEX, codebook_sql, flat_map_sql, hex_text, map_sql, query, table
+from ternweave.plans.common import HEX, codebook_sql, flat_map_sql, hex_text, map_sql, pairs_sql, query, table
 from ternweave.plans.corpus import UNITS
 from ternweave.sources import documents as Docs
 from ternweave.sources.store import DocumentStore
@@ -167,3 +167,54 @@ def index_consistency(spark, sf):
     probe = table(spark, sf, "part").select("p_brand").distinct().select(
         F.col("p_brand").alias("query_id"), encode_row("p_brand", dims=D).alias("vec"))
     return S.compare_results(S.search_table(fresh, probe, D, 10), S.search_table(store.vectors(), probe, D, 10))
+
+
+# ---- writes keyed by id ----------------------------------------------------------------------
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, p_brand FROM part")
+def store_insert_twice(spark, sf):
+    """The same insert again, and new texts under known ids, change nothing."""
+    store = _filled(spark, sf)
+    store.insert(part_docs(spark, sf))
+    store.insert(part_docs(spark, sf).withColumn("doc", F.lit('{"p_brand": "other"}')))
+    return store.documents().select("doc_id", F.get_json_object("doc", "$.p_brand").alias("p_brand"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CASE WHEN p_size < 10 THEN 'small' ELSE p_brand END AS brand FROM part WHERE p_type <> 'SMALL'")
+def store_reopen(spark, sf):
+    """A store reopened with another number of buckets finds, replaces and deletes the rows it has; it is rebucketed in between."""
+    path = _filled(spark, sf).path
+    p = table(spark, sf, "part")
+    again = DocumentStore(spark, path, D, buckets=3)
+    again.upsert(p.where("p_size < 10").select(F.col("p_partkey").alias("doc_id"), F.lit('{"p_brand": "small"}').alias("doc")))
+    again.rebucket(16)
+    third = DocumentStore(spark, path, D, buckets=5)
+    third.delete(p.where("p_type = 'SMALL'").select(F.col("p_partkey").alias("doc_id")))
+    return third.documents().select("doc_id", F.get_json_object("doc", "$.p_brand").alias("brand"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CASE WHEN p_size % 5 = 0 THEN 'second' ELSE p_brand END AS brand, FALSE AS bad FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'broken', TRUE FROM part WHERE p_size % 7 = 0""")
+def store_upsert_repeated(spark, sf):
+    """An upsert with two rows of one id, of which the later stays, and malformed rows, which go to quarantine."""
+    store, p = _filled(spark, sf), table(spark, sf, "part")
+    rows = p.where("p_size % 5 = 0").select(F.col("p_partkey").alias("doc_id"), F.explode(F.array(
+        F.struct(F.lit(1).alias("ordinal"), F.lit('{"p_brand": "first"}').alias("doc")),
+        F.struct(F.lit(2).alias("ordinal"), F.lit('{"p_brand": "second"}').alias("doc")))).alias("r")).select("doc_id", "r.*")
+    store.upsert(rows.unionByName(p.where("p_size % 7 = 0").select(F.col("p_partkey").alias("doc_id"), F.lit(3).alias("ordinal"), F.lit("broken").alias("doc"))))
+    good = store.documents().select("doc_id", F.get_json_object("doc", "$.p_brand").alias("brand"), F.lit(False).alias("bad"))
+    return good.unionByName(store.quarantined().select("doc_id", F.col("text").alias("brand"), F.lit(True).alias("bad")))
+
+
+_STORED = f"""WITH {pairs_sql("part", "p_partkey", PART)}, bkv AS (SELECT DISTINCT p_brand AS id, 'p_brand' AS k, p_brand AS v FROM part),
+{codebook_sql("SELECT k AS a FROM kv UNION SELECT v FROM kv", D)}, {map_sql("dv")}, {map_sql("qv", "bkv")},
+sc AS (SELECT qv.id AS q, CAST(dv.id AS VARCHAR) AS doc_id, CAST(sum(dv.x * qv.x) AS BIGINT) AS s FROM dv JOIN qv USING (d) GROUP BY qv.id, dv.id),
+hit AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, doc_id) AS rn FROM sc WHERE s >= 0)"""
+
+
+@query(_STORED + f" SELECT q AS query_id, doc_id, round(s / {D}.0, 6) AS score, CAST(rn AS INT) AS rank FROM hit WHERE rn <= 10")
+def search_stored(spark, sf):
+    """One probe per brand over the vectors of a store; nothing is encoded again."""
+    probes = table(spark, sf, "part").select("p_brand").distinct().select(
+        F.col("p_brand").alias("query_id"), encode_row("p_brand", dims=D).alias("vec"))
+    return S.search_table(_filled(spark, sf).vectors(), probes, D, 10).withColumn("score", F.round("score", 6))
