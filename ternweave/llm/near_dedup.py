@@ -163,10 +163,10 @@ def _verified(pairs: DataFrame, count: int, bags: DataFrame, threshold: float) -
     """The pairs (a, b, ca, cb) of at least the threshold's similarity, as (ca, cb)."""
     def check(batches):
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("ia", "na", "ib", "nb")]
+            cols = [batch.column(c) for c in ("ia", "na", "ib", "nb")]
             keep = []
-            for row in zip(*cols, strict=True):
-                common, union = overlap(*row)
+            for i in range(batch.num_rows):
+                common, union = overlap(*[c[i].as_buffer() for c in cols])          # no copies of a batch of bags
                 keep.append(union > 0 and common >= threshold * union - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("ca"), batch.column("cb")], names=["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
@@ -309,10 +309,10 @@ def _sketches(bags: DataFrame) -> DataFrame:
     """(id, sketch): one byte of each of SKETCH signature components."""
     def compute(batches):
         for batch in batches:
-            items = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
-            counts = [np.frombuffer(x, "<u4") for x in batch.column("counts").to_pylist()]
+            items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("items")]
+            counts = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("counts")]
             out = []
-            for a, b in portions(map(len, items), 200_000):
+            for a, b in portions((max(len(x), 200) for x in items), 200_000):            # 1000 texts at most
                 text = np.repeat(np.arange(b - a), [len(x) for x in items[a:b]])
                 sig = bag_minhash(text, np.concatenate(items[a:b]), np.concatenate(counts[a:b]).astype(np.int64), b - a, SKETCH)
                 out += [x.tobytes() for x in (mix64(sig.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)]
