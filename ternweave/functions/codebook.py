@@ -72,12 +72,26 @@ def atom_text(value) -> str:
     return value if isinstance(value, str) else str(value)
 
 
+def _float_text(text: Column) -> Column:
+    """The text that Python gives the double whose SQL text is ``text``: plain between 1e-4 and 1e16."""
+    size = F.abs(text.try_cast("double"))
+    plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    mantissa = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+    power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    scientific = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(
+        F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    return (F.when(F.isnan(text.try_cast("double")), "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf")
+            .when((size >= 1e-3) & (size < 1e7) | (size == 0), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific))
+
+
 def canon_atom(col, data_type: str | None = None) -> Column:
-    """The same text as :func:`atom_text`, as a JVM expression."""
+    """The same text as :func:`atom_text`, as a JVM expression.  Booleans, floats and doubles are known by the
+    column's type; a FLOAT has the text of its shortest decimal form.  (Before version 19 Java itself gives a digit more
+    than needed for a few numbers, such as 2.5e22; those alone differ.)"""
     c = F.col(col) if isinstance(col, str) else col
-    text = c.cast("string")
-    if data_type == "boolean":
-        text = F.initcap(text)
+    text, kind = c.cast("string"), F.typeof(c)
+    text = (F.when(F.lit(data_type == "boolean") | (kind == "boolean"), F.initcap(text))
+            .when(kind.isin("double", "float"), _float_text(text)).otherwise(text))
     return F.coalesce(text, F.lit("nil"))
 
 

@@ -22,9 +22,10 @@ RANGE_OPS = {
 MAX_K = 100
 
 
-def check_request(k: int, threshold: float = 0.0) -> None:
-    if not 1 <= k <= MAX_K:
-        raise ValueError(f"k must be between 1 and {MAX_K}, got {k}")
+def check_request(k: int, threshold: float = 0.0, max_k: int | None = MAX_K) -> None:
+    """Limits of a request; ``max_k`` is an option of a service, and None is no limit."""
+    if k < 1 or (max_k is not None and k > max_k):
+        raise ValueError(f"k must be {'at least 1' if max_k is None else f'between 1 and {max_k}'}, got {k}")
     if not 0.0 <= threshold <= 1.0:
         raise ValueError(f"threshold must be between 0 and 1, got {threshold}")
 

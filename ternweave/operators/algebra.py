@@ -36,25 +36,34 @@ def _single(fn, dims):
     return run
 
 
+def _exact(wide: np.ndarray) -> np.ndarray:
+    """Elements as int8; beyond its range an error rather than another number."""
+    if wide.size and (wide.max() > 127 or wide.min() < -128):
+        raise ValueError("vector elements leave the range of int8: sign or normalise before")
+    return wide.astype(np.int8)
+
+
 def bind(a, b, dims: int) -> Column:
     """Element-wise product; also unbinds (exactly only where the key is not 0)."""
-    return _pairwise(lambda x, y: x * y, dims)(_c(a), _c(b))
+    return _pairwise(lambda x, y: _exact(x.astype(np.int16) * y), dims)(_c(a), _c(b))
 
 
 unbind = bind
 
 
 def subtract(a, b, dims: int) -> Column:
-    """Element-wise difference, not signed: values in [-2, 2]."""
-    return _pairwise(lambda x, y: x - y, dims)(_c(a), _c(b))
+    """Element-wise difference, not signed: values in [-2, 2] of signed vectors."""
+    return _pairwise(lambda x, y: _exact(x.astype(np.int16) - y), dims)(_c(a), _c(b))
 
 
 def add(a, b, dims: int) -> Column:
-    return _pairwise(lambda x, y: x + y, dims)(_c(a), _c(b))
+    """Element-wise sum, not signed."""
+    return _pairwise(lambda x, y: _exact(x.astype(np.int16) + y), dims)(_c(a), _c(b))
 
 
 def scale(a, factor: int, dims: int) -> Column:
-    return _single(lambda x: (x.astype(np.int16) * factor).clip(-128, 127).astype(np.int8), dims)(_c(a))
+    """Elements times a whole number."""
+    return _single(lambda x: _exact(x.astype(np.int64) * factor), dims)(_c(a))
 
 
 def threshold(a, dims: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ternweave.functions import encoding as E
-from ternweave.functions.codebook import check_dims
+from ternweave.functions.codebook import canon_atom, check_dims
 from ternweave.functions.kernels import rows_per_block, to_binary
 from ternweave.functions.rows import explode_into
 
@@ -135,7 +135,7 @@ def encode_idf_ngrams(units: DataFrame, unit_id: str, words: str, dims: int = DE
                       n: int = 2, cap: float = 2.0, single: float = 0.8) -> DataFrame:
     """Content-keyed IDF weighting: unigrams weigh ``single``, n-grams ``min(idf, cap)``.
 
-    Weights travel as short gram rows; no vector is shuffled.
+    Weights travel as short gram rows; no vector is shuffled.  A unit without words has the zero vector.
     """
     scale = F.lit(E.SCALE)
     idf = idf_table(units, unit_id, words, n)
@@ -150,7 +150,9 @@ def encode_idf_ngrams(units: DataFrame, unit_id: str, words: str, dims: int = DE
                        (F.col("times") * F.floor(F.lit(single) * scale + 0.5)).cast("bigint").alias("weight")))
     patterns = (weighted.unionByName(singles).groupBy(unit_id)
                 .agg(F.collect_list(F.struct("gram", "weight")).alias("patterns")))
-    return patterns.select(unit_id, encode_weighted_patterns("patterns", dims).alias("vec"))
+    vectors = patterns.select(unit_id, encode_weighted_patterns("patterns", dims).alias("vec"))
+    zero = F.coalesce("vec", F.lit(bytearray(dims))).alias("vec")
+    return units.select(unit_id).distinct().join(vectors, unit_id, "left").select(unit_id, zero)
 
 
 def atoms_of_json(col: Column | str) -> Column:
@@ -171,7 +173,7 @@ def atoms_of_json(col: Column | str) -> Column:
 
 def atoms_of_row(*columns: str) -> Column:
     """Distinct keys and scalar texts of a flat row, as a built-in expression."""
-    values = [F.coalesce(F.col(c).cast("string"), F.lit("nil")) for c in columns]
+    values = [canon_atom(c) for c in columns]
     return F.array_sort(F.array_distinct(F.array(*[F.lit(c) for c in columns], *values)))
 
 

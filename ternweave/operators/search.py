@@ -171,13 +171,14 @@ def _rank(scored: DataFrame, k: Column) -> DataFrame:
 
 
 def batch_search(corpus: DataFrame, probes: list[Probe], dims: int, metric: str = "dot",
-                 filter_mode: str = "pre", schema=None, compat: bool = False) -> DataFrame:
+                 filter_mode: str = "pre", schema=None, compat: bool = False, max_k: int | None = None) -> DataFrame:
     """Many requests in one pass: (query_id, doc_id, score, rank).
 
     ``corpus`` has ``doc_id``, ``vec`` and the columns guards refer to.  With
     ``filter_mode='pre'`` guards and negations are applied before scoring, so k matching rows
     return when there are k; ``'post'`` cuts to k first and filters afterwards.  ``schema`` is
-    the guard source (a VARIANT column's name, or the corpus schema by default).
+    the guard source (a VARIANT column's name, or the corpus schema by default).  ``max_k`` is the limit
+    that a service may set; there is none by default.
     """
     if filter_mode not in ("pre", "post"):
         raise ValueError("filter_mode must be 'pre' or 'post'")
@@ -185,7 +186,7 @@ def batch_search(corpus: DataFrame, probes: list[Probe], dims: int, metric: str
     plain: list[Probe] = []
     order: list[tuple] = []
     for p in probes:
-        check_request(p.k, max(p.threshold, 0.0))
+        check_request(p.k, max(p.threshold, 0.0), max_k)
         alternatives = p.doc.get("$or") if p.doc else None
         if isinstance(alternatives, list):
             for alt, doc in enumerate(alternatives):

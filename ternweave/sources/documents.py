@@ -12,9 +12,9 @@ from pyspark.sql.functions import arrow_udf
 
 DATA_TYPES = ("json", "edn")
 
-_TOKEN = re.compile(r"""[\s,]+|;[^\n]*|#_|\#\{|[()\[\]{}]|"(?:\\.|[^"\\])*"|\\(?:newline|return|space|tab|.)|[^\s,()\[\]{}";]+""", re.S)
+_TOKEN = re.compile(r"""[\s,]+|;[^\n]*|#_|\#\{|[()\[\]{}]|"(?:\\.|[^"\\])*"|\\(?:newline|return|space|tab|formfeed|backspace|u[0-9a-fA-F]{4}|o[0-7]{1,3}|.)|[^\s,()\[\]{}";]+""", re.S)
 _CLOSE = {"(": ")", "[": "]", "{": "}", "#{": "}"}
-_CHARS = {"newline": "\n", "return": "\r", "space": " ", "tab": "\t"}
+_CHARS = {"newline": "\n", "return": "\r", "space": " ", "tab": "\t", "formfeed": "\f", "backspace": "\b"}
 
 
 def check_data_type(data_type: str) -> str:
@@ -27,6 +27,8 @@ def _atom(tok: str):
     if tok[0] == '"':
         return json.loads(tok.replace("\n", "\\n"))
     if tok[0] == "\\":
+        if len(tok) > 2 and tok[1] in "uo" and tok[1:] not in _CHARS:
+            return chr(int(tok[2:], 16 if tok[1] == "u" else 8))
         return _CHARS.get(tok[1:], tok[1:])
     if tok in ("true", "false", "nil"):
         return {"true": True, "false": False, "nil": None}[tok]

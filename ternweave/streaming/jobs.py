@@ -117,11 +117,23 @@ def match_probes(docs: DataFrame, probes: DataFrame, dims: int, threshold: float
 def apply_changes(changes: DataFrame, store, checkpoint: str, order: str = "ts", once: bool = True) -> StreamingQuery:
     """Upserts and deletes: ``changes(doc_id, op, doc, <order>)`` with op ``upsert`` or ``delete``,
     applied to a :class:`DocumentStore`, last change per document first reduced within the batch.
+
+    The time of the newest change of a document is kept beside the store, a folder per batch, so
+    an older change in a later batch has no effect, whether the newer one was an upsert or a delete.
     Replaying a batch gives the same store."""
-    def save(batch: DataFrame, _epoch: int):
-        last = batch.groupBy("doc_id").agg(F.max_by(F.struct("op", "doc"), F.col(order)).alias("r")).select(
-            "doc_id", "r.op", "r.doc").persist()
+    seen = f"{store.path}/applied/{store.collection}"
+
+    def save(batch: DataFrame, epoch: int):
+        spark = batch.sparkSession
+        last = batch.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max_by(F.struct("op", "doc", F.col(order).alias("at")), F.col(order)).alias("r")).select(
+            "doc_id", "r.op", "r.doc", "r.at")
+        if store._exists(seen):
+            known = (spark.read.option("basePath", seen).parquet(seen).where(F.col("epoch") < epoch)
+                     .join(last.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("at").alias("newest")))
+            last = last.join(known, "doc_id", "left").where("newest is null or at >= newest").drop("newest")
+        last = last.persist()
         try:
+            last.select("doc_id", "at").write.mode("overwrite").parquet(f"{seen}/epoch={epoch}")
             gone, new = last.where("op = 'delete'"), last.where("op = 'upsert'")
             if not gone.isEmpty():
                 store.delete(gone)
