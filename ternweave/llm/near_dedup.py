@@ -14,7 +14,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Two documents of similarity 0.8 share one of 40 bands of 6 components but for 5 in a million.
 BANDS, ROWS = 40, 6
 #: Rounds in which a document is compared with one leader, before what is left is compared in full.
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
 #: Rows of a bucket that are joined pair by pair at most; larger buckets are compared in cells of CELL x CELL rows by
 #: sketches of SKETCH components, with a margin of MARGIN standard deviations (a loss of one in a million).
 SMALL, CELL, SKETCH, MARGIN = 24, 256, 1200, 4.75
@@ -272,14 +272,15 @@ def _remaining_pairs(placed: DataFrame, state: DataFrame, count: int, bags: Data
     few = (one.where(F.col("n") <= SMALL).join(two.where(F.col("n") <= SMALL).drop("n"), "bucket")
            .where("ca <> cb and (cb = large or a < b)").select("a", "b", "ca", "cb"))
     wide = open_.where(F.col("n") > SMALL)
-    sketches = store(_sketches(bags.join(wide.select("id").distinct(), "id", "left_semi")), "near-sketches")
+    own_buckets = wide.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))       # as many as bands at most
+    sketches = store(_sketches(bags.join(wide.select("id").distinct(), "id", "left_semi")).join(own_buckets, "id"), "near-sketches")
     cells = F.ceil(F.col("n") / CELL).cast("int")
     every = F.explode(F.sequence(F.lit(0), cells - 1))
     own = F.pmod(F.xxhash64("id", "bucket"), cells).cast("int")
-    marked = wide.join(sketches, "id").select("bucket", "id", "class", "large", "sketch", own.alias("own"), every.alias("other"))
+    marked = wide.join(sketches, "id").select("bucket", "id", "class", "large", "sketch", "buckets", own.alias("own"), every.alias("other"))
 
     def side(i: str, j: str) -> DataFrame:
-        return marked.select(*[F.col(c).alias(c) for c in ("bucket", "id", "class", "large", "sketch")], F.col(i).alias("i"), F.col(j).alias("j"))
+        return marked.select(*[F.col(c).alias(c) for c in ("bucket", "id", "class", "large", "sketch", "buckets")], F.col(i).alias("i"), F.col(j).alias("j"))
 
     left, right = side("own", "other").where("class <> large"), side("other", "own")
     kind = state.schema["id"].dataType.simpleString()
@@ -290,11 +291,18 @@ def _remaining_pairs(placed: DataFrame, state: DataFrame, count: int, bags: Data
         a, ca = (x.column(c).to_numpy() for c in ("id", "class"))
         b, cb, large = (y.column(c).to_numpy() for c in ("id", "class", "large"))
         at, to = [], []
+        here = x.column("bucket")[0].as_py() if len(a) else None
+        shared, sets = x.column("buckets").to_pylist(), {}
         for i in range(len(a)):
             may = np.flatnonzero((cb != ca[i]) & ((cb == large) | (a[i] < b)))
-            near = may[(theirs[may] == mine[i]).sum(1) >= least]
-            at += [i] * len(near)
-            to += near.tolist()
+            near = may[(theirs[may] == mine[i]).sum(1) >= least].tolist()
+            mine_too = set(shared[i]) if near else None
+            for j in near:                                                # once, in the first bucket that both are in
+                if j not in sets:
+                    sets[j] = set(y.column("buckets")[j].as_py())
+                if min(mine_too & sets[j]) == here:
+                    at.append(i)
+                    to.append(j)
         return pa.table({"a": a[at], "b": b[to], "ca": ca[at], "cb": cb[to]}) if at else pa.table(
             {c: x.column(n).slice(0, 0) for c, n in (("a", "id"), ("b", "id"), ("ca", "class"), ("cb", "class"))})
 
