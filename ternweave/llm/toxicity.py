@@ -17,6 +17,8 @@ BUCKETS, DIMS, WIDTHS, FILTERS = 2 ** 15, 12, (1, 2, 3), 12
 PREFIX = 5
 #: The classifier is fitted on at most so many documents of each label, of at most so many characters.
 MAX_PER_LABEL, MAX_CHARS = 4000, 12_000
+#: Share of clean texts that a threshold may reject, and toxic ones that a language's own threshold needs.
+MAX_REJECTED, LEAST_TOXIC = 0.01, 20
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 CHARS = 1_000_000
 
@@ -51,7 +53,7 @@ class Network:
     @classmethod
     def fresh(cls, seed: int = 7) -> Network:
         r = np.random.default_rng(seed)
-        return cls(r.normal(0, 0.3, (BUCKETS, DIMS)).astype(np.float32),
+        return cls(r.normal(0, 0.1, (BUCKETS, DIMS)).astype(np.float32),
                    [r.normal(0, 0.5 / np.sqrt(w), (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS],
                    [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
                    r.normal(0.3, 0.1, len(WIDTHS) * FILTERS).astype(np.float32))
@@ -141,20 +143,26 @@ def train(samples: list[tuple[np.ndarray, int]], seed: int = 7) -> Network:
             bias_state[0] += 0.1 * (gb - bias_state[0])
             bias_state[1] += 0.001 * (gb * gb - bias_state[1])
             net.out_bias -= rate * bias_state[0] / (np.sqrt(bias_state[1]) + 1e-8)
+    known = np.zeros(BUCKETS, bool)
+    for ids, _y in samples:
+        known[ids.ravel()] = True
+    net.embedding[~known] = 0                                             # words never met say nothing
     return net
 
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The threshold with the best F1; among equals the one nearest to 0.5."""
-    if not labels.any() or labels.all():
-        return 0.5
+    """Of the thresholds that reject at most MAX_REJECTED of the clean texts the one with the best F1, among
+    equals the one nearest to 0.5; without toxic texts not below 0.5."""
     order = np.argsort(scores, kind="stable")
     s, y = scores[order], labels[order]
-    cuts = np.unique(np.concatenate([[0.5], (s[1:] + s[:-1]) / 2]))
+    cuts = np.unique(np.concatenate([[0.5, 1.01], (s[1:] + s[:-1]) / 2]))
     below = np.searchsorted(s, cuts, side="left")
     hits = np.concatenate([np.cumsum(y[::-1])[::-1], [0]])[below]
+    wrong = len(s) - below - hits
     f1 = 2 * hits / np.maximum(len(s) - below + y.sum(), 1)
-    good = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    fair = wrong <= MAX_REJECTED * (y == 0).sum()
+    fair &= (cuts >= 0.5) | bool(y.any())
+    good = np.flatnonzero(fair & (f1 >= f1[fair].max() - 1e-12))
     return float(cuts[good[np.argmin(np.abs(cuts[good] - 0.5))]])
 
 
@@ -190,7 +198,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: Column, id_c
 def fit(sample) -> Network | None:
     """Network of a labelled sample, with a threshold for all and one for each language.
 
-    Every fifth document of the sample is kept from the training and calibrates the thresholds.
+    Every fifth document of the sample is kept from the training and calibrates the thresholds; a language
+    with fewer than LEAST_TOXIC toxic documents among them takes the threshold for all.
     None if the sample lacks a label."""
     if len({y for _, _, y, _ in sample}) < 2:
         return None
@@ -206,7 +215,7 @@ def fit(sample) -> Network | None:
     langs = np.array([lang or "" for _, lang, _, _ in kept])
     for lang in sorted(set(langs) - {""}):
         own = langs == lang
-        if labels[own].any() and not labels[own].all():
+        if labels[own].sum() >= LEAST_TOXIC and not labels[own].all():
             net.thresholds[lang] = best_threshold(scores[own], labels[own])
     return net
 
