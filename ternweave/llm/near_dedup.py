@@ -205,8 +205,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = copies.select(F.col("first").alias("id")).distinct()
     banded = store(feats.where("bands is not null").select(F.col("doc_id").alias("id"), "bands").join(firsts, "id", "left_semi"), "near-banded")
     exploded = banded.select("id", F.explode("bands").alias("bucket"))
-    shared = store(exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
-    placed, seen = store_counted(attach(exploded, shared, "bucket", "n", total * bands).select("bucket", "id", "n"), "near-placed")
+    shared, seen = store_counted(exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
+    filter_, bits = id_filter(shared, "bucket", seen["n"])                   # rows alone in their bucket don't shuffle again
+    maybe = may_be_in(exploded, "bucket", filter_, bits)
+    placed, seen = store_counted(attach(maybe, shared, "bucket", "n", total * bands).select("bucket", "id", "n"), "near-placed")
     discard(shared, banded)
     count = seen["n"]
     state, seen = store_counted(placed.groupBy("id").agg(F.sum("n").alias("weight")).withColumn("class", F.col("id")), "near-classes")
