@@ -51,6 +51,24 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept_by(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task.  Workers outlive a stage, so
+    everything that other operators have kept is forgotten."""
+    for other in [k for k in _KEPT if k != owner]:
+        del _KEPT[other]
+    return _KEPT.setdefault(owner, {})
+
+
+def slices(batches, rows: int = 1000) -> Iterator:
+    """The batches in slices of at most ``rows`` rows, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 class Cache(dict):
     """``fn`` of a key, remembered for at most ``limit`` keys."""
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternweave.llm.common import Cache, mix64, portions, words
+from ternweave.llm.common import kept_by, mix64, portions, slices, words
 
 #: A passage is a window within so many word edits of an item, as a share of the item's words.
 EDITS = 0.2
@@ -303,8 +303,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def search(blob):
         def run(batches):
+            kept_by("decontaminate")
             names, index = pickle.loads(blob.value)
-            for batch in batches:
+            for batch in slices(batches):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 rows = []
                 for a, b in portions(map(len, texts), CHARS):

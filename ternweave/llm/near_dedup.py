@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternweave.llm.common import (attach, components, discard, id_filter, join_skewed, may_be_in, mix64, portions, store,
-                                  store_counted, word_hashes, words)
+from ternweave.llm.common import (attach, components, discard, id_filter, join_skewed, kept_by, may_be_in, mix64, portions, slices,
+                                  store, store_counted, word_hashes, words)
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Two documents of similarity 0.8 share one of 40 bands of 6 components but for 5 in a million.
@@ -106,8 +106,9 @@ def features(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, ro
 
     def compute(batches):
         import xxhash
+        kept_by("near_dedup")
         shingles = Shingles()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys, found = [], []
             for a, b in portions(map(len, texts), CHARS):
@@ -130,7 +131,7 @@ def _bags(docs: DataFrame) -> DataFrame:
     """(id, items, counts) of documents (id, text): their shingle multisets as binary arrays."""
     def compute(batches):
         shingles = Shingles()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             items, counts = [], []
             for a, b in portions(map(len, texts), CHARS):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ternweave.llm.common import discard, folder, portions, store
+from ternweave.llm.common import discard, folder, kept_by, portions, store
 
 END = 1
 MAX_BITS = 18
@@ -116,14 +116,12 @@ class Encoder:
         return [np.array(self._library([t])[0], np.uint32) if w else x for t, w, x in zip(texts, whole, out, strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
     """The encoder of a file; a Python worker keeps it from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    kept = kept_by("token_binary")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 # ---- code ------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ternweave.llm.common import Cache, portions, words
+from ternweave.llm.common import Cache, kept_by, portions, slices, words
 
 BUCKETS, DIMS, WIDTHS, FILTERS = 2 ** 15, 12, (1, 2, 3), 12
 PREFIX = 5
@@ -228,9 +228,10 @@ def with_score(docs: DataFrame, net: Network | None, name: str, text_col: str =
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net) if net is not None else b"")
 
     def score(batches):
+        kept_by("toxicity")
         own = pickle.loads(blob.value) if blob.value else None
         cache = Cache(hashed)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             out = []
             for a, b in portions(map(len, texts), CHARS):
