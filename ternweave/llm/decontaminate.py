@@ -15,8 +15,10 @@ from ternweave.llm.common import kept_by, mix64, portions, slices, words
 
 #: A passage is a window within so many word edits of an item, as a share of the item's words.
 EDITS = 0.2
-#: Sampled symbols of a hash; wanted recall of a window at the largest distance; most repetitions.
-SAMPLES, RECALL, MOST_REPEATS = 3, 0.95, 64
+#: Sampled symbols of a hash; wanted recall of a window at the largest distance; repetitions after which it is an error.
+SAMPLES, RECALL, GIVE_UP = 3, 0.95, 1000
+#: Items of more than WHOLE words are looked for by pieces of PIECE words or a little more: samples late in a long walk hardly ever agree.
+WHOLE, PIECE = 120, 60
 #: Item lengths of a class differ by this factor at most.
 SPREAD = 1.4
 #: Items are searched in blocks of so many words, so that what a task holds is bounded.
@@ -30,19 +32,25 @@ def walk_bit(step: int, symbols: np.ndarray, seed: int) -> np.ndarray:
     return (mix64(symbols.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1_000_003 * seed + step)) >> np.uint64(63)).astype(np.int64)
 
 
+def pieces(length: int) -> list[tuple[int, int]]:
+    """(first word, end) of the pieces of an item.  Of the pieces of a passage within EDITS of an item one at least is within EDITS of its own."""
+    n = length // PIECE if length > WHOLE else 1
+    return [(length * j // n, length * (j + 1) // n) for j in range(n)]
+
+
 @dataclass
 class LengthClass:
-    """Items of similar length and the hash functions for their windows."""
+    """Pieces of similar length and the hash functions for their windows."""
 
     shortest: int
     longest: int
-    items: list[int]
+    items: list[tuple[int, int]]            # (item, first word) of each piece
     seeds: list[int]
     steps: list[tuple[int, ...]]
     tables: list[list[np.ndarray]]          # of each repetition: bits by step and symbol
     prefixes: list[list[np.ndarray]]        # of each repetition: sorted hashes after 1, 2, ... samples
-    owners: list[dict[int, list[int]]]      # of each repetition: items by full hash
-    mask: np.ndarray                        # symbols that some item of the class holds
+    owners: list[dict[int, list[tuple[int, int]]]]      # of each repetition: pieces by full hash
+    mask: np.ndarray                        # symbols that some piece of the class holds
     rare: np.ndarray                        # those of them that few items hold
     needs: list[tuple[int, int, int]]       # (least number of such symbols, of the rare ones, words in which they stand)
 
@@ -133,7 +141,7 @@ def needs(lengths: list[int], rare: list[int]) -> list[tuple[int, int, int]]:
 
 
 class Index:
-    """Hash tables of benchmark items for windows of their own size.
+    """Hash tables of benchmark items, long ones in pieces, for windows of their own size.
 
     Symbols are words: 0 is any word that no item has, 1 is padding.  The number of repetitions of a
     length class follows from the recall measured on random items and copies at the largest distance."""
@@ -144,7 +152,7 @@ class Index:
         self.words = items
         self.classes: list[LengthClass] = []
         rng = np.random.default_rng(seed)
-        order = sorted((len(x), i) for i, x in enumerate(items) if x)
+        order = sorted((b - a, i, a) for i, x in enumerate(items) if x for a, b in pieces(len(x)))
         ids = np.arange(len(self.vocabulary) + 2)
         held = np.bincount(np.concatenate([np.unique(x) for x in self.items] or [ids[:0]]), minlength=len(ids))
         common = held > max(2, len(items) // 50)
@@ -153,11 +161,13 @@ class Index:
             own = [p for p in order if p[0] <= max(short * SPREAD, short + 1)]
             order = order[len(own):]
             long = own[-1][0]
-            k, members = samples, [i for _, i in own]
-            flat, size = np.concatenate([self.items[i] for i in members]), np.array([len(self.items[i]) for i in members])
+            k, parts = samples, [self.items[i][a:a + n] for n, i, a in own]
+            flat, size = np.concatenate(parts), np.array([n for n, _i, _a in own])
             start = np.cumsum(size) - size
             trials, reached, seeds, steps = Trials(rng, (short, long)), 0.0, [], []
-            while reached < recall and len(seeds) < MOST_REPEATS:
+            while reached < recall:
+                if len(seeds) == GIVE_UP:
+                    raise ValueError(f"items of {short} to {long} words: a recall of {reached} instead of {recall} after {GIVE_UP} repetitions")
                 s = int(rng.integers(1, 2 ** 31))
                 early = int(rng.integers(max(1, short // 3)))       # most windows end at the first sample: take that early
                 reach = _reach(flat, start, size, ids, s, 2 * short)
@@ -167,19 +177,20 @@ class Index:
                 seeds.append(s)
                 steps.append(picked)
             mask = np.zeros(len(ids), bool)
-            mask[np.concatenate([self.items[i] for _, i in own])] = True
-            c = LengthClass(short, long, members, seeds, steps, [], [], [], mask, mask & ~common,
-                            needs([n for n, _ in own], [int((~common[self.items[i]]).sum()) for _, i in own]))
+            mask[flat] = True
+            c = LengthClass(short, long, [(i, a) for _n, i, a in own], seeds, steps, [], [], [], mask, mask & ~common,
+                            needs([n for n, _i, _a in own], [int((~common[x]).sum()) for x in parts]))
             for s, picked in zip(seeds, steps, strict=True):
                 bits = [walk_bit(j, ids, s).astype(np.int8) for j in range(picked[-1] + 1)]
                 c.tables.append(bits)
                 c.prefixes.append([np.unique(_sampled(flat, start, start + size, bits, picked[:n])[0]) for n in range(1, len(picked) + 1)])
-                owner: dict[int, list[int]] = {}
+                owner: dict[int, list[tuple[int, int]]] = {}
                 for i, h in zip(c.items, _sampled(flat, start, start + size, bits, picked)[0].tolist(), strict=True):
                     owner.setdefault(h, []).append(i)
                 c.owners.append(owner)
             self.classes.append(c)
         self.masks: dict[int, dict[int, int]] = {}
+        self.counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [words(t) for t in texts]
@@ -187,10 +198,11 @@ class Index:
         return np.fromiter(map(self.vocabulary.get, flat, itertools.repeat(0)), np.int64), np.array([len(w) for w in lists], np.int64)
 
     def candidates(self, symbols: np.ndarray, n: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, item, start) of windows that share a hash with an item.
+        """(text, item, start) of windows that share a hash with a piece of an item; start, where the item would begin,
+        may lie before the text.
 
-        A window within the edits of an item holds at least the item's words less the edits; only windows with
-        that many words of the class's items are walked, which loses none."""
+        A window within the edits of a piece holds at least the piece's words less the edits; only windows with
+        that many words of the class's pieces are walked, which loses none."""
         found: set[tuple[int, int, int]] = set()
         if not len(symbols):
             return found
@@ -211,10 +223,19 @@ class Index:
             for bits, steps, keep, owner in zip(c.tables, c.steps, c.prefixes, c.owners, strict=True):
                 value, alive = _sampled(symbols, start, last, bits, steps, keep)
                 for v, i in zip(value.tolist(), alive.tolist(), strict=True):
-                    for item in owner.get(v, ()):
-                        found.add((int(text[start[i]]), item, int(start[i])))
+                    for item, first in owner.get(v, ()):
+                        found.add((int(text[start[i]]), item, int(start[i]) - first))
         return found
 
+    def overlap(self, item: int, window: np.ndarray) -> int:
+        """Words that the item and the window have in common, with multiplicity: the item's words less the edits at
+        least, where the window holds a passage."""
+        if item not in self.counts:
+            self.counts[item] = np.unique(self.items[item], return_counts=True)
+        names, held = self.counts[item]
+        place = np.minimum(np.searchsorted(names, window), len(names) - 1)
+        return int(np.minimum(np.bincount(place[names[place] == window], minlength=len(names)), held).sum())
+
     def distance(self, item: int, window: np.ndarray) -> tuple[int, int]:
         """(least number of word edits between the item and any part of the window, end of that part): the
         bit-parallel form of the edit-distance table, a column per word of the window."""
@@ -255,9 +276,13 @@ class Index:
             if now is not None and now[0] == 0:
                 continue
             most = int(EDITS * len(self.items[item]))
-            if start < looked.get((t, item), -1):
+            if start < looked.get((t, item), start):
                 continue
             a, b = max(start - most, int(begin[t])), min(start + len(self.items[item]) + 2 * most, int(stop[t]))
+            if len(self.items[item]) > WHOLE:                # each of its pieces may lead to the same window: once is enough
+                looked[t, item] = start + most
+                if self.overlap(item, symbols[a:b]) < len(self.items[item]) - most:
+                    continue
             edits, where = self.distance(item, symbols[a:b])
             if edits <= most:
                 if now is None or edits < now[0]:
@@ -292,8 +317,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are lower-case runs of letters, digits and underscores.  The benchmark is the query set: its blocks
     are of bounded size and each is searched in all documents by a narrow job, without a shuffle; a
     document's windows are compared with hash tables, never with every item.  Verbatim passages are always
-    found; those at the largest distance with ``recall``, as measured when the tables are built.  Null and
-    empty texts and items match nothing; repeated rows give repeated results; empty tables give no rows; other
+    found; those at the largest distance with ``recall``, as measured when the tables are built (an error if it can't be
+    reached).  Items of more than WHOLE words are looked for by their pieces and compared as a whole.  Null and empty texts and items match nothing; repeated rows give repeated results; empty tables give no rows; other
     columns are not read."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

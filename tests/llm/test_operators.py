@@ -325,6 +325,28 @@ def test_decontamination_against_brute_force(spark):
     assert len(set(found) & set(true)) >= 0.95 * len(true) and len(true) >= 100
 
 
+def test_decontamination_of_long_items():
+    rng = random.Random(7)
+    items = [[f"w{rng.randrange(30_000)}" for _ in range(n)] for n in (121, 600, 600, 1200)]
+    index, texts, true = decontaminate.Index(items), [], []
+    for d in range(60):
+        i = d % 4
+        item = items[i]
+        if d % 3:
+            middle = edited(rng, item, int(0.2 * len(item)) - 1, [f"w{j}" for j in range(30_000)])
+        else:                                                               # all edits are in the first words
+            middle = [f"x{j}" for j in range(int(0.2 * len(item)))] + item[int(0.2 * len(item)):]
+        texts.append(" ".join([f"w{rng.randrange(30_000)}" for _ in range(rng.randrange(40))] + middle + ["end"] * (d % 2)))
+        true.append((d, i))
+    got = index.matches([*texts, " ".join(items[3][:700] + ["x"] * 400), " ".join(items[1][:479])])       # 500 and 121 edits
+    assert {(t, i) for t, i, *_ in got} <= set(true) and len(got) >= 0.95 * len(true)
+    assert all(edits <= int(0.2 * len(items[i])) for _, i, edits, _ in got)
+    assert all(edits == edit_distance_inside(items[i], texts[t].split()) for t, i, edits, _ in got[:12] if i < 3)
+    assert index.matches([" ".join(items[3][60:])]) == [(0, 3, 60, 1140)]
+    with pytest.raises(ValueError, match="recall"):
+        decontaminate.Index([["a", "b", "c"]], recall=1.1)
+
+
 def test_decontamination_odd(spark, odd, none):
     benchmark = spark.createDataFrame([(1, "the cat sat on the mat today"), (2, None), (3, ""), (None, "the cat"), (4, "le chat")],
                                       "item_id LONG, text STRING")
