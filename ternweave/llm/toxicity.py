@@ -11,14 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ternweave.llm.common import Cache, kept_by, portions, slices, words
+from ternweave.llm.common import Cache, id_filter, kept_by, may_be_in, portions, slices, words
 
 BUCKETS, DIMS, WIDTHS, FILTERS = 2 ** 15, 12, (1, 2, 3), 12
 PREFIX = 5
 #: The classifier is fitted on at most so many documents of each label, of at most so many characters.
 MAX_PER_LABEL, MAX_CHARS = 4000, 12_000
-#: Share of clean texts that a threshold may reject, and toxic ones that a language's own threshold needs.
-MAX_REJECTED, LEAST_TOXIC = 0.01, 20
+#: Share of clean texts that a threshold may reject.
+MAX_REJECTED = 0.01
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 CHARS = 1_000_000
 
@@ -150,26 +150,35 @@ def train(samples: list[tuple[np.ndarray, int]], seed: int = 7) -> Network:
     return net
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
+def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
     """Of the thresholds that reject at most MAX_REJECTED of the clean texts the one with the best F1, among
-    equals the one nearest to 0.5; without toxic texts not below 0.5."""
+    equals the one nearest to 0.5; without toxic texts not below 0.5.  A score may stand for ``weights`` texts."""
     order = np.argsort(scores, kind="stable")
     s, y = scores[order], labels[order]
+    w = np.ones(len(s)) if weights is None else weights[order]
     cuts = np.unique(np.concatenate([[0.5, 1.01], (s[1:] + s[:-1]) / 2]))
     below = np.searchsorted(s, cuts, side="left")
-    hits = np.concatenate([np.cumsum(y[::-1])[::-1], [0]])[below]
-    wrong = len(s) - below - hits
-    f1 = 2 * hits / np.maximum(len(s) - below + y.sum(), 1)
-    fair = wrong <= MAX_REJECTED * (y == 0).sum()
+    hits, wrong = (np.concatenate([np.cumsum((w * (y == v))[::-1])[::-1], [0]])[below] for v in (1, 0))
+    f1 = 2 * hits / np.maximum(hits + wrong + w[y == 1].sum(), 1e-9)
+    fair = wrong <= MAX_REJECTED * w[y == 0].sum() + 1e-9
     fair &= (cuts >= 0.5) | bool(y.any())
     good = np.flatnonzero(fair & (f1 >= f1[fair].max() - 1e-12))
     return float(cuts[good[np.argmin(np.abs(cuts[good] - 0.5))]])
 
 
+class Sample(list):
+    """Rows to fit on; ``docs`` (doc_id, text, lang) and ``labels`` (doc_id, label) are all that may be learned from."""
+
+    def __init__(self, rows, docs: DataFrame, labels: DataFrame):
+        super().__init__(rows)
+        self.docs, self.labels = docs, labels
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text",
-                    lang_col: str = "lang", label_col: str = "toxic", max_per_label: int = MAX_PER_LABEL):
+                    lang_col: str = "lang", label_col: str = "toxic", max_per_label: int = MAX_PER_LABEL) -> Sample:
     """[(doc_id, lang, label, buckets)] of a bounded sample: of each label the first ``max_per_label`` ids in the order
-    of a hash, without texts of more than MAX_CHARS characters.  Texts never shuffle: the ids are broadcast."""
+    of a hash, without texts of more than MAX_CHARS characters.  Texts never shuffle: the ids are broadcast.  The
+    sample knows all labelled rows of ``train_rows``, for the thresholds."""
     one = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
            .groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label")).where(train_rows))
     order = F.xxhash64("doc_id")
@@ -188,19 +197,43 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: Column, id_c
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("label"), pa.array(rows, pa.binary())],
                                              names=["doc_id", "lang", "label", "ids"])
     kind = docs.schema[id_col].dataType.simpleString()
-    found = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang"))
-             .where(F.length(F.coalesce("text", F.lit(""))) <= MAX_CHARS).join(F.broadcast(picked), "doc_id")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang"))
+    found = (own.where(F.length(F.coalesce("text", F.lit(""))) <= MAX_CHARS).join(F.broadcast(picked), "doc_id")
              .select("doc_id", "text", "lang", "label").mapInArrow(tokens, f"doc_id {kind}, lang string, label int, ids binary").collect())
     rows = {(r.doc_id, bytes(r.ids)): (r.doc_id, r.lang, r.label, np.frombuffer(r.ids, np.int32).reshape(-1, 2).astype(np.int64)) for r in found}
-    return [rows[k] for k in sorted(rows)]
+    return Sample([rows[k] for k in sorted(rows)], own, one)
+
+
+def counted_scores(sample: Sample, net: Network, trained: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(language, label, score, weight) of all labelled rows that the network has not seen: texts of any length, also
+    those beyond the sample.
+
+    Only the labelled documents are scored; texts don't shuffle, and the driver gets counts by score.  Short texts
+    stand for those of their label that were trained on as well, so long ones keep their share."""
+    spark = sample.docs.sparkSession
+    filter_, bits = id_filter(sample.labels, "doc_id", sample.labels.count())
+    scored = (with_score(may_be_in(sample.docs, "doc_id", filter_, bits), net, "score")
+              .select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "score",
+                      (F.length(F.coalesce("text", F.lit(""))) > MAX_CHARS).alias("long")))
+    seen = spark.createDataFrame([(d,) for d in sorted(set(trained))], sample.labels.select("doc_id").schema).withColumn("seen", F.lit(True))
+    rows = (scored.join(sample.labels, "doc_id").join(F.broadcast(seen), "doc_id", "left")
+            .groupBy("lang", "label", "long", (F.coalesce("seen", F.lit(False)) & ~F.col("long")).alias("seen"), "score")
+            .agg(F.count(F.lit(1)).alias("n")).toArrow())
+    lang, label, long, seen, score, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "label", "long", "seen", "score", "n"))
+    weight, new = n.astype(np.float64), ~seen.astype(bool)
+    for y in (0, 1):
+        short = (label == y) & ~long.astype(bool)
+        if (short & new).any():
+            weight[short] *= n[short].sum() / n[short & new].sum()
+    return lang[new], label[new], score[new], weight[new]
 
 
 def fit(sample) -> Network | None:
     """Network of a labelled sample, with a threshold for all and one for each language.
 
-    Every fifth document of the sample is kept from the training and calibrates the thresholds; a language
-    with fewer than LEAST_TOXIC toxic documents among them takes the threshold for all.
-    None if the sample lacks a label."""
+    Every fifth document of the sample is kept from the training.  All labelled rows but those trained on
+    calibrate the thresholds (of a plain list, every fifth); a language without clean ones takes the threshold for
+    all.  None if the sample lacks a label."""
     if len({y for _, _, y, _ in sample}) < 2:
         return None
     kept = [s for i, s in enumerate(sample) if i % 5 == 4]
@@ -208,15 +241,19 @@ def fit(sample) -> Network | None:
     if len({y for _, _, y, _ in rest}) < 2:
         rest = sample
     net = train([(x, y) for _, _, y, x in rest])
-    kept = kept or sample
-    scores = np.concatenate([net.score(x, np.arange(len(x)), np.array([len(x)])) for _, _, _, x in kept])
-    labels = np.array([y for _, _, y, _ in kept])
-    net.threshold = best_threshold(scores, labels)
-    langs = np.array([lang or "" for _, lang, _, _ in kept])
-    for lang in sorted(set(langs) - {""}):
+    langs = np.array([])
+    if isinstance(sample, Sample):
+        langs, labels, scores, weights = counted_scores(sample, net, [d for d, *_ in rest])
+    if not len(langs):
+        kept = kept or sample
+        scores = np.concatenate([net.score(x, np.arange(len(x)), np.array([len(x)])) for _, _, _, x in kept])
+        langs, labels = np.array([lang or "" for _, lang, _, _ in kept]), np.array([y for _, _, y, _ in kept])
+        weights = np.ones(len(kept))
+    net.threshold = best_threshold(scores, labels, weights)
+    for lang in sorted(set(langs.tolist()) - {""}):
         own = langs == lang
-        if labels[own].sum() >= LEAST_TOXIC and not labels[own].all():
-            net.thresholds[lang] = best_threshold(scores[own], labels[own])
+        if not labels[own].all():                                         # else no clean text would bound it
+            net.thresholds[lang] = best_threshold(scores[own], labels[own], weights[own])
     return net
 
 

@@ -468,6 +468,34 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in toxicity.toxicity(odd, None).collect()} == {0.0}
 
 
+def test_thresholds_cover_all_labelled_rows(spark):
+    rng = random.Random(9)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(900):
+        w = rng.choices(vocabulary, k=rng.randint(5, 40))
+        toxic = int(i % 3 == 0)
+        if toxic or i % 60 == 1:                                                # some long clean texts hold the word too
+            w[rng.randrange(len(w))] = "snarl"
+        rows.append((i, " ".join(w) + (" word1" * 3000 if i % 60 == 1 else ""), "fr" if i >= 870 else "en", toxic))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id LONG, text STRING, lang STRING")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id LONG, toxic INT")
+    sample = toxicity.labelled_sample(docs, labels, F.lit(True), max_per_label=100)
+    assert len(sample) <= 200
+    net = toxicity.fit(sample)
+    trained = [d for i, (d, *_) in enumerate(sample) if i % 5 != 4]
+    lang, label, score, weight = toxicity.counted_scores(sample, net, trained)
+    assert {x: round(weight[label == x].sum()) for x in (0, 1)} == {0: 600, 1: 300}
+    cache = common.Cache(toxicity.hashed)
+    seen = set(trained)
+    brute = collections.Counter((r[2], r[3], net.score(*toxicity.word_ids([r[1]], cache))[0]) for r in rows if r[0] not in seen)
+    assert {(a, b) for a, b, _ in brute} == set(zip(lang.tolist(), label.tolist(), strict=True)) and set(net.thresholds) == {"en", "fr"}
+    got = toxicity.toxicity(docs, net).collect()
+    clean = {r[0] for r in rows if not r[3]} - seen
+    assert sum(r.rejected for r in got if r.doc_id in clean) <= 0.01 * 600      # 15 of the 600 clean texts are long and hold the word
+    assert net.threshold > toxicity.fit(list(sample)).threshold                 # which has met no long text
+
+
 def test_best_threshold():
     assert toxicity.best_threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == 0.5
     assert 0.6 < toxicity.best_threshold(np.array([0.1, 0.6, 0.8, 0.9]), np.array([0, 0, 1, 1])) < 0.8
