@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import math
 from fractions import Fraction
 
 import pyarrow as pa
@@ -11,14 +13,14 @@ from pyspark.sql import functions as F
 
 from ternweave.llm.common import store
 
-#: Documents of a block, and slots of a period of the schedule.
+#: Documents of a block, and blocks of a row of the schedule's table.
 BLOCK, PERIOD = 64, 1000
 MAX_SOURCES = 2000
 
 
 def shares(weights: dict, period: int) -> dict:
     """Whole numbers of slots per period in proportion to the weights, at least 1, by largest remainders.
-    The period is longer if there are more sources than a tenth of it."""
+    Schedules don't round: see :func:`whole`."""
     total = sum(map(Fraction, weights.values()))
     exact = {s: Fraction(w) * period / total for s, w in weights.items()}
     slots = {s: max(1, int(x)) for s, x in exact.items()}
@@ -33,8 +35,17 @@ def shares(weights: dict, period: int) -> dict:
     return slots
 
 
-def pfair(slots: dict) -> dict:
-    """One period: for each source the slots of its blocks.
+def whole(weights: dict) -> dict:
+    """The weights as the least whole numbers in exactly the same proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * scale) for s, x in exact.items()}
+    by = math.gcd(*out.values())
+    return {s: x // by for s, x in out.items()}
+
+
+def pfair(slots: dict, blocks: dict | None = None) -> dict:
+    """One period: for each source the slots of its blocks; with ``blocks`` only up to the slot where the first source is used up.
 
     Block k of a source with q of the period's T slots is released at floor(k T / q) and due at ceil((k + 1) T / q).
     Each slot goes to the released block with the earliest deadline; so after every slot a source has had less
@@ -56,34 +67,38 @@ def pfair(slots: dict) -> dict:
         s = names[i]
         out[s].append(t)
         done[s] += 1
+        if blocks is not None and done[s] == blocks[s]:
+            break
         if done[s] < slots[s]:
             heapq.heappush(waiting, (done[s] * period // slots[s], i))
     return out
 
 
-def plan(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
-    """Rows (source, first block, last block, first slot, slots per period, slots of the period, period).
+def plan(blocks: dict, weights: dict) -> list[tuple]:
+    """Rows (source, first block, last block, first slot, blocks per period, slots of the period, slots per period).
 
-    The sources run at their weights until one is used up; from that slot on the others share its weight in
-    proportion, in a new schedule.  There are as many schedules as sources at most, and each is one
-    period, whatever the number of blocks."""
-    period = max(period, 10 * len(blocks))
+    The sources run at exactly their weights until one is used up; from that slot on the others share its weight in
+    proportion, in a new schedule.  There are as many schedules as sources at most, and each is one period, or
+    ends before: the slots of all are no more than the blocks."""
     left = {s: n for s, n in blocks.items() if n > 0}
     used = dict.fromkeys(left, 0)
     at, rows = 0, []
     while left:
-        share = shares({s: weights[s] for s in left}, period)
-        table = pfair(share)
+        share = whole({s: weights[s] for s in left})
+        period = sum(share.values())
+        table = pfair(share, left)
 
-        def slot(s, k, share=share, table=table):
+        def slot(s, k, share=share, table=table, period=period):
             return k // share[s] * period + table[s][k % share[s]]
 
-        end = min(slot(s, n - 1) for s, n in left.items()) + 1            # the first source is used up here
+        over = [s for s, n in left.items() if len(table[s]) == n]
+        # the first source is used up here: within the first period, or in a later one
+        end = min(table[s][-1] for s in over) + 1 if over else min(slot(s, n - 1) for s, n in left.items()) + 1
         for s in list(left):
             full, part = divmod(end, period)
-            n = min(left[s], full * share[s] + sum(t < part for t in table[s]))
+            n = min(left[s], full * share[s] + bisect.bisect_left(table[s], part))
             if n:
-                rows.append((s, used[s], used[s] + n - 1, at, share[s], table[s], period))
+                rows.append((s, used[s], used[s] + n - 1, at, *((n, table[s], 0) if over else (share[s], table[s], period))))
             used[s] += n
             left[s] -= n
             if not left[s]:
@@ -137,10 +152,10 @@ def mixed(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id",
     """(doc_id, source, block, slot, place) of every row: the place of its block in the mixture and its own in the block.
 
     A source's documents, in the order of a hash of their ids, are cut into blocks; sorted by (slot, place) the
-    documents of any number of first slots hold each source to its weight with a deviation of less than one
-    block (but for the rounding of weights to slots of a period).  Every row is placed exactly once: when a
+    documents of any number of first slots, up to where a source is used up, hold each source to its exact weight with a
+    deviation of less than one block.  Every row is placed exactly once: when a
     source is used up, the others go on at their own proportions.  Without ``weights`` a source's weight is the
-    square root of its size.
+    square root of its size.  A row of the broadcast schedule holds the slots of at most ``period`` blocks.
 
     A null source is the source named ''.  A source without a weight is an error.  Repeated and null ids are
     rows like others.  An empty table gives no rows; other columns are not read."""
@@ -150,12 +165,17 @@ def mixed(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id",
         raise ValueError(f"sources without a weight: {missing[:5]}")
     if bad := [s for s in counts if weights[s] <= 0]:
         raise ValueError(f"weights must be positive: {bad[:5]}")
-    parts = plan({s: -(-n // block) for s, n in counts.items()}, weights, period)
-    schedule = docs.sparkSession.createDataFrame(
-        parts, "source string, first long, last long, start long, share int, slots array<int>, period int")
+    parts = plan({s: -(-n // block) for s, n in counts.items()}, weights)
+    spark = docs.sparkSession
+    runs = spark.createDataFrame([(i, *r[:5], r[6]) for i, r in enumerate(parts)],
+                                 "run int, source string, first long, last long, start long, share long, cycle long")
+    schedule = spark.createDataFrame([(i, a // period, r[5][a:a + period]) for i, r in enumerate(parts) for a in range(0, len(r[5]), period)],
+                                     "run int, chunk long, slots array<long>")
     b = F.floor(F.col("rank") / block)
     k = F.col("block") - F.col("first")
-    slot = F.col("start") + F.floor(k / F.col("share")) * F.col("period") + F.col("slots")[F.pmod(k, F.col("share")).cast("int")]
+    slot = F.col("start") + F.floor(k / F.col("share")) * F.col("cycle") + F.col("slots")[F.pmod("turn", F.lit(period)).cast("int")]
     return (rows.withColumn("block", b)
-            .join(F.broadcast(schedule), "source").where("block between first and last")
+            .join(F.broadcast(runs), "source").where("block between first and last")
+            .withColumn("turn", F.pmod(k, F.col("share"))).withColumn("chunk", F.floor(F.col("turn") / period))
+            .join(F.broadcast(schedule), ["run", "chunk"])
             .select("doc_id", "source", "block", slot.cast("long").alias("slot"), F.pmod("rank", F.lit(block)).cast("int").alias("place")))

@@ -211,6 +211,24 @@ def test_mixing_places_every_row_once(spark, odd, none):
         mixing.mixed(docs, {"s0": 1})
 
 
+def test_mixture_keeps_exact_weights_over_many_periods():
+    square = mixing.target_weights({f"s{i}": n for i, n in enumerate([4_000_000, *[400_000 + 7_000 * i for i in range(19)]])})
+    for weights, blocks in ((square, {s: 6_000 for s in square}), ({"a": 1, "b": 2, "c": 3, "d": 0.5}, dict.fromkeys("abcd", 5_000)),
+                            ({"a": 10_000, "b": 1, "c": 3333}, {"a": 30_000, "b": 100, "c": 20_000})):
+        owner, used = {}, len(set().union(*[{r[3]} for r in mixing.plan(blocks, weights)]))
+        for s, first, last, start, share, slots, cycle in mixing.plan(blocks, weights):
+            for k in range(last - first + 1):
+                owner[start + k // share * cycle + slots[k % share]] = s
+        assert sorted(owner) == list(range(sum(blocks.values()))) and used <= len(weights)
+        total, had = sum(map(Fraction, weights.values())), dict.fromkeys(weights, 0)
+        for t in range(len(owner)):
+            had[owner[t]] += 1
+            if t % 997 == 0 or t < 500:
+                assert all(abs(had[s] - Fraction(weights[s]) * (t + 1) / total) < 1 for s in weights)
+            if had[owner[t]] == blocks[owner[t]]:
+                break
+
+
 # ---- 5 ---------------------------------------------------------------------------------------
 
 def test_token_counts(spark, odd, none):
