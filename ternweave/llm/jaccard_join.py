@@ -17,9 +17,9 @@ PERCENT = 80
 COUNTERS, PART, FANS = 2 ** 21, 2 ** 16, 64
 #: Rounds in which every set is compared with one pivot before regions are split.
 PIVOT_ROUNDS = 2
-#: Regions of at most SMALL sets are compared pair by pair; larger ones are split at PIVOTS pivots each, LEVELS times at most, or until
-#: a part keeps more than STUCK of its region; then they are compared in cells of CELL x CELL sets.
-SMALL, PIVOTS, LEVELS, STUCK, CELL = 24, 8, 4, 0.7, 512
+#: Regions of at most SMALL sets are compared pair by pair; larger ones are split at PIVOTS pivots each, LEVELS times at most, if
+#: their parts hold at most SPREAD times their sets; the others are compared in cells of CELL x CELL sets.
+SMALL, PIVOTS, LEVELS, SPREAD, CELL = 24, 4, 4, 2.0, 512
 #: Length of the count vectors that bound an intersection from above.
 FOLD = 256
 CHARS = 2_000_000
@@ -133,29 +133,62 @@ def common_size(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
+def fold(shingles: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles fall into each of FOLD cells, 255 at most.
+
+    The L1 distance of two such vectors is at most the size of the sets' symmetric difference: it rules most pairs out, and no linked one."""
+    return np.minimum(np.bincount((shingles % np.uint64(FOLD)).astype(np.int64), minlength=FOLD), 255).astype(np.uint8)
+
+
+def may_link(one: np.ndarray, n, two: np.ndarray, m) -> np.ndarray:
+    """Whether sets of sizes n and m may be linked, by their folds."""
+    apart = np.abs(one.astype(np.int16) - two.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    return linked((n + m - apart) // 2, n, m)
+
+
+def _folds(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), FOLD)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, items) of the ``wanted(node, mark, key_a, key_b)`` from documents (mark, text)."""
+    """(node, size, fold, items) of the ``wanted(node, mark, key_a, key_b)`` from documents (mark, text)."""
     def compute(batches):
         import xxhash
         for rows, flat, size in Sets().batches(batches):
-            sets = [s.tobytes() for s in np.split(flat, np.cumsum(size)[:-1])]
+            parts = np.split(flat, np.cumsum(size)[:-1])
+            sets, folds = [s.tobytes() for s in parts], [fold(s).tobytes() for s in parts]
             keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, sets)), np.int64).reshape(-1, 2)
             same = (rows.column("key_a").to_numpy() == keys[:, 0]) & (rows.column("key_b").to_numpy() == keys[:, 1])
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(sets, pa.binary())], names=["node", "items"]).filter(pa.array(same))
-    return docs.join(wanted, "mark").mapInArrow(compute, "node long, items binary")
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(size), pa.array(folds, pa.binary()), pa.array(sets, pa.binary())],
+                                             names=["node", "size", "fold", "items"]).filter(pa.array(same))
+    return docs.join(wanted, "mark").mapInArrow(compute, "node long, size long, fold binary, items binary")
 
 
 def _verified(pairs: DataFrame, count: int, sets: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (a, b, ca, cb), as (ca, cb)."""
+    """The linked ones of the pairs (a, b, ca, cb), as (ca, cb).  Folds are compared first, so that few pairs need their sets."""
+    def rule_out(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
+            keep = may_link(_folds(batch.column("fold_a")), n, _folds(batch.column("fold_b")), m)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names).filter(pa.array(keep))
+
     def check(batches):
         for batch in batches:
-            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("ia", "ib"))
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("items_a", "items_b"))
             keep = [bool(linked(common_size(a, b), len(a), len(b))) for a, b in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("ca"), batch.column("cb")], names=["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
-    one, two = (sets.select(F.col("node").alias(c), F.col("items").alias("i" + c)) for c in "ab")
-    both = join_skewed(join_skewed(pairs, two, "b", "a", count), one, "a", "b", count, counted=pairs)
-    return both.select("ca", "cb", "ia", "ib").mapInArrow(check, "ca long, cb long")
+    def with_both(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+        one, two = (sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]) for c in "ab")
+        return join_skewed(join_skewed(rows, two, "b", "a", n), one, "a", "b", n, counted=rows)
+
+    names = ["a", "b", "ca", "cb"]
+    left, seen = store_counted(with_both(pairs, count, "size", "fold").select(*names, "size_a", "fold_a", "size_b", "fold_b").mapInArrow(
+        rule_out, ", ".join(f"{c} long" for c in names)), "join-near")
+    ids = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    filter_, bits = id_filter(ids, "node", 2 * seen["n"])
+    sets = may_be_in(sets, "node", filter_, bits)
+    return with_both(left, max(seen["n"], 1), "items").select("ca", "cb", "items_a", "items_b").mapInArrow(check, "ca long, cb long")
 
 
 def _open_regions(placed: DataFrame, state: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -181,7 +214,7 @@ def _pivot_pairs(rows: DataFrame, tops: DataFrame, count: int) -> DataFrame:
 def _pairs_within(rows: DataFrame) -> DataFrame:
     """Pairs (a, b, ca, cb) of different classes in one region (region, node, class, home) of at most SMALL sets; one of them is at home."""
     one, two = (rows.select("region", *[F.col(c).alias(n) for c, n in (("node", x), ("class", "c" + x), ("home", "h" + x))]) for x in "ab")
-    return one.join(two, "region").where("a < b and ca <> cb and (ha or hb)").select("a", "b", "ca", "cb")
+    return one.join(two, "region").where("a < b and ca <> cb and (ha or hb)").select("a", "b", "ca", "cb").distinct()
 
 
 def voronoi(rows: DataFrame, count: int, sets: DataFrame, level: int) -> DataFrame:
@@ -192,7 +225,7 @@ def voronoi(rows: DataFrame, count: int, sets: DataFrame, level: int) -> DataFra
     that is at home there can't be missed.  ``near`` has the (pivot, class) that the set itself is linked with."""
     first = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(level)), "node")
     pivots = rows.where("home").withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOTS).select("region", "node", "class", "n")
-    held = (pivots.join(sets, "node").groupBy("region").agg(F.collect_list(F.struct("node", "class", "items")).alias("pivots"), F.max("n").alias("size")))
+    held = (pivots.join(sets.select("node", "items"), "node").groupBy("region").agg(F.collect_list(F.struct("node", "class", "items")).alias("pivots"), F.max("n").alias("size")))
     window = 2 * (100 - PERCENT) / 100 + 1e-9
 
     def deal(batches):
@@ -213,52 +246,38 @@ def voronoi(rows: DataFrame, count: int, sets: DataFrame, level: int) -> DataFra
                     + [pa.array(region, pa.list_(pa.int64())), pa.array(home, pa.list_(pa.bool_())), pa.array(near, pa.list_(pa.int64()))],
                     names=["region", "node", "class", "home", "n", "to", "stays", "near"])
 
-    with_sets = join_skewed(rows, sets, "node", "region", count)
-    dealt = attach(with_sets, held.withColumn("items_n", F.lit(0)).drop("items_n"), "region", "size", count).select(
+    with_sets = join_skewed(rows, sets.select("node", "items"), "node", "region", count)
+    dealt = attach(with_sets, held, "region", "size", count).select(
         "region", "node", "class", "home", "n", "items", "pivots").mapInArrow(
         deal, "region long, node long, class long, home boolean, n long, to array<long>, stays array<boolean>, near array<long>")
     return dealt
 
 
 def _cells(rows: DataFrame, count: int, sets: DataFrame) -> DataFrame:
-    """Linked pairs as (ca, cb) of regions (region, node, class, home, n) that no pivot splits: compared in cells of CELL x CELL sets.
-
-    The L1 distance of count vectors is at most the size of the symmetric difference, so that it rules out nearly
-    all pairs in one matrix step, and no linked one; the others are compared exactly."""
+    """Pairs (a, b, ca, cb) of regions (region, node, class, home, n) that no pivot splits, which their folds don't rule out: folds are compared
+    in cells of CELL x CELL sets, so that no other pairs are formed."""
     parts = F.ceil(F.col("n") / CELL).cast("int")
     own, every = F.pmod(F.xxhash64("node", "region"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
-    held = join_skewed(rows, sets, "node", "region", count).select("region", "node", "class", "home", "items", own.alias("own"), every.alias("other"))
+    held = join_skewed(rows, sets.select("node", "size", "fold"), "node", "region", count).select(
+        "region", "node", "class", "home", "size", "fold", own.alias("own"), every.alias("other"))
 
     def side(i: str, j: str) -> DataFrame:
-        return held.select(*[F.col(c).alias(c) for c in ("region", "node", "class", "home", "items")], F.col(i).alias("i"), F.col(j).alias("j")).where("i <= j")
-
-    def fold(items: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(items), FOLD), np.int16)
-        for i, s in enumerate(items):
-            out[i] = np.minimum(np.bincount((s % np.uint64(FOLD)).astype(np.int64), minlength=FOLD), 2 ** 14)
-        return out
+        return held.select(*[F.col(c).alias(c) for c in ("region", "node", "class", "home", "size", "fold")],
+                           F.col(i).alias("i"), F.col(j).alias("j")).where("i <= j")
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        left, right = ([np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("items")] for t in (x, y))
-        (a, ca, ha), (b, cb, hb) = ((t.column(c).to_numpy() for c in ("node", "class", "home")) for t in (x, y))
+        (a, ca, ha, n), (b, cb, hb, m) = ((t.column(c).to_numpy() for c in ("node", "class", "home", "size")) for t in (x, y))
         same = bool(x.num_rows) and x.column("i")[0].as_py() == x.column("j")[0].as_py()
-        n, found = np.array([len(s) for s in right], np.int64), set()
-        if left and right:
-            fx, fy = fold(left), fold(right)
-            for k in range(len(left)):
-                may = np.flatnonzero((cb != ca[k]) & (ha[k] | hb) & ((a[k] < b) if same else (a[k] != b)))
-                if not len(may):
-                    continue
-                apart = np.abs(fy[may] - fx[k]).sum(axis=1, dtype=np.int64)
-                most = (n[may] + len(left[k]) - apart) // 2
-                for m in may[linked(most, n[may], len(left[k]))].tolist():
-                    pair = (int(ca[k]), int(cb[m]))
-                    if pair not in found and linked(common_size(left[k], right[m]), len(left[k]), len(right[m])):
-                        found.add(pair)
-        return pa.table({"ca": pa.array([p[0] for p in found], pa.int64()), "cb": pa.array([p[1] for p in found], pa.int64())})
+        left, right, at, to = _folds(x.column("fold")), _folds(y.column("fold")), [], []
+        for k in range(len(a)):
+            may = np.flatnonzero((cb != ca[k]) & (ha[k] | hb) & ((a[k] < b) if same else (a[k] != b)) & linked(np.minimum(m, n[k]), m, n[k]))
+            may = may[may_link(left[k], n[k], right[may], m[may])]
+            at += [k] * len(may)
+            to += may.tolist()
+        return pa.table({"a": a[at], "b": b[to], "ca": ca[at], "cb": cb[to]}) if at else pa.table({c: np.zeros(0, np.int64) for c in ("a", "b", "ca", "cb")})
 
     cell = ["region", "i", "j"]
-    return side("own", "other").groupBy(*cell).cogroup(side("other", "own").groupBy(*cell)).applyInArrow(compare, "ca long, cb long")
+    return side("own", "other").groupBy(*cell).cogroup(side("other", "own").groupBy(*cell)).applyInArrow(compare, "a long, b long, ca long, cb long")
 
 
 def _joined(state: DataFrame, links: DataFrame, nodes: int) -> DataFrame:
@@ -348,7 +367,9 @@ def _node_sets(own: DataFrame, feats: DataFrame, state: DataFrame, nodes: int) -
 
 
 def _ends(placed: DataFrame, state: DataFrame, nodes: int, sets: DataFrame) -> DataFrame:
-    """The final state: regions that still have several classes are split and compared until none is left."""
+    """The final state: regions that still have several classes are split and compared until none is left.
+
+    A region is split where its parts hold at most SPREAD times its sets, guests included; another one is compared as it is."""
     rows = placed.join(state.select("node", "class"), "node").withColumn("home", F.lit(True))
     for level in range(LEVELS + 1):
         rows = store(rows.select("region", "node", "class", "home"), "join-level")
@@ -358,29 +379,24 @@ def _ends(placed: DataFrame, state: DataFrame, nodes: int, sets: DataFrame) -> D
             break
         open_ = store(attach(rows, sized, "region", "n", count), "join-open")
         discard(rows, sized)
-        small = _pairs_within(open_.where(F.col("n") <= SMALL).drop("n")).distinct()
-        pairs, seen = store_counted(small, "join-pairs")
-        links = [_verified(pairs, seen["n"], sets)] if seen["n"] else []
-        large = open_.where(F.col("n") > SMALL)
-        if level == LEVELS:
-            links.append(_cells(large, count, sets))
+        pairs, large = _pairs_within(open_.where(F.col("n") <= SMALL).drop("n")), open_.where(F.col("n") > SMALL)
+        last = level == LEVELS or large.isEmpty()
+        if last:
+            pairs = pairs.unionByName(_cells(large, count, sets))
         else:
             dealt = store(voronoi(large, count, sets, level), "join-dealt")
-            links.append(dealt.select(F.col("class").alias("ca"), F.explode("near").alias("cb")))
-            moved = dealt.select(F.col("region").alias("from"), F.col("n").alias("was"), "node", "class", "home",
-                                 F.explode(F.arrays_zip("to", "stays")).alias("t"))
-            moved = moved.select(F.xxhash64("from", "t.to").alias("region"), "was", "node", "class", (F.col("home") & F.col("t.stays")).alias("home"))
-            grown = moved.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("was").alias("was"))
-            stuck = grown.where((F.col("n") > SMALL) & (F.col("n") > STUCK * F.col("was"))).select("region", "n")
-            held = store(attach(moved, grown.select("region", F.col("n")), "region", "n", count), "join-moved")
-            firm = store(attach(held.drop("n"), stuck, "region", "n", count), "join-stuck")
-            links.append(_cells(firm.select("region", "node", "class", "home", "n"), count, sets))
-            left = held.join(stuck.select("region"), "region", "left_anti") if not firm.isEmpty() else held
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        new = _after(state, every.where("ca <> cb").select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct(), nodes)
-        if level == LEVELS:
-            return new
-        rows, state = left.drop("class").join(new.select("node", "class"), "node"), new
+            parts = dealt.groupBy("region").agg(F.sum(F.size("to")).alias("parts"), F.count(F.lit(1)).alias("n"))
+            parts = store(parts.select("region", "n", (F.col("parts") <= SPREAD * F.col("n")).alias("split")), "join-parts")
+            marked = attach(dealt.drop("n"), parts, "region", "n", count)
+            pairs = pairs.unionByName(_cells(marked.where("not split").select("region", "node", "class", "home", "n"), count, sets))
+            moved = marked.where("split").select("region", "node", "home", F.explode(F.arrays_zip("to", "stays")).alias("t"))
+            rows = moved.select(F.xxhash64("region", "t.to").alias("region"), "node", (F.col("home") & F.col("t.stays")).alias("home"))
+        pairs, seen = store_counted(pairs.distinct(), "join-pairs")
+        links = _verified(pairs, seen["n"], sets)
+        if not last:
+            links = links.unionByName(dealt.select(F.col("class").alias("ca"), F.explode("near").alias("cb")))
+        state = _after(state, links.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct(), nodes)
+        if last:
+            break
+        rows = rows.join(state.select("node", "class"), "node")
     return state

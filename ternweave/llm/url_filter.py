@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,12 +58,25 @@ def ngrams(host: str, path: str, lengths=LENGTHS) -> Column:
     return F.concat(*[grams(mark, F.concat(F.lit("^"), F.col(c), F.lit("$")), n) for mark, c in (("h", host), ("p", path)) for n in lengths])
 
 
-def _features(df: DataFrame, buckets: int) -> DataFrame:
-    tf = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=buckets, binary=True)
-    return tf.transform(df.withColumn("_grams", ngrams("host", "path")))
+def buckets_of(host: str, path: str, buckets: int) -> Column:
+    """The different buckets of a URL's n-grams."""
+    return F.array_distinct(F.transform(ngrams(host, path), lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int")))
+
+
+@dataclass(frozen=True)
+class UrlModel:
+    """A logistic regression: a weight for each bucket, and the intercept."""
+    weights: np.ndarray
+    intercept: float
+
+    def score(self, host: str, path: str) -> Column:
+        """Probability of ``block``, as a plain expression: the weights are one literal of the scan."""
+        weights = F.lit(self.weights)
+        total = F.aggregate(buckets_of(host, path, len(self.weights)), F.lit(float(self.intercept)), lambda s, b: s + weights[b])
+        return 1 / (1 + F.exp(-total))
 
 
-def fit(labelled: DataFrame, buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED):
+def fit(labelled: DataFrame, buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED) -> UrlModel | None:
     """Model of ``labelled(host, path, verdict)``, or None without rows of both verdicts.
 
     At most ``max_labelled`` different rows, first in the order of a hash, are used; they stand in
@@ -71,12 +86,13 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, max_labelled: int = MAX_LAB
     sample = store(sample, "url-labels").coalesce(1).sortWithinPartitions("host", "path", "label")
     if sample.select("label").distinct().count() < 2:
         return None
-    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=0.001, maxIter=60,
-                              standardization=False).fit(_features(sample, buckets))
+    vectors = CountVectorizerModel.from_vocabulary([str(b) for b in range(buckets)], inputCol="_buckets", outputCol="_features").setBinary(True)
+    rows = vectors.transform(sample.withColumn("_buckets", buckets_of("host", "path", buckets).cast("array<string>")))
+    model = LogisticRegression(featuresCol="_features", labelCol="label", regParam=0.001, maxIter=60, standardization=False).fit(rows)
+    return UrlModel(model.coefficients.toArray(), model.intercept)
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, model=None, id_col: str = "page_id", url_col: str = "url",
-                 buckets: int = BUCKETS) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules=RULES, model: UrlModel | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, block_score) of every page.
 
     A rule's verdict stands; elsewhere the model blocks at a score of 0.5 or more.  Without a
@@ -85,11 +101,8 @@ def url_verdicts(pages: DataFrame, rules=RULES, model=None, id_col: str = "page_
     other columns are ignored, whatever their names."""
     judged = pages.select(F.col(id_col).alias("page_id"), host_of(url_col).alias("host"), path_of(url_col).alias("path"))
     judged = judged.withColumn("_rule", rule_of("host", "path", rules))
-    if model is None:
-        score = F.lit(None).cast("double")
-    else:
-        judged = model.transform(_features(judged, buckets))
-        score = vector_to_array("probability")[1]
+    judged = judged.withColumn("_score", F.lit(None).cast("double") if model is None else model.score("host", "path"))
+    score = F.col("_score")
     learned = F.when(score >= 0.5, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"),
                          F.coalesce("_rule.verdict", learned).alias("verdict"), score.alias("block_score"))
