@@ -266,7 +266,7 @@ def _cells(rows: DataFrame, count: int, sets: DataFrame) -> DataFrame:
                            F.col(i).alias("i"), F.col(j).alias("j")).where("i <= j")
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        (a, ca, ha, n), (b, cb, hb, m) = ((t.column(c).to_numpy() for c in ("node", "class", "home", "size")) for t in (x, y))
+        (a, ca, ha, n), (b, cb, hb, m) = ([t.column(c).to_numpy() for c in ("node", "class", "home", "size")] for t in (x, y))
         same = bool(x.num_rows) and x.column("i")[0].as_py() == x.column("j")[0].as_py()
         left, right, at, to = _folds(x.column("fold")), _folds(y.column("fold")), [], []
         for k in range(len(a)):
