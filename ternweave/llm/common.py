@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -56,12 +59,31 @@ _KEPT: dict[str, dict] = {}
 
 def kept_by(owner: str) -> dict:
     """What an operator keeps in a Python worker from task to task.  Workers outlive a stage, so
-    everything that other operators have kept is forgotten."""
+    everything that other operators have kept is forgotten, and memory that no longer holds anything goes back to the system."""
     for other in [k for k in _KEPT if k != owner]:
         del _KEPT[other]
+    give_back()
     return _KEPT.setdefault(owner, {})
 
 
+def give_back() -> None:
+    """Return unused memory of a Python worker, which would otherwise stay as large as its largest task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):                        # not glibc
+        pass
+
+
+def fresh(rows: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``rows`` has."""
+    have = {c.lower() for c in rows.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def slices(batches, rows: int = 1000) -> Iterator:
     """The batches in slices of at most ``rows`` rows, so that few texts are Python strings at a time."""
     for batch in batches:
@@ -161,10 +183,17 @@ def bit_set(bitmap: Column, cell: Column) -> Column:
 
 def may_be_in(rows: DataFrame, name: str, filter_: DataFrame, bits: int) -> DataFrame:
     """Rows whose id may be in an :func:`id_filter`: all that are, and few others."""
+    rows_, maybe = marked(rows, name, filter_, bits)
+    return rows_.where(F.col(maybe)).select(*rows.columns)
+
+
+def marked(rows: DataFrame, name: str, filter_: DataFrame, bits: int) -> tuple[DataFrame, str]:
+    """``rows`` and a further column, named in the result, that says whether their id may be in the filter."""
     cell = F.pmod(F.xxhash64(name), F.lit(bits))
-    part = F.broadcast(filter_.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap")))
-    return (rows.withColumn("_bucket", F.shiftright(cell, 15)).join(part, "_bucket")
-            .where(bit_set(F.col("_bitmap"), cell)).drop("_bucket", "_bitmap"))
+    bucket, bitmap, maybe = (fresh(rows, c) for c in ("_bucket", "_bitmap", "_maybe"))
+    part = F.broadcast(filter_.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap)))
+    return (rows.withColumn(bucket, F.shiftright(cell, 15)).join(part, bucket, "left")
+            .withColumn(maybe, F.col(name).isNotNull() & bit_set(F.col(bitmap), cell))), maybe
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -195,12 +224,9 @@ def without_ids(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
     A Bloom filter of a bounded size lets most of the other rows pass where they are; only rows that may be
     among the ids are shuffled and compared."""
-    ids, seen = store_counted(ids.toDF("_id").distinct(), "left-out")
-    filter_, bits = id_filter(ids, "_id", seen["n"])
-    cell = F.pmod(F.xxhash64(name), F.lit(bits))
-    part = F.broadcast(filter_.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap")))
-    marked = (rows.withColumn("_bucket", F.shiftright(cell, 15)).join(part, "_bucket", "left")
-              .withColumn("_maybe", F.col(name).isNotNull() & bit_set(F.col("_bitmap"), cell)))
-    clear = marked.where("not _maybe").select(*rows.columns)
-    maybe = marked.where("_maybe").select(*rows.columns)
-    return clear.unionByName(maybe.join(ids, maybe[name] == ids["_id"], "left_anti"))
+    own = fresh(rows, "_id")
+    ids, seen = store_counted(ids.toDF(own).distinct(), "left-out")
+    filter_, bits = id_filter(ids, own, seen["n"])
+    rows_, maybe = marked(rows, name, filter_, bits)
+    clear, unsure = (rows_.where(c).select(*rows.columns) for c in (~F.col(maybe), F.col(maybe)))
+    return clear.unionByName(unsure.join(ids, unsure[name] == ids[own], "left_anti"))

@@ -17,9 +17,9 @@ PERCENT = 80
 COUNTERS, PART, FANS = 2 ** 21, 2 ** 16, 64
 #: Rounds in which every set is compared with one pivot before regions are split.
 PIVOT_ROUNDS = 2
-#: Regions of at most SMALL sets are compared pair by pair; larger ones are split at PIVOTS pivots each, LEVELS times at most, if
-#: their parts hold at most SPREAD times their sets; the others are compared in cells of CELL x CELL sets.
-SMALL, PIVOTS, LEVELS, SPREAD, CELL = 24, 4, 4, 2.0, 512
+#: Regions of at most SMALL sets are compared pair by pair, and of at most CELL sets in one task.  Larger ones are split at PIVOTS pivots each,
+#: LEVELS times at most, if their parts hold at most SPREAD times their sets; the others are compared in cells of CELL x CELL sets.
+SMALL, PIVOTS, LEVELS, SPREAD, CELL = 24, 8, 4, 2.0, 256
 #: Length of the count vectors that bound an intersection from above.
 FOLD = 256
 CHARS = 2_000_000
@@ -150,21 +150,49 @@ def _folds(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), FOLD)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, size, fold, items) of the ``wanted(node, mark, key_a, key_b)`` from documents (mark, text)."""
+class Texts:
+    """The sets of nodes, made from their texts again whenever they are needed: folds are stored for all nodes, and sets for the few
+    whose pairs the folds leave.  Rows of the same id and text are combined first."""
+
+    def __init__(self, own: DataFrame, feats: DataFrame, state: DataFrame):
+        self.own = own
+        self.wanted = store(feats.join(state.select(F.col("node").alias("row")), "row", "left_semi").select(
+            F.col("row").alias("node"), "mark", "key_a", "key_b"), "join-wanted")
+        self.again = store(feats.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"), "join-again")
+        self.folds = store(self._made(self.wanted, "fold"), "join-folds")
+
+    def sets(self, ids: DataFrame, count: int) -> DataFrame:
+        """(node, items), stored, of at most ``count`` nodes."""
+        filter_, bits = id_filter(ids, "node", count)
+        return store(self._made(store(may_be_in(self.wanted, "node", filter_, bits).join(ids, "node", "left_semi"), "join-few"), "items"), "join-sets")
+
+    def _made(self, wanted: DataFrame, what: str) -> DataFrame:
+        filter_, bits = id_filter(wanted, "mark", wanted.count())
+        texts = may_be_in(self.own.select("mark", "text"), "mark", filter_, bits)
+        if self.again.isEmpty():
+            return _sets_of(texts, wanted, what)
+        filter_, bits = id_filter(self.again, "mark", self.again.count())
+        once = texts.join(self.again, "mark", "left_anti")
+        twice = may_be_in(texts, "mark", filter_, bits).join(self.again, "mark", "left_semi").distinct()
+        return _sets_of(once, wanted, what).unionByName(_sets_of(twice, wanted, what))
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, what: str) -> DataFrame:
+    """(node, size, fold), or (node, items), of the ``wanted(node, mark, key_a, key_b)`` from documents (mark, text)."""
     def compute(batches):
         import xxhash
         for rows, flat, size in Sets().batches(batches):
             parts = np.split(flat, np.cumsum(size)[:-1])
-            sets, folds = [s.tobytes() for s in parts], [fold(s).tobytes() for s in parts]
-            keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, sets)), np.int64).reshape(-1, 2)
+            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in parts), np.int64).reshape(-1, 2)
             same = (rows.column("key_a").to_numpy() == keys[:, 0]) & (rows.column("key_b").to_numpy() == keys[:, 1])
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(size), pa.array(folds, pa.binary()), pa.array(sets, pa.binary())],
-                                             names=["node", "size", "fold", "items"]).filter(pa.array(same))
-    return docs.join(wanted, "mark").mapInArrow(compute, "node long, size long, fold binary, items binary")
+            made = [pa.array(size), pa.array([fold(s).tobytes() for s in parts], pa.binary())] if what == "fold" else [pa.array([s.tobytes() for s in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([rows.column("node"), *made], names=["node", *names]).filter(pa.array(same))
 
+    names = ["size", "fold"] if what == "fold" else ["items"]
+    return docs.join(wanted, "mark").mapInArrow(compute, "node long, size long, fold binary" if what == "fold" else "node long, items binary")
 
-def _verified(pairs: DataFrame, count: int, sets: DataFrame) -> DataFrame:
+
+def _verified(pairs: DataFrame, count: int, texts: Texts) -> DataFrame:
     """The linked ones of the pairs (a, b, ca, cb), as (ca, cb).  Folds are compared first, so that few pairs need their sets."""
     def rule_out(batches):
         for batch in batches:
@@ -178,17 +206,17 @@ def _verified(pairs: DataFrame, count: int, sets: DataFrame) -> DataFrame:
             keep = [bool(linked(common_size(a, b), len(a), len(b))) for a, b in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("ca"), batch.column("cb")], names=["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
-    def with_both(rows: DataFrame, n: int, *columns: str) -> DataFrame:
-        one, two = (sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]) for c in "ab")
+    def with_both(rows: DataFrame, n: int, held: DataFrame, *columns: str) -> DataFrame:
+        one, two = (held.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]) for c in "ab")
         return join_skewed(join_skewed(rows, two, "b", "a", n), one, "a", "b", n, counted=rows)
 
     names = ["a", "b", "ca", "cb"]
-    left, seen = store_counted(with_both(pairs, count, "size", "fold").select(*names, "size_a", "fold_a", "size_b", "fold_b").mapInArrow(
+    left, seen = store_counted(with_both(pairs, count, texts.folds, "size", "fold").select(*names, "size_a", "fold_a", "size_b", "fold_b").mapInArrow(
         rule_out, ", ".join(f"{c} long" for c in names)), "join-near")
-    ids = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    filter_, bits = id_filter(ids, "node", 2 * seen["n"])
-    sets = may_be_in(sets, "node", filter_, bits)
-    return with_both(left, max(seen["n"], 1), "items").select("ca", "cb", "items_a", "items_b").mapInArrow(check, "ca long, cb long")
+    if not seen["n"]:
+        return left.select("ca", "cb")
+    sets = texts.sets(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * seen["n"])
+    return with_both(left, seen["n"], sets, "items").select("ca", "cb", "items_a", "items_b").mapInArrow(check, "ca long, cb long")
 
 
 def _open_regions(placed: DataFrame, state: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -253,12 +281,12 @@ def voronoi(rows: DataFrame, count: int, sets: DataFrame, level: int) -> DataFra
     return dealt
 
 
-def _cells(rows: DataFrame, count: int, sets: DataFrame) -> DataFrame:
+def _cells(rows: DataFrame, count: int, texts: Texts) -> DataFrame:
     """Pairs (a, b, ca, cb) of regions (region, node, class, home, n) that no pivot splits, which their folds don't rule out: folds are compared
     in cells of CELL x CELL sets, so that no other pairs are formed."""
     parts = F.ceil(F.col("n") / CELL).cast("int")
     own, every = F.pmod(F.xxhash64("node", "region"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
-    held = join_skewed(rows, sets.select("node", "size", "fold"), "node", "region", count).select(
+    held = join_skewed(rows, texts.folds, "node", "region", count).select(
         "region", "node", "class", "home", "size", "fold", own.alias("own"), every.alias("other"))
 
     def side(i: str, j: str) -> DataFrame:
@@ -325,17 +353,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed, near = placed.select("region", "node"), seen["n"]
     discard(shared)
     if count:
-        sets = store(_node_sets(own, feats, state, near), "join-sets")
+        texts = Texts(own, feats, state)
         for turn in range(PIVOT_ROUNDS):
             rows, tops = _open_regions(placed, state, turn)
             pairs, seen = store_counted(_pivot_pairs(rows, tops, count), "join-pairs")
             discard(rows, tops)
             if not seen["n"]:
                 break
-            state = _after(state, _verified(pairs, seen["n"], sets).distinct(), near)
+            state = _after(state, _verified(pairs, seen["n"], texts).distinct(), near)
             discard(pairs)
-        state = _ends(placed, state, near, sets)
-        discard(sets)
+        state = _ends(placed, state, near, texts)
     named = (groups.join(state.select("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node")))
     least = named.groupBy("class").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("sets"))
     named = attach(named.select("class", *key, "size"), least, "class", "sets", total).select(*key, "size", "component_id")
@@ -353,23 +380,10 @@ def _after(state: DataFrame, links: DataFrame, nodes: int) -> DataFrame:
     return out
 
 
-def _node_sets(own: DataFrame, feats: DataFrame, state: DataFrame, nodes: int) -> DataFrame:
-    """(node, items) of the sets that share a region.  Rows of the same id and text are combined first."""
-    wanted = store(feats.join(state.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "mark", "key_a", "key_b"), "join-wanted")
-    again = store(feats.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"), "join-again")
-    filter_, bits = id_filter(wanted, "mark", nodes)
-    texts = may_be_in(own.select("mark", "text"), "mark", filter_, bits)
-    if again.isEmpty():
-        return _sets_of(texts, wanted)
-    filter_, bits = id_filter(again, "mark", again.count())
-    once = texts.join(may_be_in(again, "mark", filter_, bits), "mark", "left_anti")
-    return _sets_of(once, wanted).unionByName(_sets_of(may_be_in(texts, "mark", filter_, bits).join(again, "mark", "left_semi").distinct(), wanted))
-
-
-def _ends(placed: DataFrame, state: DataFrame, nodes: int, sets: DataFrame) -> DataFrame:
+def _ends(placed: DataFrame, state: DataFrame, nodes: int, texts: Texts) -> DataFrame:
     """The final state: regions that still have several classes are split and compared until none is left.
 
-    A region is split where its parts hold at most SPREAD times its sets, guests included; another one is compared as it is."""
+    A region that is too large for a task is split where its parts hold at most SPREAD times its sets, guests included; another one is compared as it is."""
     rows = placed.join(state.select("node", "class"), "node").withColumn("home", F.lit(True))
     for level in range(LEVELS + 1):
         rows = store(rows.select("region", "node", "class", "home"), "join-level")
@@ -379,20 +393,23 @@ def _ends(placed: DataFrame, state: DataFrame, nodes: int, sets: DataFrame) -> D
             break
         open_ = store(attach(rows, sized, "region", "n", count), "join-open")
         discard(rows, sized)
-        pairs, large = _pairs_within(open_.where(F.col("n") <= SMALL).drop("n")), open_.where(F.col("n") > SMALL)
+        pairs = _pairs_within(open_.where(F.col("n") <= SMALL).drop("n")).unionByName(
+            _cells(open_.where((F.col("n") > SMALL) & (F.col("n") <= CELL)), count, texts))
+        large = store(open_.where(F.col("n") > CELL), "join-large")
         last = level == LEVELS or large.isEmpty()
-        if last:
-            pairs = pairs.unionByName(_cells(large, count, sets))
-        else:
-            dealt = store(voronoi(large, count, sets, level), "join-dealt")
+        if level == LEVELS:
+            pairs = pairs.unionByName(_cells(large, count, texts))
+        elif not last:
+            ids = large.select("node").distinct()
+            dealt = store(voronoi(large, count, texts.sets(ids, large.count()), level), "join-dealt")
             parts = dealt.groupBy("region").agg(F.sum(F.size("to")).alias("parts"), F.count(F.lit(1)).alias("n"))
             parts = store(parts.select("region", "n", (F.col("parts") <= SPREAD * F.col("n")).alias("split")), "join-parts")
             marked = attach(dealt.drop("n"), parts, "region", "n", count)
-            pairs = pairs.unionByName(_cells(marked.where("not split").select("region", "node", "class", "home", "n"), count, sets))
+            pairs = pairs.unionByName(_cells(marked.where("not split").select("region", "node", "class", "home", "n"), count, texts))
             moved = marked.where("split").select("region", "node", "home", F.explode(F.arrays_zip("to", "stays")).alias("t"))
             rows = moved.select(F.xxhash64("region", "t.to").alias("region"), "node", (F.col("home") & F.col("t.stays")).alias("home"))
         pairs, seen = store_counted(pairs.distinct(), "join-pairs")
-        links = _verified(pairs, seen["n"], sets)
+        links = _verified(pairs, seen["n"], texts)
         if not last:
             links = links.unionByName(dealt.select(F.col("class").alias("ca"), F.explode("near").alias("cb")))
         state = _after(state, links.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct(), nodes)
