@@ -4,6 +4,7 @@ go, sources are mixed, and token ids are written."""
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,46 +13,103 @@ from ternweave.llm import common, decontaminate, mixing, near_dedup, token_binar
 
 #: The stages have no form in SQL; tests hold them against brute force.
 ORACLE_SQL = None
+#: Places of the mixture are broadcast up to this size, and joined by a shuffle beyond it.
+PLACE_BYTES, BROADCAST_BYTES = 64, 64 * 2 ** 20
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of a stage with a key of their own, and the name of its column.
+
+    The key is the id where that is the row's alone, and else a number of at least 2^62 from the row's file and place: rows
+    with a null id, or with one that others have, are rows like all others."""
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    except AnalysisException:                                     # not the rows of files
+        docs = common.store(docs, "pipeline-rows")
+        rows = docs.select("*", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    key, again = (common.fresh(docs, c) for c in ("_key", "_again"))
+    rows = rows.toDF(*docs.columns, "_file_" + key, "_row_" + key)
+    place = F.xxhash64("_file_" + key, "_row_" + key).bitwiseAND(2 ** 62 - 1).bitwiseOR(2 ** 62)
+    repeated = common.store(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(again)).agg(F.count(F.lit(1)).alias("n"))
+                            .where("n > 1").select(again), "pipeline-repeated")
+    alone = F.col("doc_id") < 2 ** 62
+    if repeated.isEmpty():
+        own = F.when(alone, F.col("doc_id")).otherwise(place)
+        return rows.withColumn(key, own).select(*docs.columns, key), key
+    filter_, bits = common.id_filter(repeated, again, repeated.count())
+    maybe, flag = common.marked(rows, "doc_id", filter_, bits)          # only rows that may share their id are shuffled
+    clear = maybe.where(~F.col(flag)).withColumn(key, F.when(alone, F.col("doc_id")).otherwise(place))
+    unsure = maybe.where(F.col(flag)).withColumn(key, place)
+    held = common.join_skewed(unsure.toDF(*[f"c{i}" for i in range(len(unsure.columns))]).withColumn("id", F.col(f"c{docs.columns.index('doc_id')}")),
+                              repeated.toDF("id").withColumn("many", F.lit(True)), "id", f"c{len(unsure.columns) - 1}", docs.count(), "left")
+    shared = held.withColumn("key", F.when((F.col("id") < 2 ** 62) & F.col("many").isNull(), F.col("id")).otherwise(F.col(f"c{len(unsure.columns) - 1}")))
+    shared = shared.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("key").alias(key))
+    return clear.select(*docs.columns, key).unionByName(shared), key
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the threshold of their language; the classifier learns from the table labels."""
+    """Documents whose toxicity is below the threshold of their language; the classifier learns from the table labels.
+
+    Every row is judged by its own text: null and empty texts are clean, repeated rows go or stay together, ids may repeat or be
+    null, and further columns of any name pass through.  An empty table gives no rows."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     net = toxicity.fit(toxicity.labelled_sample(docs, labels, F.pmod(common.crc_of("doc_id"), F.lit(5)) != 0))
-    scored = toxicity.with_score(docs, net, "_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.threshold_of(net, "lang")).select(*docs.columns)
+    score = common.fresh(docs, "_toxicity")
+    scored = toxicity.with_score(docs, net, score)
+    return scored.where(F.col(score) < toxicity.threshold_of(net, "lang")).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The first document of each group of near duplicates: that of the smallest id, of rows with an id of their own.
+
+    Of repeated rows, and of rows that share an id or have none, one of each group stays as well.  Null and empty texts are copies of each other.
+    Further columns of any name pass through; an empty table gives no rows."""
     ship(spark)
-    groups = near_dedup.near_duplicates(docs)
-    return common.without_ids(docs, groups.where("not kept").select("doc_id"), "doc_id")
+    rows, key = keyed(docs)
+    groups = near_dedup.near_duplicates(rows, key)
+    return common.without_ids(rows, groups.where("not kept").select("doc_id"), key).drop(key)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the table benchmark."""
+    """Documents without a passage of the table benchmark.
+
+    Every row is judged by its own text, whatever its id.  Null and empty texts stay; further columns of any name pass through; an empty table
+    of documents gives no rows, and an empty benchmark leaves all."""
     benchmark = ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits = decontaminate.contaminated(docs, benchmark)
-    return common.without_ids(docs, hits.select("doc_id").where("doc_id is not null"), "doc_id")
+    rows, key = keyed(docs)
+    hits = decontaminate.contaminated(rows, benchmark, key)
+    return common.without_ids(rows, hits.select("doc_id"), key).drop(key)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, stored in the order of the mixture; rows that share an id stand together."""
-    place = (mixing.mixed(docs).groupBy(F.col("doc_id").alias("_doc"))
-             .agg(F.min(F.struct("slot", "place")).alias("_at")))
-    n = int(ship(spark).conf.get("spark.sql.shuffle.partitions"))
-    return (docs.join(place, docs["doc_id"].eqNullSafe(place["_doc"])).withColumns({"_slot": F.col("_at.slot"), "_place": F.col("_at.place")})
-            .repartitionByRange(n, "_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns))
+    """All rows, stored in the order of the mixture; the order of a source's rows is that of a hash of their keys.
+
+    A null source is one of its own, and rows with repeated or null ids have places of their own.  Texts are shuffled
+    once, straight to the range of their slots.  Further columns of any name pass through; an empty table gives no rows."""
+    ship(spark)
+    rows, key = keyed(docs)
+    places = common.store(mixing.mixed(rows, id_col=key), "pipeline-places")
+    seen = places.agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last")).first()
+    if not seen["n"]:
+        return docs
+    at, slot, place, part = (common.fresh(rows, c) for c in ("_at", "_slot", "_place", "_part"))
+    found = places.select(F.col("doc_id").alias(at), F.col("slot").alias(slot), F.col("place").alias(place))
+    if PLACE_BYTES * seen["n"] <= BROADCAST_BYTES:
+        found = F.broadcast(found)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.join(found, F.col(key) == F.col(at)).withColumn(part, F.floor(F.col(slot) * n / (seen["last"] + 1)).cast("int"))
+            .repartitionById(n, F.col(part)).sortWithinPartitions(slot, place).select(*docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in files, in the stored order of the documents (by id where they don't come from files): a row per document."""
+    """Token ids in files, in the stored order of the documents (by id where they don't come from files): a row per document.
+
+    Null and empty texts have the end id alone; repeated rows and null ids are rows of their own; an empty table gives no rows."""
     ship(spark)
-    if docs.inputFiles():
+    try:
         docs = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
         order = ["_file", "_row"]
-    else:
+    except AnalysisException:                                     # not the rows of files
         order = ["doc_id"]
     return token_binary.token_files(docs, public_tokenizers.path("word_bpe_49k.json"), order)
 

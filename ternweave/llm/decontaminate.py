@@ -21,8 +21,8 @@ SAMPLES, RECALL, GIVE_UP = 3, 0.95, 1000
 WHOLE, PIECE = 120, 60
 #: Item lengths of a class differ by this factor at most.
 SPREAD = 1.4
-#: Items are searched in blocks of so many words, so that what a task holds is bounded.
-BLOCK_WORDS = 200_000
+#: Items are indexed in blocks of so many words, and so many blocks are searched in one scan, so that what a task holds is bounded.
+BLOCK_WORDS, GROUP = 200_000, 4
 CHARS = 1_000_000
 PAD = 1
 
@@ -169,7 +169,7 @@ class Index:
                 if len(seeds) == GIVE_UP:
                     raise ValueError(f"items of {short} to {long} words: a recall of {reached} instead of {recall} after {GIVE_UP} repetitions")
                 s = int(rng.integers(1, 2 ** 31))
-                early = int(rng.integers(max(1, short // 3)))       # most windows end at the first sample: take that early
+                early = int(rng.integers(max(min(short, 3), short // 3)))       # most windows end at the first sample: take that early
                 reach = _reach(flat, start, size, ids, s, 2 * short)
                 rest = np.arange(early + 1, max(reach, early + 1))
                 picked = (early, *sorted(rng.choice(rest, min(k - 1, len(rest)), replace=False).tolist()))
@@ -292,10 +292,10 @@ class Index:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Blocks of (item ids, word lists) of at most BLOCK_WORDS words, read one by one; items without
-    words, or without an id, are left out."""
+    """Blocks of (item ids, word lists) of at most BLOCK_WORDS words, read one by one; an item without an
+    id is an item like others, and one without words is left out."""
     ids, lists, total = [], [], 0
-    for r in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null").orderBy("i", "t").toLocalIterator():
+    for r in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).orderBy("i", "t").toLocalIterator():
         w = words(r.t)
         if not w:
             continue
@@ -315,36 +315,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     row per document and item, with its least number of edits and the word at which that passage ends.
 
     Words are lower-case runs of letters, digits and underscores.  The benchmark is the query set: its blocks
-    are of bounded size and each is searched in all documents by a narrow job, without a shuffle; a
+    are of bounded size, and GROUP of them at a time are searched in all documents by a narrow job, without a shuffle; a
     document's windows are compared with hash tables, never with every item.  Verbatim passages are always
     found; those at the largest distance with ``recall``, as measured when the tables are built (an error if it can't be
-    reached).  Items of more than WHOLE words are looked for by their pieces and compared as a whole.  Null and empty texts and items match nothing; repeated rows give repeated results; empty tables give no rows; other
-    columns are not read."""
+    reached).  Items of more than WHOLE words are looked for by their pieces and compared as a whole.
+
+    Null and empty texts and items match nothing.  An item or a document without an id gives rows with a null in its place.
+    Repeated rows give repeated results, empty tables give no rows, and other columns are not read, whatever their names."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     from pyspark.sql.pandas.types import to_arrow_type
     arrow = to_arrow_type(item_kind)
 
-    def search(blob):
+    def search(blobs):
         def run(batches):
             kept_by("decontaminate")
-            names, index = pickle.loads(blob.value)
+            indexes = [pickle.loads(b.value) for b in blobs]
             for batch in slices(batches):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 rows = []
                 for a, b in portions(map(len, texts), CHARS):
-                    rows += [(t + a, names[i], e, w) for t, i, e, w in index.matches(texts[a:b])]
+                    for names, index in indexes:
+                        rows += [(t + a, names[i], e, w) for t, i, e, w in index.matches(texts[a:b])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], arrow),
                      pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())],
                     names=["doc_id", "item_id", "edits", "end_word"])
         return run
 
+    def searched(blobs):
+        return own.mapInArrow(search(blobs), f"doc_id {kind}, item_id {item_kind.simpleString()}, edits int, end_word int")
+
+    group = []
     for ids, lists in item_blocks(benchmark, item_col, item_text_col):
-        blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps((ids, Index(lists, recall))))
-        part = own.mapInArrow(search(blob), f"doc_id {kind}, item_id {item_kind.simpleString()}, edits int, end_word int")
-        out = part if out is None else out.unionByName(part)
+        group.append(docs.sparkSession.sparkContext.broadcast(pickle.dumps((ids, Index(lists, recall)))))
+        if len(group) == GROUP:
+            out, group = searched(group) if out is None else out.unionByName(searched(group)), []
+    if group:
+        out = searched(group) if out is None else out.unionByName(searched(group))
     if out is None:
         return own.where("false").select("doc_id", F.lit(None).cast(item_kind).alias("item_id"), F.lit(0).alias("edits"), F.lit(0).alias("end_word"))
     return out

@@ -21,12 +21,22 @@ MAX_BITS = 18
 #: Tokens of a block (a longer document is a block of its own) and between two bit-offset checkpoints.
 BLOCK, STEP = 131_072, 256
 MAGIC = b"HUF1"
+#: Number of the range of the rows that hold a task's counts of ids.
+COUNTS = -1
 CHARS = 2_000_000
 
 #: The pre-tokens of the word tokenizer in text without the characters below, on which Unicode tables might differ.
 PIECES = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
 UNSURE = re.compile("[^\t\n\r -~À-ɏ]")
-REMEMBERED = 600_000
+ASCII_OK = bytes([9, 10, 13, *range(32, 127)])
+#: Bytes of words and ids that a Python worker remembers.
+REMEMBERED = 96 * 2 ** 20
+
+
+def unsure(text: str) -> bool:
+    """Whether UNSURE is found in the text."""
+    left = text.encode().translate(None, ASCII_OK)
+    return bool(left) and (text.isascii() or UNSURE.search(left.decode()) is not None)
 
 
 class Ragged:
@@ -62,7 +72,7 @@ class Encoder:
     """Ids of whole texts as the tokenizers library gives them for a word-level file.
 
     White space always parts pre-tokens, and merges stay within a pre-token.  So the library encodes
-    each pre-token once and its ids are remembered, by pre-token and by word.  Words with
+    each pre-token once, and the ids of words are remembered.  Words with
     characters on which Unicode tables might differ go to the library as they stand, and so
     does every text that may hold a special token."""
 
@@ -73,7 +83,14 @@ class Encoder:
         self.special = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(n)])
-        self.pieces, self.words = Ragged(), Ragged()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.bytes = Ragged(), 0
+
+    def _keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.words.add(names, ids, sizes)
+        self.bytes += sum(map(len, names)) + 170 * len(names) + 4 * len(ids)       # a string, its hash entry, its place
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,30 +105,38 @@ class Encoder:
             else:
                 each = self._library(part)
                 ids, sizes = np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64)
-            self.pieces.add(part, ids, sizes)
-
-    def _learn_words(self, new: list[str]) -> None:
-        sure = [w for w in new if not UNSURE.search(w)]
-        split = [PIECES.findall(w) for w in sure]
-        self._learn_pieces(list(set().union(*split).difference(self.pieces.index)))
-        ids, sizes = self.pieces.get(self.pieces.numbers([p for s in split for p in s]))
+            self._keep(part, ids, sizes)
+
+    def _learn(self, new: list[str]) -> None:
+        """A piece is a word of its own; other words are put together from theirs."""
+        plain = [w for w in new if w.isalpha() and not UNSURE.search(w)]
+        rest = set(new).difference(plain)
+        other = [w for w in rest if UNSURE.search(w)]
+        mixed = list(rest.difference(other))
+        split = [PIECES.findall(w) for w in mixed]
+        self._learn_pieces(list(set().union(plain, *split).difference(self.words.index)))
+        more = [i for i, w in enumerate(mixed) if w not in self.words.index]
+        split = [split[i] for i in more]
+        ids, sizes = self.words.get(self.words.numbers([p for s in split for p in s]))
         owner = np.repeat(np.arange(len(split)), [len(s) for s in split])
-        self.words.add(sure, ids, np.bincount(owner, sizes, minlength=len(sure)).astype(np.int64))
-        other = [w for w in new if UNSURE.search(w)]
+        self._keep([mixed[i] for i in more], ids, np.bincount(owner, sizes, minlength=len(more)).astype(np.int64))
         each = self._library(other)
-        self.words.add(other, np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64))
+        self._keep(other, np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words.index) > REMEMBERED:
-            self.pieces, self.words = Ragged(), Ragged()
+        if self.bytes > REMEMBERED:
+            self._forget()
         whole = [any(s in t for s in self.special) for t in texts]
-        split = [[] if w else t.lower().split() if not UNSURE.search(t) else [c for x in t.split(" ") for c in (
+        split = [[] if w else t.lower().split() if not unsure(t) else [c for x in t.split(" ") for c in (
             [x] if UNSURE.search(x) else x.lower().split())] for t, w in zip(texts, whole, strict=True)]
-        new = set().union(*split).difference(self.words.index)
-        if new:
-            self._learn_words(list(new))
-        ids, sizes = self.words.get(self.words.numbers(list(itertools.chain.from_iterable(split))))
-        edge = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(s) for s in split])]
+        names = list(itertools.chain.from_iterable(split))
+        number = np.fromiter(map(self.words.index.get, names, itertools.repeat(-1)), np.int64, len(names))
+        if len(missing := np.flatnonzero(number < 0)):
+            unknown = [names[i] for i in missing.tolist()]
+            self._learn(list(set(unknown)))
+            number[missing] = self.words.numbers(unknown)
+        ids, sizes = self.words.get(number)
+        edge = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(s) for s in split], dtype=np.int64)]
         out = np.split(ids, edge[:-1]) if len(edge) else []
         return [np.array(self._library([t])[0], np.uint32) if w else x for t, w, x in zip(texts, whole, out, strict=True)]
 
@@ -236,15 +261,26 @@ class Code:
 
 # ---- files -----------------------------------------------------------------------------------
 
+def dealt(docs: DataFrame, order: list[str], n: int) -> DataFrame:
+    """``docs`` in ``n`` ranges of the columns ``order``, sorted, with the number of the range in ``part``.
+
+    The ends of the ranges come from the order's columns alone, so that texts are read and shuffled once."""
+    first = (docs.select(*order).repartitionByRange(n, *order).select(F.spark_partition_id().alias("part"), F.struct(*order).alias("first"))
+             .groupBy("part").agg(F.min("first").alias("first")).orderBy("part").collect())              # n rows at most
+    kinds = [docs.schema[c].dataType for c in order]
+    ends = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(r.first, kinds, order, strict=True)]) for r in first[1:]]
+    part = F.size(F.filter(F.array(*ends), lambda end: end <= F.struct(*order))) if ends else F.lit(0)
+    return docs.withColumn("part", part).repartitionById(n, F.col("part")).sortWithinPartitions("part", *order)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, order: list[str], id_col: str = "doc_id", text_col: str = "text",
                      path: str | None = None, partitions: int | None = None) -> str:
     """Write the ids of all documents, in the order of the columns ``order``, and return the path.
 
     ``path/code`` holds one row, the code lengths; ``path/blocks`` the blocks: part,
     ids before it in the part, ids, document ids, and the block itself.  Texts are dealt
-    out by range of the order and tokenized once; their plain ids are kept for the global counts (at most
-    one count per id of the vocabulary and task) and for the packing.  No task holds more than a
-    batch and a block, and a lost task is written again as it was.  Each document's ids end with
+    out by range of the order and tokenized once; their plain ids are kept for the packing, beside each task's counts of the
+    ids.  No task holds more than a batch and a block, and a lost task is written again as it was.  Each document's ids end with
     END.  Null is an empty text.  Rows of equal order stand in any order."""
     spark = docs.sparkSession
     path = path or folder(spark, "token-ids")
@@ -254,37 +290,41 @@ def encode_documents(docs: DataFrame, tokenizer: str, order: list[str], id_col:
     width = np.dtype("<u2" if vocabulary <= 2 ** 16 else "<u4")
 
     def tokenize(batches):
-        encoder, before, tail = encoder_of(tokenizer), 0, np.array([END], width).tobytes()
-        for batch in batches:
+        encoder, part, before, total = encoder_of(tokenizer), None, 0, np.zeros(vocabulary, np.int64)
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
+            where = batch.column("part").to_numpy()
             for a, b in portions(map(len, texts), CHARS):
-                data = [x.astype(width).tobytes() + tail for x in encoder(texts[a:b])]
-                n = np.array([len(d) // width.itemsize for d in data], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("part").slice(a, b - a), batch.column("doc_id").slice(a, b - a),
-                     pa.array(before + np.cumsum(n) - n, pa.int64()), pa.array(data, pa.binary())], names=["part", "doc_id", "before", "ids"])
-                before += int(n.sum())
+                for x, y in zip(*_runs(where[a:b]), strict=True):
+                    if where[a + x] != part:
+                        part, before = where[a + x], 0
+                    ids = encoder(texts[a + x:a + y])
+                    n = np.array([len(d) + 1 for d in ids], np.int64)
+                    flat = np.concatenate([z for d in ids for z in (d, [END])]).astype(width)
+                    total += np.bincount(flat, minlength=vocabulary)
+                    data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(n) * width.itemsize)), pa.py_buffer(flat)])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("part").slice(a + x, y - x), batch.column("doc_id").slice(a + x, y - x),
+                         pa.array(before + np.cumsum(n) - n, pa.int64()), data.cast(pa.binary())], names=["part", "doc_id", "before", "ids"])
+                    before += int(n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([COUNTS], pa.int32()), pa.array([None], id_type), pa.array([0], pa.int64()),
+                                          pa.array([total.tobytes()], pa.binary())], names=["part", "doc_id", "before", "ids"])
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
     names = [f"o{i}" for i in range(len(order))]
-    plain = store(docs.select(*keys, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-                  .repartitionByRange(n, *names).sortWithinPartitions(*names)
-                  .select(F.spark_partition_id().alias("part"), "doc_id", "text")
-                  .mapInArrow(tokenize, f"part int, doc_id {kind}, before long, ids binary"), "plain-ids", "zstd")
+    plain = store(dealt(docs.select(*keys, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), names, n)
+                  .select("part", "doc_id", "text").mapInArrow(tokenize, f"part int, doc_id {kind}, before long, ids binary"), "plain-ids", "zstd")
 
     def count(batches):
-        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(x, width), minlength=vocabulary) if len(x) > 2 * vocabulary else 0
-            small = b"".join(x for x in batch.column("ids").to_pylist() if len(x) <= 2 * vocabulary)
-            total += np.bincount(np.frombuffer(small, width), minlength=vocabulary)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
+            for x in batch.column("ids"):
+                total = np.frombuffer(x.as_buffer(), np.int64)
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["id", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for r in plain.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in plain.where(F.col("part") == COUNTS).select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n                                                # as many rows as the vocabulary at most
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
@@ -300,6 +340,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, order: list[str], id_col:
                                                "data": [code.pack(np.frombuffer(b"".join(data), width), n)]}, schema=schema)
         for batch in batches:
             for part, name, before, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "before", "ids")), strict=True):
+                if part == COUNTS:
+                    continue
                 more = len(ids) // width.itemsize
                 if size and (at[0] != part or at[1] + size != before or size + more > BLOCK):
                     yield close()
@@ -317,6 +359,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, order: list[str], id_col:
     return path
 
 
+def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
+    """Beginnings and ends of the runs of equal values."""
+    edge = np.flatnonzero(np.diff(x, prepend=x[0] - 1)).tolist()
+    return edge, [*edge[1:], len(x)]
+
+
 def _vocabulary(tokenizer: str) -> int:
     from tokenizers import Tokenizer
     return max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), END + 1)

@@ -20,6 +20,8 @@ MAX_PER_LABEL, MAX_CHARS = 4000, 12_000
 #: Share of clean texts that a threshold may reject.
 MAX_REJECTED = 0.01
 EPOCHS, BATCH, RATE = 8, 32, 0.01
+#: Steps of a score in the counts that thresholds are chosen from.
+SCORES = 4096
 CHARS = 1_000_000
 
 
@@ -208,7 +210,7 @@ def counted_scores(sample: Sample, net: Network, trained: list) -> tuple[np.ndar
     """(language, label, score, weight) of all labelled rows that the network has not seen: texts of any length, also
     those beyond the sample.
 
-    Only the labelled documents are scored; texts don't shuffle, and the driver gets counts by score.  Short texts
+    Only the labelled documents are scored; texts don't shuffle, and the driver gets counts by score, in SCORES steps.  Short texts
     stand for those of their label that were trained on as well, so long ones keep their share."""
     spark = sample.docs.sparkSession
     filter_, bits = id_filter(sample.labels, "doc_id", sample.labels.count())
@@ -217,7 +219,8 @@ def counted_scores(sample: Sample, net: Network, trained: list) -> tuple[np.ndar
                       (F.length(F.coalesce("text", F.lit(""))) > MAX_CHARS).alias("long")))
     seen = spark.createDataFrame([(d,) for d in sorted(set(trained))], sample.labels.select("doc_id").schema).withColumn("seen", F.lit(True))
     rows = (scored.join(sample.labels, "doc_id").join(F.broadcast(seen), "doc_id", "left")
-            .groupBy("lang", "label", "long", (F.coalesce("seen", F.lit(False)) & ~F.col("long")).alias("seen"), "score")
+            .groupBy("lang", "label", "long", (F.coalesce("seen", F.lit(False)) & ~F.col("long")).alias("seen"),
+                     (F.floor(F.col("score") * SCORES) / SCORES).alias("score"))
             .agg(F.count(F.lit(1)).alias("n")).toArrow())
     lang, label, long, seen, score, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "label", "long", "seen", "score", "n"))
     weight, new = n.astype(np.float64), ~seen.astype(bool)
