@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ternweave.functions import text as X
 from ternweave.functions.rows import explode_into
+from ternweave.operators import phrases as P
 from ternweave.operators import search as S
 from ternweave.operators.encode import encode_ngrams
 
@@ -59,59 +60,15 @@ def phrase_search(unit_table: DataFrame, phrases: DataFrame, dims: int, k: int =
             .select("query_id", F.col("doc_id").alias("unit_id"), "score", "rank"))
 
 
-def _grams(words: Column, n: int) -> Column:
-    last = F.size(words) - (n - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                                        lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(
-        F.array().cast("array<string>"))
-
-
-def _pieces(word: Column, n: int) -> Column:
-    last = F.length(word) - (n - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                                        lambda i: F.substring(word, i, F.lit(n)))).otherwise(
-        F.array().cast("array<string>"))
-
-
 def locate_phrases(docs: DataFrame, phrases: DataFrame, margin: int = 100) -> DataFrame:
     """All occurrences of phrases (query_id, phrase) in the normalised text of docs (doc_id, text):
     (query_id, doc_id, position, context), position 1-based.
 
-    A match may begin and end inside a word, but the words between its first and last are whole
-    words of the document, so candidate documents come from an equi-join on one inner gram of up
-    to three words.  Phrases of one or two words have no inner word; they are matched against
-    the distinct words of the corpus instead.  Every candidate is then verified.
+    A match may begin and end inside a word.  One automaton finds all phrases in one run over each text, where the text
+    lies; a document that is there twice gives its matches twice.
     """
     text = docs.select("doc_id", X.normalized(F.col("text")).alias("text"))
-    wanted = phrases.select("query_id", X.normalized(F.col("phrase")).alias("phrase"))
-    wanted = wanted.where(F.length("phrase") > 0).withColumn("pw", F.split("phrase", " "))
-    wanted = wanted.withColumn("inner", F.slice("pw", 2, F.greatest(F.size("pw") - 2, F.lit(0))))
-    wanted = wanted.withColumn("n", F.least(F.size("inner"), F.lit(3)))
-    keys = wanted.select("query_id", "n", F.array_join(F.slice("inner", 1, 3), " ").alias("gram"))
-    split = text.select("doc_id", F.split("text", " ").alias("words"))
-    grams = None
-    for n in (1, 2, 3):
-        part = explode_into(split, _grams(F.col("words"), n), "gram", "doc_id", F.lit(n).alias("n"))
-        grams = part if grams is None else grams.unionByName(part)
-    long_hits = grams.join(keys.where("n > 0"), ["n", "gram"]).select("query_id", "doc_id")
-
-    brief = wanted.where("n = 0").select("query_id", "pw")
-    vocabulary = explode_into(split, F.array_distinct("words"), "word", "doc_id")
-    lone = brief.where("size(pw) = 1").select("query_id", F.element_at("pw", 1).alias("part"))
-    lone_keys = lone.select("query_id", F.substring("part", 1, 3).alias("piece"))
-    tails = brief.where("size(pw) = 2").select("query_id", F.element_at("pw", 1).alias("part"))
-    tail_keys = tails.select("query_id", F.expr("right(part, 3)").alias("piece"))
-    word_pieces = explode_into(vocabulary.select("word").distinct(), F.concat(
-        *[_pieces(F.col("word"), n) for n in (1, 2, 3)]), "piece", "word")
-    short_hits = (word_pieces.join(lone_keys.union(tail_keys), "piece").select("query_id", "word").distinct()
-                  .join(vocabulary, "word").select("query_id", "doc_id"))
-
-    pairs = long_hits.union(short_hits).distinct()
-    found = explode_into(pairs.join(wanted.select("query_id", "phrase"), "query_id").join(text, "doc_id"),
-                         X.phrase_positions(F.col("text"), F.col("phrase")), "position",
-                         "query_id", "doc_id", "phrase", "text")
-    return found.select("query_id", "doc_id", "position",
-                        X.context(F.col("text"), F.col("position"), F.length("phrase"), margin).alias("context"))
+    return P.occurrences(text, phrases.select("query_id", X.normalized(F.col("phrase")).alias("phrase")), margin)
 
 
 def best_sentences(hits: DataFrame, unit_table: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -128,28 +85,11 @@ def best_sentences(hits: DataFrame, unit_table: DataFrame, phrases: DataFrame) -
 def overlap_matches(unit_table: DataFrame, phrases: DataFrame, min_overlap: float = 0.5) -> DataFrame:
     """Units sharing at least ``min_overlap`` of a phrase's distinct words: (query_id, unit_id, overlap).
 
-    A unit with that overlap must hold ``need = ceil(min_overlap * m)`` of the phrase's m words, hence
-    as many distinct words of its own and ``j`` of the phrase's ``m - need + j`` rarest (j up to 3).
-    Only those are joined and counted (an exact prefix and length filter): frequent words become
-    join keys only where a phrase has nothing rarer.
+    Units are compared where they lie: a phrase's rarest words lead to it, so frequent words are
+    looked up only where a phrase has nothing rarer, and no word of a unit is shuffled.
     """
-    u = unit_table.select(F.concat_ws("-", "doc_id", "unit").alias("unit_id"), F.array_distinct("words").alias("ws"))
-    tokens = explode_into(u, F.col("ws"), "w", "unit_id", F.size("ws").alias("size"))
-    q = phrases.select("query_id", F.array_distinct("words").alias("qs")).where(F.size("qs") > 0)
-    q = q.withColumn("need", F.ceil(F.lit(min_overlap) * F.size("qs") - 1e-9).cast("int"))
-    each = q.select("query_id", "need", F.size("qs").alias("m"), F.explode("qs").alias("w"))
-    df = (tokens.select("w").join(each.select("w").distinct(), "w", "left_semi")
-          .groupBy("w").agg(F.count(F.lit(1)).alias("df")))
-    rare = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "w")
-    prefix = (each.join(df, "w", "left").withColumn("r", F.row_number().over(rare))
-              .withColumn("j", F.least("need", F.lit(3)))
-              .where(F.col("r") <= F.col("m") - F.col("need") + F.col("j")).select("query_id", "need", "j", "w"))
-    pairs = (tokens.join(prefix, "w").where(F.col("size") >= F.col("need"))
-             .groupBy("query_id", "unit_id", "j").agg(F.count(F.lit(1)).alias("n"))
-             .where(F.col("n") >= F.col("j")).select("query_id", "unit_id"))
-    return (pairs.join(u, "unit_id").join(q, "query_id")
-            .select("query_id", "unit_id", X.token_overlap(F.col("qs"), F.col("ws")).alias("overlap"))
-            .where(F.col("overlap") >= min_overlap))
+    units_ = unit_table.select(F.concat_ws("-", "doc_id", "unit").alias("unit_id"), "words")
+    return P.overlaps(units_, phrases.select("query_id", "words"), min_overlap)
 
 
 def hybrid_search(unit_table: DataFrame, phrases: DataFrame, dims: int, k: int = 10, threshold: float = 0.1,

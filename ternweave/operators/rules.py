@@ -26,54 +26,72 @@ def _pick(values, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
-def progression(row: Column, col: Column) -> tuple[Column, Column]:
-    shapes = F.slice(F.array(*[F.lit(s) for s in SHAPES]), F.lit(1), F.least(row + col - 1, F.lit(5)).cast("int"))
-    return F.array_sort(shapes), _pick(COLORS, (col - 1) % 5)
-
-
-def xor(row: Column, col: Column) -> tuple[Column, Column]:
-    bits = row.bitwiseXOR(col)
-    shapes = F.filter(F.array(*[F.when(bits.bitwiseAND(1 << i) != 0, F.lit(s)) for i, s in enumerate(XOR_SHAPES)]),
-                      lambda s: s.isNotNull())
-    return F.array_sort(shapes), F.lit("black")
-
-
-def common_shapes(panels: DataFrame, matrices: DataFrame, line: str, skip_cell: bool) -> DataFrame:
-    """Shapes found in every visible panel of the missing cell's row or column:
-    (matrix_id, shape)."""
-    other = "col" if line == "row" else "row"
-    p = panels.join(matrices.select("matrix_id", "missing_row", "missing_col"), "matrix_id")
-    p = p.where(F.col(line) == F.col(f"missing_{line}"))
-    if skip_cell:
-        p = p.where(F.col(other) != F.col(f"missing_{other}"))
-    size = p.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("size"))
-    shown = (p.select("matrix_id", F.explode(F.array_distinct("shapes")).alias("shape"))
-             .groupBy("matrix_id", "shape").agg(F.count(F.lit(1)).alias("times")))
-    return shown.join(size, "matrix_id").where("times = size").select("matrix_id", "shape")
-
-
-def _from_lines(panels, matrices, rule):
-    skip = rule == "intersection"
-    m = matrices.where(F.col("rule") == rule)
-    rows, cols = common_shapes(panels, m, "row", skip), common_shapes(panels, m, "col", skip)
-    both = rows.unionByName(cols).distinct() if rule == "union" else rows.join(cols, ["matrix_id", "shape"])
-    got = both.groupBy("matrix_id").agg(F.array_sort(F.collect_set("shape")).alias("shapes"))
-    color = _pick(COLORS, (F.col("missing_row") + F.col("missing_col") - 2) % 5)
-    return (m.join(got, "matrix_id", "left")
-            .select("matrix_id", "rule", F.coalesce("shapes", F.array().cast("array<string>")).alias("shapes"),
-                    color.alias("color")))
+def shape_bits(shapes: Column | str, known=SHAPES) -> Column:
+    """An array of shapes as a bit mask, in the order of ``known``; a shape that isn't known is an error."""
+    c = F.col(shapes) if isinstance(shapes, str) else shapes
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.array_contains(c, s), F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(known)])
+    other = F.array_except(c, F.array(*[F.lit(s) for s in known]))
+    return F.when(F.size(other) > 0, F.raise_error(F.concat(F.lit("unknown shapes: "), F.array_join(other, ", "))).cast("int")).otherwise(bits)
+
+
+def shapes_of(bits: Column, known=SHAPES) -> Column:
+    """The sorted array of a bit mask's shapes."""
+    named = F.array(*[F.when(bits.bitwiseAND(1 << i) != 0, F.lit(s)) for i, s in sorted(enumerate(known), key=lambda x: x[1])])
+    return F.filter(named, lambda s: s.isNotNull())
+
+
+def lines(cells: DataFrame, keep=()) -> DataFrame:
+    """One row per grid of ``cells(matrix_id, rule, missing_row, missing_col, row, col, shapes, visible, ...)`` of any size: the shapes,
+    as bits, of every visible panel of the missing cell's row (``row_all``) and column (``col_all``), and the same without the cell itself
+    (``row_rest``, ``col_rest``); and the aggregates ``keep``.
+
+    Rows and columns are folded by bit masks in one aggregate per grid, combined before the shuffle.  A
+    line without a visible panel has no shapes."""
+    bits, seen = shape_bits("shapes"), F.col("visible")
+    on_row, on_col = F.col("row") == F.col("missing_row"), F.col("col") == F.col("missing_col")
+
+    def fold(where: Column, name: str) -> Column:
+        return F.coalesce(F.bit_and(F.when(seen & where, bits)), F.lit(0)).alias(name)
+
+    return cells.groupBy("matrix_id", "rule", "missing_row", "missing_col").agg(
+        fold(on_row, "row_all"), fold(on_col, "col_all"), fold(on_row & ~on_col, "row_rest"), fold(on_col & ~on_row, "col_rest"), *keep)
+
+
+def expected() -> tuple[Column, Column]:
+    """(bits, color) of the missing panel of a row of :func:`lines`, by its rule; null for an unknown rule."""
+    row, col, rule = F.col("missing_row").cast("int"), F.col("missing_col").cast("int"), F.col("rule")
+    first = F.least(row + col - 1, F.lit(len(SHAPES)))
+    bits = (F.when(rule == "progression", reduce(lambda a, i: F.when(first == i, F.lit((1 << i) - 1)).otherwise(a), range(1, len(SHAPES) + 1), F.lit(0)))
+            .when(rule == "xor", row.bitwiseXOR(col).bitwiseAND((1 << len(XOR_SHAPES)) - 1))
+            .when(rule == "union", F.col("row_all").bitwiseOR(F.col("col_all")))
+            .when(rule == "intersection", F.col("row_rest").bitwiseAND(F.col("col_rest"))))
+    color = (F.when(rule == "progression", _pick(COLORS, (col - 1) % 5)).when(rule == "xor", F.lit("black"))
+             .otherwise(_pick(COLORS, (row + col - 2) % 5)))
+    return bits, color
+
+
+def complete_cells(cells: DataFrame) -> DataFrame:
+    """Expected missing panel of each grid (see :func:`lines`): (matrix_id, rule, shapes, count, color)."""
+    bits, color = expected()
+    return (lines(cells).withColumn("bits", bits).where("bits is not null")
+            .select("matrix_id", "rule", shapes_of(F.col("bits")).alias("shapes"), F.bit_count("bits").alias("count"), color.alias("color")))
+
+
+def judge_cells(cells: DataFrame) -> DataFrame:
+    """(matrix_id, rule, correct) of the grids whose missing panel is among the cells, as one that isn't visible: whether the
+    expected shapes, count and colour all equal it.  No join: the panel is kept by the same aggregate."""
+    hidden = ~F.col("visible") & (F.col("row") == F.col("missing_row")) & (F.col("col") == F.col("missing_col"))
+    truth = F.max(F.when(hidden, F.struct(shape_bits("shapes").alias("bits"), F.col("count").alias("n"), F.col("color").alias("color")))).alias("truth")
+    bits, color = expected()
+    own = lines(cells, (truth,)).withColumn("bits", bits).where("bits is not null and truth is not null")
+    ok = (F.col("bits") == F.col("truth.bits")) & (F.bit_count("bits") == F.col("truth.n")) & (color == F.col("truth.color"))
+    return own.select("matrix_id", "rule", F.coalesce(ok, F.lit(False)).alias("correct"))
 
 
 def complete(panels: DataFrame, matrices: DataFrame) -> DataFrame:
     """Expected missing panel by rule: (matrix_id, rule, shapes, count, color)."""
-    parts = []
-    for name, fn in (("progression", progression), ("xor", xor)):
-        shapes, color = fn(F.col("missing_row"), F.col("missing_col"))
-        parts.append(matrices.where(F.col("rule") == name).select("matrix_id", "rule", shapes.alias("shapes"),
-                                                                  color.alias("color")))
-    parts += [_from_lines(panels, matrices, name) for name in ("union", "intersection")]
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    return out.select("matrix_id", "rule", "shapes", F.size("shapes").alias("count"), "color")
+    cells = matrices.select("matrix_id", "rule", "missing_row", "missing_col").join(panels.withColumn("visible", F.lit(True)), "matrix_id", "left")
+    return complete_cells(cells.withColumn("visible", F.coalesce("visible", F.lit(False))))
 
 
 def position(row: Column, col: Column) -> Column:

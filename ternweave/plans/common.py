@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ternweave.functions.codebook import BLOCK, POSITION_PREFIX, SET_ATOM
+from ternweave.functions.session import checkpoint_dir
+from ternweave.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavier than its scan: on all cores, however small its file is."""
+    return spread(table(spark, sf_dir, name))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the checkpoints (shared storage on a cluster)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def hex_text(vec: Column | str) -> Column:
     return F.lower(F.hex(vec))
 

@@ -8,7 +8,7 @@ from ternweave.functions import text as X
 from ternweave.functions.session import checkpoint_dir
 from ternweave.operators import corpus as C
 from ternweave.operators.encode import encode_ngrams
-from ternweave.plans.common import HEX, codebook_sql, hex_text, query, table, words_sql
+from ternweave.plans.common import HEX, codebook_sql, hex_text, query, spread_table, table, words_sql
 
 D = 64
 
@@ -36,13 +36,13 @@ un AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pi, sentence_in
        "CAST(unit // 50 + 1 AS INT) AS page, CAST(sentence_index AS INT) AS sentence_index, sentence, CAST(len(ws) AS INT) AS words FROM un")
 def text_units(spark, sf):
     """Paragraphs, sentences and chapter / paragraph / page counters of every document."""
-    return C.units(table(spark, sf, "documents")).withColumn("words", F.size("words"))
+    return C.units(spread_table(spark, sf, "documents")).withColumn("words", F.size("words"))
 
 
 @query(f"SELECT doc_id, CAST(len(ws) AS INT) AS n, md5(array_to_string(ws, ' ')) AS digest FROM (SELECT doc_id, {words_sql('text')} AS ws FROM documents)")
 def text_words(spark, sf):
     """Normalised words of whole texts."""
-    w = table(spark, sf, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
+    w = spread_table(spark, sf, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
@@ -53,7 +53,7 @@ _STRIPPED = ("regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?<
 @query(f"SELECT page_id, CAST(len(ws) AS INT) AS n, md5(array_to_string(ws, ' ')) AS digest FROM (SELECT page_id, {words_sql(_STRIPPED)} AS ws FROM pages)")
 def page_words(spark, sf):
     """Words of web pages without tags, scripts and styles."""
-    w = table(spark, sf, "pages").select("page_id", X.words(X.strip_tags(F.col("html"))).alias("w"))
+    w = spread_table(spark, sf, "pages").select("page_id", X.words(X.strip_tags(F.col("html"))).alias("w"))
     return w.select("page_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
@@ -71,13 +71,13 @@ SELECT id AS page_id, {HEX} AS vec FROM s GROUP BY id"""
 def encode_urls(spark, sf):
     """URL segments as n-gram sequences."""
     seg = F.filter(F.split("url", "[/:?#&=.]+"), lambda x: x != "")
-    return table(spark, sf, "pages").select("page_id", hex_text(encode_ngrams(seg, D)).alias("vec"))
+    return spread_table(spark, sf, "pages").select("page_id", hex_text(encode_ngrams(seg, D)).alias("vec"))
 
 
 def stored_units(spark, sf):
     """Units checkpointed once, for jobs that read them several times."""
     checkpoint_dir(spark)
-    return C.units(table(spark, sf, "documents")).select("doc_id", "unit", "words").checkpoint()
+    return C.units(spread_table(spark, sf, "documents")).select("doc_id", "unit", "words").checkpoint()
 
 
 def phrases(spark, sf):
@@ -108,7 +108,7 @@ pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, unit_
 @query(f"WITH {PHRASE} SELECT query_id, unit_id, round(s / {D}.0, 6) AS score, CAST(rank AS INT) AS rank FROM pr WHERE rank <= 10")
 def phrase_search(spark, sf):
     """Fuzzy search of every benchmark passage among all sentences."""
-    return C.phrase_search(C.units(table(spark, sf, "documents")), phrases(spark, sf), D).withColumn(
+    return C.phrase_search(C.units(spread_table(spark, sf, "documents")), phrases(spark, sf), D).withColumn(
         "score", F.round("score", 6))
 
 
@@ -117,7 +117,7 @@ SELECT query_id, unit_id, round(s / {D}.0, 6) AS score, CAST(rank AS INT) AS ran
 def phrase_search_guarded(spark, sf):
     """The same search among first sentences and later chapters only."""
     guard = (F.col("chapter") > 1) | (F.col("unit") == 0)
-    return C.phrase_search(C.units(table(spark, sf, "documents")), phrases(spark, sf), D, 5, guard=guard).withColumn(
+    return C.phrase_search(C.units(spread_table(spark, sf, "documents")), phrases(spark, sf), D, 5, guard=guard).withColumn(
         "score", F.round("score", 6))
 
 
@@ -134,7 +134,7 @@ SELECT item_id AS query_id, doc_id, CAST(position AS INT) AS position,
 def locate_phrases(spark, sf):
     """All verbatim occurrences of the passages with their context."""
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
-    return C.locate_phrases(table(spark, sf, "documents"), b)
+    return C.locate_phrases(spread_table(spark, sf, "documents"), b)
 
 
 @query(_LOCATE.replace("FROM benchmark)", "FROM (SELECT DISTINCT 1 AS item_id, 'the and' AS text FROM region "
@@ -143,7 +143,7 @@ def locate_phrases(spark, sf):
 def locate_short_phrases(spark, sf):
     """Phrases of one, two and three words, which may begin and end inside words."""
     b = spark.createDataFrame([(1, "the and"), (2, "th"), (3, "r and the")], "query_id INT, phrase STRING")
-    return C.locate_phrases(table(spark, sf, "documents"), b)
+    return C.locate_phrases(spread_table(spark, sf, "documents"), b)
 
 
 @query(f"""WITH {PHRASE},
@@ -169,7 +169,7 @@ ov AS (SELECT query_id, unit_id, count(*) / CAST(any_value(m) AS DOUBLE) AS over
 @query(f"WITH {UNITS}, {_OVERLAP} SELECT query_id, unit_id, round(overlap, 6) AS overlap FROM ov")
 def overlap_matches(spark, sf):
     """Sentences holding at least 30 % of a passage's distinct words."""
-    return C.overlap_matches(stored_units(spark, sf), phrases(spark, sf), 0.3).withColumn(
+    return C.overlap_matches(C.units(spread_table(spark, sf, "documents")), phrases(spark, sf), 0.3).withColumn(
         "overlap", F.round("overlap", 6))
 
 
@@ -196,7 +196,7 @@ SELECT query_id, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp
 def phrase_retrieval_quality(spark, sf):
     """Precision and recall of phrase search against verbatim occurrences."""
     from ternweave.operators.scoring import retrieval_scores
-    docs = table(spark, sf, "documents")
+    docs = spread_table(spark, sf, "documents")
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
     truth = C.locate_phrases(docs, b).select("query_id", "doc_id").distinct()
     got = C.phrase_search(C.units(docs), phrases(spark, sf), D).select(

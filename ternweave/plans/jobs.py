@@ -12,7 +12,7 @@ from ternweave.operators import scoring as Sc
 from ternweave.operators import search as S
 from ternweave.operators import sessions as Se
 from ternweave.plans import search as PS
-from ternweave.plans.common import codebook_sql, flat_map_sql, map_sql, query, table, words_sql
+from ternweave.plans.common import codebook_sql, flat_map_sql, map_sql, query, spread_table, table, words_sql
 from ternweave.plans.corpus import _vec_sql
 
 D = 128
@@ -22,17 +22,18 @@ THRESHOLD = 0.75
 # ---- duplicates ------------------------------------------------------------------------------
 
 def doc_vectors(spark, sf):
-    """Documents with at least one word, encoded once and cut from the text by a checkpoint."""
+    """All documents, encoded once and cut from the text by a checkpoint; one without words is the zero vector."""
     from ternweave.functions.session import checkpoint_dir
     checkpoint_dir(spark)
-    d = table(spark, sf, "documents").select("doc_id", X.words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    d = spread_table(spark, sf, "documents").select("doc_id", X.words(F.coalesce("text", F.lit(""))).alias("w"))
     return d.select("doc_id", E.encode_ngrams("w", D).alias("vec")).checkpoint()
 
 
 _DOCS = f"""
 di AS (SELECT doc_id AS id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, {words_sql('text')} AS ws FROM documents)),
 {codebook_sql("SELECT a FROM di", D)}, {_vec_sql('di', 'cb', 'uv')},
-dl AS (SELECT id, list(x ORDER BY d)::FLOAT[] AS v FROM uv GROUP BY id),
+dl AS (SELECT id, list(x ORDER BY d)::FLOAT[] AS v FROM uv GROUP BY id
+  UNION ALL SELECT doc_id, list_transform(range({D}), lambda i: 0)::FLOAT[] FROM documents WHERE doc_id NOT IN (SELECT id FROM uv)),
 ld AS (SELECT id, min(id) OVER (PARTITION BY v) AS leader, v FROM dl),
 pk AS (SELECT * FROM (SELECT a.id AS doc_id, b.id AS other_id, CAST(list_dot_product(a.v, b.v) AS DOUBLE) / {D}.0 AS s FROM ld a, ld b
   WHERE a.id <> b.id AND ((a.id = a.leader AND b.id = b.leader) OR a.leader = b.id OR b.leader = a.id)) WHERE s >= {THRESHOLD})"""
@@ -88,45 +89,45 @@ def substitutes(spark, sf):
 # ---- rule grids ------------------------------------------------------------------------------
 
 GD = 64
-_GRID = """
-ce AS (SELECT o_custkey AS matrix_id, month(o_orderdate) % 2 + 1 AS "row", year(o_orderdate) % 2 + 1 AS "col",
-  list_sort(list_distinct(list(['circle', 'square', 'triangle', 'diamond', 'star'][CAST(substr(o_orderpriority, 1, 1) AS INT)]))) AS shapes,
-  ['black', 'white', 'red'][CAST(max(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END) AS INT)] AS color FROM orders GROUP BY 1, 2, 3),
+SIDE = 3
+_NAMES = ", ".join(f"'{s}'" for s in R.SHAPES)
+_TONES = ", ".join(f"'{c}'" for c in R.COLORS)
+_GRID = f"""
+ce AS (SELECT o_custkey AS matrix_id, month(o_orderdate) % {SIDE} + 1 AS "row", year(o_orderdate) % {SIDE} + 1 AS "col",
+  list_sort(list_distinct(list([{_NAMES}][CAST(substr(o_orderpriority, 1, 1) AS INT)]))) AS shapes,
+  [{_TONES}][CAST(max(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END) AS INT)] AS color FROM orders GROUP BY 1, 2, 3),
 pn AS (SELECT *, len(shapes) AS "count" FROM ce),
-fu AS (SELECT * FROM pn WHERE matrix_id IN (SELECT matrix_id FROM pn GROUP BY matrix_id HAVING count(*) = 4)),
+fu AS (SELECT * FROM pn WHERE matrix_id IN (SELECT matrix_id FROM pn GROUP BY matrix_id HAVING count(*) = {SIDE * SIDE})),
 mx AS (SELECT matrix_id, ['progression', 'xor', 'union', 'intersection'][matrix_id % 4 + 1] AS rule,
-  (matrix_id // 4) % 2 + 1 AS missing_row, (matrix_id // 8) % 2 + 1 AS missing_col FROM (SELECT DISTINCT matrix_id FROM fu)),
-vi AS (SELECT fu.*, rule, missing_row, missing_col FROM fu JOIN mx USING (matrix_id) WHERE NOT ("row" = missing_row AND "col" = missing_col)),
-tr AS (SELECT matrix_id, shapes, "count", color FROM fu JOIN mx USING (matrix_id) WHERE "row" = missing_row AND "col" = missing_col),
-rs AS (SELECT matrix_id, shape FROM (SELECT matrix_id, unnest(shapes) AS shape FROM vi WHERE "row" = missing_row) GROUP BY matrix_id, shape
-  HAVING count(*) = (SELECT count(*) FROM vi v WHERE v.matrix_id = any_value(_.matrix_id) AND v."row" = v.missing_row)),
-"""
+  (matrix_id // 4) % {SIDE} + 1 AS missing_row, (matrix_id // 12) % {SIDE} + 1 AS missing_col FROM (SELECT DISTINCT matrix_id FROM pn)),
+vi AS (SELECT pn.*, rule, missing_row, missing_col FROM pn JOIN mx USING (matrix_id) WHERE NOT ("row" = missing_row AND "col" = missing_col)),
+tr AS (SELECT matrix_id, shapes, "count", color FROM pn JOIN mx USING (matrix_id) WHERE "row" = missing_row AND "col" = missing_col)"""
 
 
-def grids(spark, sf):
-    """(visible, matrices, full, truth): 2 x 2 grids of customers with an order in every cell, one
-    cell of each hidden."""
-    o = table(spark, sf, "orders")
+def grid_cells(spark, sf):
+    """The panels of 3 x 3 grids, one grid per customer with orders, by month and year; a cell without orders has no panel, and
+    one cell of each grid, not visible, is asked for."""
+    o, m = table(spark, sf, "orders"), F.col("matrix_id")
     shape = F.element_at(F.array(*[F.lit(s) for s in R.SHAPES]), F.substring("o_orderpriority", 1, 1).cast("int"))
     tone = F.max(F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3))
-    panels = (o.groupBy(F.col("o_custkey").alias("matrix_id"), (F.month("o_orderdate") % 2 + 1).alias("row"),
-                        (F.year("o_orderdate") % 2 + 1).alias("col"))
-              .agg(F.array_sort(F.collect_set(shape)).alias("shapes"), tone.alias("tone"))
-              .select("matrix_id", "row", "col", "shapes", F.size("shapes").alias("count"),
-                      F.element_at(F.array(F.lit("black"), F.lit("white"), F.lit("red")), F.col("tone")).alias("color")))
-    whole = panels.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("n")).where("n = 4").select("matrix_id")
-    m = F.col("matrix_id")
     rule = F.element_at(F.array(*[F.lit(r) for r in ("progression", "xor", "union", "intersection")]), (m % 4 + 1).cast("int"))
-    matrices = whole.select("matrix_id", rule.alias("rule"), (F.floor(m / 4) % 2 + 1).cast("int").alias("missing_row"),
-                            (F.floor(m / 8) % 2 + 1).cast("int").alias("missing_col"))
-    full = panels.join(whole, "matrix_id")
     hidden = (F.col("row") == F.col("missing_row")) & (F.col("col") == F.col("missing_col"))
-    marked = full.join(matrices, "matrix_id")
-    keep = ("matrix_id", "row", "col", "shapes", "count", "color")
-    return marked.where(~hidden).select(*keep), matrices, full, marked.where(hidden).select(*keep)
+    return (o.groupBy(F.col("o_custkey").alias("matrix_id"), (F.month("o_orderdate") % SIDE + 1).alias("row"),
+                      (F.year("o_orderdate") % SIDE + 1).alias("col"))
+            .agg(F.array_sort(F.collect_set(shape)).alias("shapes"), tone.alias("tone"))
+            .select("matrix_id", rule.alias("rule"), (F.floor(m / 4) % SIDE + 1).cast("int").alias("missing_row"),
+                    (F.floor(m / 12) % SIDE + 1).cast("int").alias("missing_col"), "row", "col", "shapes", F.size("shapes").alias("count"),
+                    F.element_at(F.array(*[F.lit(c) for c in R.COLORS]), F.col("tone")).alias("color"))
+            .withColumn("visible", ~hidden))
 
 
-_GRID = _GRID[:_GRID.index("rs AS")].rstrip().rstrip(",")
+def grids(spark, sf):
+    """(visible, matrices, full, truth): the visible panels of all grids, the grids, the panels of those without an empty cell, and
+    the panels asked for."""
+    cells, keep = grid_cells(spark, sf), ("matrix_id", "row", "col", "shapes", "count", "color")
+    matrices = cells.select("matrix_id", "rule", "missing_row", "missing_col").distinct()
+    whole = cells.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == SIDE * SIDE).select("matrix_id")
+    return cells.where("visible").select(*keep), matrices, cells.join(whole, "matrix_id").select(*keep), cells.where("not visible").select(*keep)
 
 
 def _line_sql(name, where):
@@ -140,11 +141,11 @@ _RULES = f"""{_GRID},
 us AS (SELECT matrix_id, list_sort(list(shape)) AS shapes FROM (SELECT * FROM ur UNION SELECT * FROM uc) GROUP BY matrix_id),
 ns AS (SELECT matrix_id, list_sort(list(shape)) AS shapes FROM (SELECT * FROM ir INTERSECT SELECT * FROM ic) GROUP BY matrix_id),
 ex AS (SELECT matrix_id, rule, CASE rule
-    WHEN 'progression' THEN list_sort(['circle', 'square', 'triangle', 'diamond', 'star'][1:least(missing_row + missing_col - 1, 5)])
-    WHEN 'xor' THEN list_sort(list_filter(['circle', 'square', 'triangle'], lambda s, i: (xor(missing_row, missing_col) >> (i - 1)) & 1 = 1))
+    WHEN 'progression' THEN list_sort([{_NAMES}][1:least(missing_row + missing_col - 1, 5)])
+    WHEN 'xor' THEN list_sort(list_filter([{_NAMES}][1:3], lambda s, i: (xor(missing_row, missing_col) >> (i - 1)) & 1 = 1))
     WHEN 'union' THEN coalesce(us.shapes, []) ELSE coalesce(ns.shapes, []) END AS shapes,
-  CASE rule WHEN 'progression' THEN ['black', 'white', 'red', 'blue', 'green'][(missing_col - 1) % 5 + 1] WHEN 'xor' THEN 'black'
-    ELSE ['black', 'white', 'red', 'blue', 'green'][(missing_row + missing_col - 2) % 5 + 1] END AS color
+  CASE rule WHEN 'progression' THEN [{_TONES}][(missing_col - 1) % 5 + 1] WHEN 'xor' THEN 'black'
+    ELSE [{_TONES}][(missing_row + missing_col - 2) % 5 + 1] END AS color
   FROM mx LEFT JOIN us USING (matrix_id) LEFT JOIN ns USING (matrix_id))"""
 
 
@@ -152,8 +153,7 @@ def _completion(rule):
     @query(f"WITH {_RULES} SELECT matrix_id, array_to_string(shapes, ',') AS shapes, CAST(len(shapes) AS INT) AS \"count\", color FROM ex WHERE rule = '{rule}'",
            name=f"rule_{rule}")
     def run(spark, sf):
-        visible, matrices, _, _ = grids(spark, sf)
-        return R.complete(visible, matrices.where(F.col("rule") == rule)).select(
+        return R.complete_cells(grid_cells(spark, sf).where(F.col("rule") == rule)).select(
             "matrix_id", F.array_join("shapes", ",").alias("shapes"), "count", "color")
 
 
@@ -165,16 +165,19 @@ for _rule in ("progression", "xor", "union", "intersection"):
 SELECT rule, count(*) AS n, CAST(sum(ok) AS BIGINT) AS hits, round(avg(ok), 6) AS accuracy, round((avg(ok) - 0.05) / 0.05 * 100, 6) AS gain_percent FROM j GROUP BY rule""")
 def rule_accuracy(spark, sf):
     """Accuracy of rule completion per rule against the hidden cells."""
-    visible, matrices, _, truth = grids(spark, sf)
-    a = Sc.rule_accuracy(R.judge(R.complete(visible, matrices), truth))
+    a = Sc.rule_accuracy(R.judge_cells(grid_cells(spark, sf)))
     return a.select("rule", "n", "hits", F.round("accuracy", 6).alias("accuracy"), F.round("gain_percent", 6).alias("gain_percent"))
 
 
-def _grid_vec(cells, name):
+PANEL = ("shapes", "count", "color")
+
+
+def _grid_vec(cells, name, fields=PANEL):
+    part = {"shapes": "k1.x * st.x * s.x", "count": "k2.x * cn.x", "color": "k3.x * cl.x"}
     return f"""
 {name}c AS (SELECT matrix_id, 'row' || "row" || '-col' || "col" AS pos, shapes, CAST("count" AS VARCHAR) AS n, color FROM {cells}),
 {name}s AS (SELECT matrix_id, pos, d, sign(sum(x)) AS x FROM (SELECT matrix_id, pos, unnest(shapes) AS a FROM {name}c) JOIN cb USING (a) GROUP BY matrix_id, pos, d),
-{name}p AS (SELECT c.matrix_id, c.pos, s.d, sign(k1.x * st.x * s.x + k2.x * cn.x + k3.x * cl.x) AS x FROM {name}c c JOIN {name}s s USING (matrix_id, pos)
+{name}p AS (SELECT c.matrix_id, c.pos, s.d, sign({" + ".join(part[f] for f in fields)}) AS x FROM {name}c c JOIN {name}s s USING (matrix_id, pos)
   JOIN cb st ON st.a = chr(1) || 'set' AND st.d = s.d JOIN cb cn ON cn.a = c.n AND cn.d = s.d JOIN cb cl ON cl.a = c.color AND cl.d = s.d
   JOIN cb k1 ON k1.a = 'shapes' AND k1.d = s.d JOIN cb k2 ON k2.a = 'count' AND k2.d = s.d JOIN cb k3 ON k3.a = 'color' AND k3.d = s.d),
 {name}m AS (SELECT matrix_id, p.d, sign(sum(p.x * cb.x)) AS x FROM {name}p p JOIN cb ON cb.a = p.pos AND cb.d = p.d GROUP BY matrix_id, p.d),
@@ -182,15 +185,20 @@ def _grid_vec(cells, name):
   JOIN cb r ON r.a = rule AND r.d = m.d JOIN cb k1 ON k1.a = 'panels' AND k1.d = m.d JOIN cb k2 ON k2.a = 'rule' AND k2.d = m.d GROUP BY matrix_id)"""
 
 
-_GATOMS = """SELECT unnest(['shapes', 'count', 'color', 'panels', 'rule', chr(1) || 'set', 'black', 'white', 'red', '1', '2', '3', '4', '5',
- 'progression', 'xor', 'union', 'intersection', 'circle', 'square', 'triangle', 'diamond', 'star', 'row1-col1', 'row1-col2', 'row2-col1', 'row2-col2']) AS a"""
+def _nearest_sql(name, fields=PANEL):
+    return f"""{_grid_vec('vi', name + 'v', fields)}, {_grid_vec('fu', name + 'f', fields)},
+{name}b AS (SELECT q, f FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, f) AS r FROM (
+  SELECT q.matrix_id AS q, f.matrix_id AS f, list_dot_product(q.v, f.v) AS s FROM {name}v q, {name}f f WHERE q.matrix_id <> f.matrix_id)) WHERE r = 1),
+{name}o AS (SELECT q AS matrix_id, rule, shapes, "count", color FROM {name}b JOIN mx ON mx.matrix_id = q
+  JOIN fu ON fu.matrix_id = f AND fu."row" = missing_row AND fu."col" = missing_col)"""
+
 
+_GATOMS = f"""SELECT unnest(['shapes', 'count', 'color', 'panels', 'rule', chr(1) || 'set', {_TONES}, '1', '2', '3', '4', '5',
+ 'progression', 'xor', 'union', 'intersection', {_NAMES}, {", ".join(f"'row{i + 1}-col{j + 1}'" for i in range(SIDE) for j in range(SIDE))}]) AS a"""
 
-@query(f"""WITH {_GRID}, {codebook_sql(_GATOMS, GD)}, {_grid_vec('vi', 'gv')}, {_grid_vec('fu', 'gf')},
-sc AS (SELECT q.matrix_id AS q, f.matrix_id AS f, list_dot_product(q.v, f.v) AS s FROM gv q, gf f WHERE q.matrix_id <> f.matrix_id),
-be AS (SELECT q, f FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, f) AS r FROM sc) WHERE r = 1)
-SELECT q AS matrix_id, rule, array_to_string(shapes, ',') AS shapes, CAST("count" AS INT) AS "count", color FROM be JOIN mx ON mx.matrix_id = q
-  JOIN fu ON fu.matrix_id = f AND fu."row" = missing_row AND fu."col" = missing_col""")
+
+@query(f"""WITH {_GRID}, {codebook_sql(_GATOMS, GD)}, {_nearest_sql('g')}
+SELECT matrix_id, rule, array_to_string(shapes, ',') AS shapes, CAST("count" AS INT) AS "count", color FROM go""")
 def rule_nearest_completion(spark, sf):
     """Missing cell copied from the most similar other complete grid."""
     visible, matrices, full, _ = grids(spark, sf)
@@ -198,16 +206,27 @@ def rule_nearest_completion(spark, sf):
     return out.select("matrix_id", "rule", F.array_join("shapes", ",").alias("shapes"), "count", "color")
 
 
-@query()
+ABLATIONS = (PANEL, ("count", "color"), ("shapes", "color"), ("shapes",))
+
+
+def _ablation_sql():
+    scored = " UNION ALL ".join(
+        f"""SELECT '{"+".join(fields)}' AS fields, o.rule, CAST(o.shapes = tr.shapes AND o."count" = tr."count" AND o.color = tr.color AS INT) AS ok
+  FROM g{i}o o JOIN tr USING (matrix_id)""" for i, fields in enumerate(ABLATIONS))
+    return (f"WITH {_GRID}, {codebook_sql(_GATOMS, GD)}, " + ", ".join(_nearest_sql(f"g{i}", fields) for i, fields in enumerate(ABLATIONS))
+            + f", j AS ({scored}) SELECT fields, rule, count(*) AS n, CAST(sum(ok) AS BIGINT) AS hits, round(avg(ok), 6) AS accuracy FROM j GROUP BY fields, rule")
+
+
+@query(_ablation_sql())
 def rule_ablation(spark, sf):
     """Accuracy of nearest completion with parts of the panels removed."""
     visible, matrices, full, truth = grids(spark, sf)
     out = None
-    for fields in (("shapes", "count", "color"), ("count", "color"), ("shapes", "color"), ("shapes",)):
+    for fields in ABLATIONS:
         got = R.judge(R.nearest_completion(visible, matrices, full, GD, fields), truth)
         part = Sc.rule_accuracy(got).withColumn("fields", F.lit("+".join(fields)))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.select("fields", "rule", "n", "hits", F.round("accuracy", 6).alias("accuracy"))
 
 
 # ---- forward chaining ------------------------------------------------------------------------

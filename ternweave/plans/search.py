@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ternweave.functions import text as X
 from ternweave.functions.predicates import guard_predicate, negation_predicate
 from ternweave.operators import encode as E
+from ternweave.operators import inverted as I
 from ternweave.operators import search as S
-from ternweave.plans.common import codebook_sql, flat_map_sql, map_sql, pairs_sql, query, table, words_sql
+from ternweave.plans.common import codebook_sql, flat_map_sql, map_sql, pairs_sql, query, scratch, spread_table, table, words_sql
 
 D = 256
 PART = ("p_brand", "p_type", "p_size")
@@ -16,7 +17,7 @@ K = 20
 
 
 def parts(spark, sf):
-    p = table(spark, sf, "part").withColumnRenamed("p_partkey", "doc_id")
+    p = spread_table(spark, sf, "part").withColumnRenamed("p_partkey", "doc_id")
     return p.withColumn("vec", E.encode_row(*PART, dims=D))
 
 
@@ -230,13 +231,53 @@ def search_consistency(spark, sf):
     return S.compare_results(a, b).select("query_id", "hits_a", "hits_b", "shared", "consistent")
 
 
-@query()
+def _inverted_sql() -> str:
+    """CTEs of an inverted file over the parts: centroids ``ce``, cell of each part ``ho``, scored candidates ``ca`` of the brands."""
+    home = "SELECT id, j FROM (SELECT dl.id, c.j, row_number() OVER (PARTITION BY dl.id ORDER BY {near} DESC, c.j) AS rn FROM dl, {c} c) WHERE rn = 1"
+    near = "CAST(list_dot_product({v}, c.v) AS DOUBLE) / sqrt(greatest(CAST(list_dot_product(c.v, c.v) AS DOUBLE), 1))"
+    out = f"""WITH {pairs_sql("part", "p_partkey", PART)}, bkv AS (SELECT DISTINCT p_brand AS id, 'p_brand' AS k, p_brand AS v FROM part),
+{codebook_sql("SELECT k AS a FROM kv UNION SELECT v FROM kv", D)}, {map_sql("dv")}, {map_sql("qv", "bkv")},
+dl AS MATERIALIZED (SELECT id, list(x ORDER BY d)::FLOAT[] AS v FROM dv GROUP BY id), ql AS (SELECT id, list(x ORDER BY d)::FLOAT[] AS v FROM qv GROUP BY id),
+nc AS (SELECT CAST(ceil(8 * sqrt(count(*))) AS INT) AS c FROM part),
+c0 AS MATERIALIZED (SELECT j, v FROM (SELECT row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS j, v FROM dl) WHERE j < (SELECT c FROM nc))"""
+    for i in range(I.ROUNDS):
+        out += f""",
+a{i} AS MATERIALIZED ({home.format(near=near.format(v='dl.v'), c=f'c{i}')}),
+c{i + 1} AS MATERIALIZED (SELECT j, list(sign(s) ORDER BY d)::FLOAT[] AS v FROM (SELECT j, d, sum(x) AS s FROM a{i} JOIN dv USING (id) GROUP BY j, d) GROUP BY j
+  UNION ALL SELECT j, v FROM c{i} WHERE j NOT IN (SELECT j FROM a{i}))"""
+    return out + f""",
+ho AS MATERIALIZED ({home.format(near=near.format(v='dl.v'), c=f'c{I.ROUNDS}')}),
+pr AS (SELECT q, j FROM (SELECT ql.id AS q, c.j, row_number() OVER (PARTITION BY ql.id ORDER BY {near.format(v='ql.v')} DESC, c.j) AS rn FROM ql, c{I.ROUNDS} c)
+  WHERE rn <= greatest(1, (SELECT c // 25 FROM nc))),
+ca AS (SELECT q, ho.id AS doc_id, CAST(list_dot_product(dl.v, ql.v) AS DOUBLE) / {D}.0 AS s FROM pr JOIN ho USING (j) JOIN dl ON dl.id = ho.id JOIN ql ON ql.id = q)"""
+
+
+def _inverted(spark, sf):
+    """An inverted file of the parts, and the number of cells a probe reads: one of 25."""
+    cells = I.cells_for(table(spark, sf, "part").count())
+    return I.build(parts(spark, sf), D, scratch(spark, "inverted"), cells), max(1, cells // 25)
+
+
+@query(_inverted_sql() + """ SELECT q AS query_id, doc_id, round(s, 6) AS score, CAST(rn AS INT) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, doc_id) AS rn FROM ca WHERE s >= 0) WHERE rn <= 10""")
 def search_approximate(spark, sf):
-    """Banded candidates with exact re-scoring, and their recall against the exact result."""
+    """A probe per brand against a stored inverted file: exact scores in the nearest cells."""
+    index, near = _inverted(spark, sf)
+    return I.search(index, _brand_probes(spark, sf), 10, near).withColumn("score", F.round("score", 6))
+
+
+@query(_inverted_sql() + f""", al AS (SELECT ql.id AS q, dl.id AS doc_id, row_number() OVER (PARTITION BY ql.id ORDER BY list_dot_product(dl.v, ql.v) DESC, dl.id) AS rn
+  FROM dl, ql WHERE list_dot_product(dl.v, ql.v) >= 0),
+hi AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, doc_id) AS rn FROM ca WHERE s >= 0)
+SELECT q AS query_id, n.n AS candidates, (SELECT count(*) FROM al WHERE al.q = n.q AND rn <= 10) AS hits_a, (SELECT count(*) FROM hi WHERE hi.q = n.q AND rn <= 10) AS hits_b,
+  (SELECT count(*) FROM al JOIN hi USING (q, doc_id) WHERE al.q = n.q AND al.rn <= 10 AND hi.rn <= 10) AS shared
+FROM (SELECT q, count(*) AS n FROM ca GROUP BY q) n""")
+def search_approximate_recall(spark, sf):
+    """Candidates of the inverted file, and what it finds of the exact result."""
+    index, near = _inverted(spark, sf)
     probes = _brand_probes(spark, sf)
-    exact = S.search_table(parts(spark, sf), probes, D, 10)
-    near = S.approximate_search(parts(spark, sf), probes, D, 10, bands=64, width=3)
-    return S.compare_results(exact, near)
+    both = S.compare_results(S.search_table(parts(spark, sf), probes, D, 10), I.search(index, probes, 10, near))
+    return both.select("query_id", "hits_a", "hits_b", "shared").join(I.candidates(index, probes, near), "query_id")
 
 
 @query(_BRANDS + f""" SELECT q AS query_id, count(*) AS hits FROM sc WHERE s / {D}.0 >= {S.noise_threshold(D, 6.0)!r} GROUP BY q""")
@@ -285,7 +326,7 @@ def guard_list_wildcard(spark, sf):
 def guard_nested_document(spark, sf):
     """Nested guard and negation on JSON documents of unknown shape."""
     doc = F.to_json(F.struct("event_type", F.from_json("props", "k INT").alias("props")))
-    e = table(spark, sf, "events").select("event_id", F.parse_json(doc).alias("doc"))
+    e = spread_table(spark, sf, "events").select("event_id", F.parse_json(doc).alias("doc"))
     keep = (guard_predicate("doc", {"props": {"k": [1, 5, 42]}})
             & negation_predicate("doc", {"event_type": {"$not": "error"}}))
     return e.where(keep).select("event_id")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ternweave.functions.predicates import clamp_k
-from ternweave.functions.session import checkpoint_dir
 from ternweave.operators import corpus as C
 from ternweave.operators import search as S
 from ternweave.operators.encode import encode_json, encode_row
-from ternweave.plans.common import HEX, codebook_sql, flat_map_sql, hex_text, map_sql, pairs_sql, query, table
+from ternweave.plans.common import HEX, codebook_sql, flat_map_sql, hex_text, map_sql, pairs_sql, query, scratch, spread_table, table
 from ternweave.plans.corpus import UNITS
 from ternweave.sources import documents as Docs
 from ternweave.sources.store import DocumentStore
@@ -20,13 +17,8 @@ D = 64
 PART = ("p_brand", "p_type", "p_size")
 
 
-def scratch(spark, name):
-    """A fresh folder next to the checkpoints (shared storage on a cluster)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def part_docs(spark, sf):
-    p = table(spark, sf, "part")
+    p = spread_table(spark, sf, "part")
     return p.select(F.col("p_partkey").cast("string").alias("doc_id"), F.col("p_partkey").alias("ordinal"),
                     F.to_json(F.struct(*PART)).alias("doc"))
 
@@ -44,7 +36,7 @@ _MAP = flat_map_sql("part", "p_partkey", PART, D)
        "(SELECT event_id, CASE WHEN event_type = 'error' THEN substr(props, 1, 4) ELSE props END AS t FROM events)")
 def parse_json_quarantine(spark, sf):
     """JSON parsing with malformed rows set aside."""
-    e = table(spark, sf, "events").select(
+    e = spread_table(spark, sf, "events").select(
         "event_id", F.when(F.col("event_type") == "error", F.substring("props", 1, 4)).otherwise(F.col("props")).alias("t"))
     good, bad = Docs.parse_documents(e, "t")
     return (good.select("event_id", F.lit(True).alias("ok"), F.variant_get(F.parse_json("doc"), "$.k", "bigint").alias("k"))
@@ -55,7 +47,7 @@ def parse_json_quarantine(spark, sf):
 {codebook_sql("SELECT k AS a FROM kv UNION SELECT v FROM kv", D)}, {map_sql()} SELECT id AS p_partkey, {HEX} AS vec FROM dv GROUP BY id""")
 def parse_edn_encode(spark, sf):
     """EDN documents with keywords, rewritten to the JSON path and encoded."""
-    p = table(spark, sf, "part")
+    p = spread_table(spark, sf, "part")
     edn = F.concat(F.lit("{:brand :"), F.col("p_brand"), F.lit(", :size "), F.col("p_size").cast("string"), F.lit("}"))
     return p.select("p_partkey", hex_text(encode_json(Docs.edn_json(edn), D)).alias("vec"))
 
@@ -136,7 +128,7 @@ def set_normalisation(spark, sf):
 @query(f"WITH {UNITS} SELECT lang, count(*) AS units, CAST(sum(len(ws)) AS BIGINT) AS words FROM un JOIN documents USING (doc_id) GROUP BY lang")
 def corpus_ingest(spark, sf):
     """Text corpus to units with vectors, written and read back."""
-    docs, path = table(spark, sf, "documents"), scratch(spark, "units")
+    docs, path = spread_table(spark, sf, "documents"), scratch(spark, "units")
     C.unit_vectors(C.units(docs), D).write.parquet(path)
     back = spark.read.parquet(path).where(F.octet_length("vec") == D)
     return (back.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang")
@@ -173,7 +165,7 @@ def store_insert_twice(spark, sf):
 def store_reopen(spark, sf):
     """A store reopened with another number of buckets finds, replaces and deletes the rows it has; it is rebucketed in between."""
     path = _filled(spark, sf).path
-    p = table(spark, sf, "part")
+    p = spread_table(spark, sf, "part")
     again = DocumentStore(spark, path, D, buckets=3)
     again.upsert(p.where("p_size < 10").select(F.col("p_partkey").alias("doc_id"), F.lit('{"p_brand": "small"}').alias("doc")))
     again.rebucket(16)

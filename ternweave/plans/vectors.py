@@ -10,7 +10,7 @@ from ternweave.functions.codebook import POSITION_PREFIX, atom_trits, canon_atom
 from ternweave.operators import algebra as A
 from ternweave.operators import encode as E
 from ternweave.plans.common import (HEX, POSITION_SQL, SET_SQL, codebook_sql, flat_map_sql, hex_text, map_sql,
-                                    pairs_sql, query, table, words_sql)
+                                    pairs_sql, query, spread_table, table, words_sql)
 
 D = 256
 TD = 64
@@ -39,7 +39,7 @@ SELECT p_partkey, array_to_string(list_sort(list_distinct(
   ['p_brand', 'p_type', 'p_size', p_brand, p_type, CAST(p_size AS VARCHAR)])), '|') AS atoms FROM part""")
 def atomize_rows(spark, sf):
     """All keys and scalars of a flat document."""
-    return table(spark, sf, "part").select("p_partkey", F.array_join(E.atoms_of_row(*PART), "|").alias("atoms"))
+    return spread_table(spark, sf, "part").select("p_partkey", F.array_join(E.atoms_of_row(*PART), "|").alias("atoms"))
 
 
 @query("""
@@ -48,7 +48,7 @@ SELECT event_id, array_to_string(list_sort(list_distinct(
 def atomize_json(spark, sf):
     """All keys and scalars of a nested JSON document."""
     doc = F.to_json(F.struct(F.col("event_type").alias("kind"), F.from_json("props", "k INT").alias("props")))
-    return table(spark, sf, "events").select("event_id", F.array_join(E.atoms_of_json(doc), "|").alias("atoms"))
+    return spread_table(spark, sf, "events").select("event_id", F.array_join(E.atoms_of_json(doc), "|").alias("atoms"))
 
 
 @query(f"WITH {codebook_sql('SELECT p_brand AS a FROM part UNION SELECT p_type FROM part UNION SELECT n_name FROM nation', D)} "
@@ -83,7 +83,7 @@ WITH w AS (SELECT doc_id, unnest({words_sql('text')}) AS atom FROM documents)
 SELECT atom, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM w GROUP BY atom""")
 def vocabulary_frequency(spark, sf):
     """Occurrences and document counts per word."""
-    w = explode_into(table(spark, sf, "documents"), X.words(F.col("text")), "atom", "doc_id")
+    w = explode_into(spread_table(spark, sf, "documents"), X.words(F.col("text")), "atom", "doc_id")
     per_doc = w.groupBy("atom", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("atom").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("documents"))
 
@@ -93,14 +93,14 @@ WITH w AS (SELECT unnest({words_sql('text')}) AS atom FROM documents)
 SELECT count(*) AS occurrences, count(DISTINCT atom) AS atoms FROM w""")
 def vocabulary_size(spark, sf):
     """Number of words and of distinct words."""
-    w = explode_into(table(spark, sf, "documents"), X.words(F.col("text")), "atom")
+    w = explode_into(spread_table(spark, sf, "documents"), X.words(F.col("text")), "atom")
     return w.groupBy("atom").agg(F.count(F.lit(1)).alias("n")).agg(
         F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("atoms"))
 
 
 def turns(spark, sf):
     """Turns with at least one word: (turn_id, words)."""
-    c = table(spark, sf, "conversations")
+    c = spread_table(spark, sf, "conversations")
     return (c.select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), X.words(F.col("text")).alias("words"))
             .where(F.size("words") > 0))
 
@@ -128,7 +128,7 @@ PART_MAP = flat_map_sql("part", "p_partkey", PART, D)
 @query(f"WITH {PART_MAP} SELECT id AS p_partkey, {HEX} AS vec FROM dv GROUP BY id")
 def encode_map(spark, sf):
     """Flat rows as maps."""
-    return table(spark, sf, "part").select("p_partkey", hex_text(E.encode_row(*PART, dims=D)).alias("vec"))
+    return spread_table(spark, sf, "part").select("p_partkey", hex_text(E.encode_row(*PART, dims=D)).alias("vec"))
 
 
 @query(f"""
@@ -140,7 +140,7 @@ SELECT id AS p_partkey, {HEX} AS vec FROM b GROUP BY id""")
 def encode_set(spark, sf):
     """The distinct words of a part name as a set."""
     words = F.array_distinct(F.split("p_name", " "))
-    return table(spark, sf, "part").select("p_partkey", hex_text(E.encode(words, D, sets=("",))).alias("vec"))
+    return spread_table(spark, sf, "part").select("p_partkey", hex_text(E.encode(words, D, sets=("",))).alias("vec"))
 
 
 def _list_query(mode, **config):
@@ -286,7 +286,7 @@ def encode_nested_columns(spark, sf):
     k, meta = _nested_columns()
     row = F.struct(F.col("user_id").alias("user"), meta.alias("meta"),
                    F.array("event_type", k.cast("string")).alias("tags"))
-    return table(spark, sf, "events").select(
+    return spread_table(spark, sf, "events").select(
         "event_id", hex_text(E.encode(row, TD, modes={"tags": "bundle"})).alias("vec"))
 
 
@@ -299,7 +299,7 @@ def encode_json_hints(spark, sf):
     doc = F.to_json(F.struct(
         F.col("user_id").alias("user"), meta.alias("meta"),
         F.struct(F.lit("bundle").alias("_encode_mode"), F.array("event_type", k.cast("string")).alias("k")).alias("tags")))
-    return table(spark, sf, "events").select("event_id", hex_text(E.encode_json(doc, TD)).alias("vec"))
+    return spread_table(spark, sf, "events").select("event_id", hex_text(E.encode_json(doc, TD)).alias("vec"))
 
 
 # ---- algebra ---------------------------------------------------------------------------------
@@ -370,7 +370,7 @@ s AS (SELECT p_brand, d, CAST(sign(sum(x)) AS INT) AS x FROM dv JOIN part ON p_p
 SELECT p_brand, {HEX} AS vec FROM s GROUP BY p_brand""")
 def bundle_by_key(spark, sf):
     """Bundle of all part vectors of a brand."""
-    p = table(spark, sf, "part").select("p_brand", E.encode_row(*PART, dims=D).alias("vec"))
+    p = spread_table(spark, sf, "part").select("p_brand", E.encode_row(*PART, dims=D).alias("vec"))
     return A.bundle_by(p, "p_brand", "vec", D).select("p_brand", hex_text("vec").alias("vec"))
 
 
