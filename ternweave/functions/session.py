@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -11,9 +12,16 @@ from pyspark.sql import SparkSession
 import ternweave
 
 
+#: Bytes of an Arrow batch, in place of Spark's default: a task and its Python worker hold some batches each.
+ARROW_BYTES = 16 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Make the package importable on executors (once per application)."""
+    """Make the package importable on executors (once per application), and bound Arrow batches unless the session has a bound of its own."""
     sc = spark.sparkContext
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) == f"{64 << 20}b":
+        spark.conf.set(size, ARROW_BYTES)
     if getattr(sc, "_ternweave_shipped", False):
         return spark
     root = os.path.dirname(os.path.abspath(ternweave.__file__))
@@ -41,3 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
