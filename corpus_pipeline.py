@@ -20,7 +20,7 @@ PLACE_BYTES, BROADCAST_BYTES = 64, 64 * 2 ** 20
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """The rows of a stage with a key of their own, and the name of its column.
 
-    The key is the id where that is the row's alone, and else a number of at least 2^62 from the row's file and place: rows
+    The key is the id, of rows that share one for a single row, and else a number of at least 2^62 from the row's file and place: rows
     with a null id, or with one that others have, are rows like all others."""
     try:
         rows = docs.select("*", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
@@ -30,19 +30,21 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     key, again = (common.fresh(docs, c) for c in ("_key", "_again"))
     rows = rows.toDF(*docs.columns, "_file_" + key, "_row_" + key)
     place = F.xxhash64("_file_" + key, "_row_" + key).bitwiseAND(2 ** 62 - 1).bitwiseOR(2 ** 62)
-    repeated = common.store(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(again)).agg(F.count(F.lit(1)).alias("n"))
-                            .where("n > 1").select(again), "pipeline-repeated")
     alone = F.col("doc_id") < 2 ** 62
+    repeated = common.store(rows.where(alone).groupBy(F.col("doc_id").alias(again)).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+                            .where("n > 1").select(again, "first"), "pipeline-repeated")
     if repeated.isEmpty():
         own = F.when(alone, F.col("doc_id")).otherwise(place)
         return rows.withColumn(key, own).select(*docs.columns, key), key
     filter_, bits = common.id_filter(repeated, again, repeated.count())
     maybe, flag = common.marked(rows, "doc_id", filter_, bits)          # only rows that may share their id are shuffled
     clear = maybe.where(~F.col(flag)).withColumn(key, F.when(alone, F.col("doc_id")).otherwise(place))
-    unsure = maybe.where(F.col(flag)).withColumn(key, place)
-    held = common.join_skewed(unsure.toDF(*[f"c{i}" for i in range(len(unsure.columns))]).withColumn("id", F.col(f"c{docs.columns.index('doc_id')}")),
-                              repeated.toDF("id").withColumn("many", F.lit(True)), "id", f"c{len(unsure.columns) - 1}", docs.count(), "left")
-    shared = held.withColumn("key", F.when((F.col("id") < 2 ** 62) & F.col("many").isNull(), F.col("id")).otherwise(F.col(f"c{len(unsure.columns) - 1}")))
+    unsure = maybe.where(F.col(flag)).select(*rows.columns).withColumn(key, place)
+    own, last = F.col(f"c{docs.columns.index('doc_id')}"), f"c{len(unsure.columns) - 1}"
+    held = common.join_skewed(unsure.toDF(*[f"c{i}" for i in range(len(unsure.columns))]).withColumn("id", own), repeated.toDF("id", "first"), "id", last,
+                              docs.count(), "left")
+    first = F.col("first").isNull() | (F.col("first") == F.col(last))
+    shared = held.withColumn("key", F.when((F.col("id") < 2 ** 62) & first, F.col("id")).otherwise(F.col(last)))
     shared = shared.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("key").alias(key))
     return clear.select(*docs.columns, key).unionByName(shared), key
 
@@ -60,10 +62,10 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates: that of the smallest id, of rows with an id of their own.
+    """The first document of each group of near duplicates, that of the smallest id.
 
-    Of repeated rows, and of rows that share an id or have none, one of each group stays as well.  Null and empty texts are copies of each other.
-    Further columns of any name pass through; an empty table gives no rows."""
+    Of repeated rows, and of rows that share an id or have none, one of each group stays; a row without an id only where its group has none
+    with one.  Null and empty texts are copies of each other.  Further columns of any name pass through; an empty table gives no rows."""
     ship(spark)
     rows, key = keyed(docs)
     groups = near_dedup.near_duplicates(rows, key)

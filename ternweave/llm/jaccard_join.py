@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ternweave.llm.common import (attach, components, discard, id_filter, join_skewed, kept_by, may_be_in, mix64, portions, slices,
+from ternweave.llm.common import (attach, components, discard, give_back, id_filter, join_skewed, kept_by, may_be_in, mix64, portions, slices,
                                   store, store_counted, word_hashes)
 
 SHINGLE = 5
@@ -67,6 +67,7 @@ class Sets:
 def frequencies(docs: DataFrame) -> np.ndarray:
     """About the logarithm of how many documents hold a shingle, by the low bits of its hash, from a sketch of all documents(text)."""
     def count(batches):
+        give_back()
         total = np.zeros(COUNTERS, np.int64)
         for _rows, flat, _size in Sets().batches(batches):
             total += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
@@ -181,6 +182,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, what: str) -> DataFrame:
     """(node, size, fold), or (node, items), of the ``wanted(node, mark, key_a, key_b)`` from documents (mark, text)."""
     def compute(batches):
         import xxhash
+        give_back()
         for rows, flat, size in Sets().batches(batches):
             parts = np.split(flat, np.cumsum(size)[:-1])
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in parts), np.int64).reshape(-1, 2)
@@ -195,12 +197,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, what: str) -> DataFrame:
 def _verified(pairs: DataFrame, count: int, texts: Texts) -> DataFrame:
     """The linked ones of the pairs (a, b, ca, cb), as (ca, cb).  Folds are compared first, so that few pairs need their sets."""
     def rule_out(batches):
+        give_back()
         for batch in batches:
             n, m = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
             keep = may_link(_folds(batch.column("fold_a")), n, _folds(batch.column("fold_b")), m)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names).filter(pa.array(keep))
 
     def check(batches):
+        give_back()
         for batch in batches:
             x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("items_a", "items_b"))
             keep = [bool(linked(common_size(a, b), len(a), len(b))) for a, b in zip(x, y, strict=True)]
@@ -257,6 +261,7 @@ def voronoi(rows: DataFrame, count: int, sets: DataFrame, level: int) -> DataFra
     window = 2 * (100 - PERCENT) / 100 + 1e-9
 
     def deal(batches):
+        give_back()
         for whole in batches:
             for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
                 region, home, near = [], [], []

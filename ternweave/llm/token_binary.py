@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ternweave.llm.common import discard, folder, kept_by, portions, store
+from ternweave.llm.common import discard, folder, kept_by, portions, slices, store
 
 END = 1
 MAX_BITS = 18
