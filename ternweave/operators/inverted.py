@@ -36,7 +36,7 @@ def nearness(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     """int8[cells, dims]: the first vectors of the sample, each moved to the majority bundle of the vectors next to it."""
     centroids = sample[:cells].copy()
-    for _ in range(rounds):
+    for _ in range(rounds if len(sample) else 0):
         home = np.concatenate([nearness(sample[a:a + 4096], centroids).argmax(axis=1) for a in range(0, len(sample), 4096)])
         order = np.argsort(home, kind="stable")
         starts = np.flatnonzero(np.diff(home[order], prepend=-1))

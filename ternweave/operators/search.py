@@ -8,7 +8,6 @@ most tasks x probes x k rows gives the final ranking.  Ties are broken by docume
 from __future__ import annotations
 
 import math
-import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -21,7 +20,6 @@ from pyspark.sql import types as T
 from ternweave.functions import kernels as K
 from ternweave.functions.encoding import encode_value
 from ternweave.functions.predicates import (ANY, check_request, guard_predicate, negation_predicate, negation_specs)
-from ternweave.functions.session import checkpoint_dir
 
 BROADCAST_BYTES = 64 << 20
 CELL_BYTES = 64 << 20
@@ -371,14 +369,7 @@ def _slices(corpus, probes, asked: int, limit: int, k: int | None, floor: float,
         return corpus.sparkSession.createDataFrame([], _result_schema(query_type, doc_type))
     if asked <= limit:
         return scan(probes.select("query_id", "vec").collect())
-    spark = corpus.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
-    part = F.pmod(F.xxhash64("query_id", "vec"), F.lit(-(-asked // limit) + 1))
-    for i in range(-(-asked // limit) + 1):
-        rows = probes.select("query_id", "vec").where(part == i).collect()
-        for a in range(0, len(rows), limit):
-            scan(rows[a:a + limit]).write.mode("append").parquet(path)
-    return spark.read.schema(_result_schema(query_type, doc_type)).parquet(path)
+    return _grid(corpus, probes, dims, k, floor, metric, (-(-corpus.count() // limit), -(-asked // limit)))
 
 
 def _scan_probes(docs, doc_type, probes, dims, k, floor, metric, exclude_self) -> DataFrame:
@@ -439,13 +430,19 @@ def _grid(corpus, probes, dims, k, floor, metric, cells) -> DataFrame:
             return a_schema.empty_table()
         query_ids = asks.column("query_id").to_pylist()
         probes_ = K.widened(_vectors(asks.column("vec").combine_chunks(), dims), wide)
-        best = _Best(np.full(n, k), np.full(n, floor))
-        step = max(1, min(K.rows_per_block(dims), K.BLOCK_BYTES // (8 * n)))
+        best = None if k is None else _Best(np.full(n, k), np.full(n, floor))
+        step, out = max(1, min(K.rows_per_block(dims), K.BLOCK_BYTES // (8 * n))), []
         for s in range(0, docs.num_rows, step):
             b = docs.slice(s, step)
-            best.offer(K.score_block(metric, _vectors(b.column("vec").combine_chunks(), dims), probes_),
-                       _ids(b.column("doc_id")))
-        out = list(_emit(best, query_ids, a_doc, a_query))
+            scores = K.score_block(metric, _vectors(b.column("vec").combine_chunks(), dims), probes_)
+            if best is not None:
+                best.offer(scores, _ids(b.column("doc_id")))
+                continue
+            at, found = np.nonzero(scores >= floor)                     # no k: every score from the floor on
+            out.append(pa.RecordBatch.from_arrays([pa.array([query_ids[i] for i in found], a_query), b.column("doc_id").combine_chunks().take(pa.array(at)),
+                                                   pa.array(scores[at, found], pa.float64())], schema=a_schema))
+        if best is not None:
+            out = list(_emit(best, query_ids, a_doc, a_query))
         return pa.Table.from_batches(out, a_schema) if out else a_schema.empty_table()
 
     return (left.groupBy("row", "col").cogroup(right.groupBy("row", "col"))
