@@ -18,30 +18,82 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")       # fixed valu
 RECORD = ("warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
           "content_length long, block_digest string, source_payload_digest string, block string")
 
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-HIDDEN = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-HEAD = re.compile(r"<head\b[^>]*>.*?</head\s*>", re.S | re.I)
-BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|"
-                   r"html|li|main|nav|ol|option|p|pre|section|table|tbody|tfoot|thead|tr|ul)\b[^>]*>", re.I)
-CELL = re.compile(r"</?(?:td|th)\b[^>]*>", re.I)
-TAG = re.compile(r"<[/!?]?[a-zA-Z][^>]*>|<[!?][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
+HIDDEN = ("script", "style", "noscript", "template")
+#: Elements on a line of their own, and cells.
+BREAK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
+                  "html li main nav ol option p pre section table tbody tfoot thead tr ul".split())
+CELL = frozenset(("td", "th"))
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in (*HIDDEN, "head", "title")}
+HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
 BLANK = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n[ \n]*")
 
 
+class Page:
+    """Visible text, title, language and links of a page, in one run over it from tag to tag.
+
+    Text is what stands outside of comments, scripts, styles, head and tags, one line per block element, entities
+    resolved, runs of white space as one.  The end of a tag is the next ``>``, and what is not found behind one place is not looked for behind a later
+    one, so the time is in proportion to the page, whatever is in it."""
+
+    def __init__(self, page: str):
+        self.page, self.links, self.title, self.lang = page, [], None, None
+        self.none: set[str] = set()                                   # elements that are not closed any more
+        out, at, head = [], 0, None
+        while (start := page.find("<", at)) >= 0:
+            out.append(page[at:start].replace("\n", " "))
+            after = page[start + 1:start + 2]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = len(page) if end < 0 else end + 3
+                continue
+            name = NAME.match(page, start, start + 40)
+            if not name and after not in ("!", "?"):
+                out.append("<")
+                at = start + 1
+                continue
+            end = page.find(">", start)
+            if end < 0:                                               # no tag ends any more
+                at = start
+                break
+            at, closing = end + 1, after == "/"
+            kind = name[1].lower() if name else ""
+            if kind in HIDDEN and not closing:
+                at = self._closed(kind, at) or len(page)
+                continue
+            if kind == "head" and not closing and head is None and self._closed("head", at):
+                head = len(out)
+            elif kind == "head" and closing and head is not None:
+                out[head:], head = ["\n"], None
+            elif kind == "title" and not closing and self.title is None and (end := self._closed("title", at)):
+                self.title = page[at:page.rfind("</", at, end)]
+            elif kind == "a" and not closing and (m := HREF.search(page, start, at)):
+                self.links.append(next(g for g in m.groups() if g is not None))
+            elif kind == "html" and not closing and self.lang is None and (m := LANG.search(page, start, at)):
+                self.lang = m[1]
+            out.append("\n" if kind in BREAK else " " if kind in CELL else "")
+        out.append(page[at:].replace("\n", " "))
+        self.text = LINES.sub("\n", BLANK.sub(" ", html.unescape("".join(out)))).strip()
+
+    def _closed(self, kind: str, at: int) -> int | None:
+        """Where the closing tag ends, or None."""
+        if kind in self.none:
+            return None
+        m = CLOSE[kind].search(self.page, at)
+        if m is None:
+            self.none.add(kind)
+        return m and m.end()
+
+
 def plain_text(page: str) -> str:
-    """Visible text: no comments, scripts, styles, head or tags, one line per block element, entities
-    resolved, runs of white space as one."""
-    page = HEAD.sub("\n", HIDDEN.sub("", COMMENT.sub("", page)).replace("\n", " "))
-    page = html.unescape(TAG.sub("", CELL.sub(" ", BREAK.sub("\n", page))))
-    return LINES.sub("\n", BLANK.sub(" ", page)).strip()
+    """Visible text of a page."""
+    return Page(page).text
 
 
 def one_line(text: str) -> str:
-    return " ".join(html.unescape(TAG.sub("", text)).split())
+    return " ".join(html.unescape(text).split())
 
 
 def digest(block: bytes) -> str:
@@ -72,17 +124,17 @@ def responses_of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str =
 def derivatives_of(name: str, uri: str, date: str, http: str, page: str) -> list[tuple]:
     """The metadata and the conversion record of one response, as RECORD rows."""
     source = digest(page.encode("utf-8", "replace"))
-    text = plain_text(page)
+    parsed = Page(page)
+    text = parsed.text
     body = text.encode("utf-8", "replace")
     meta_id, text_id = record_id("metadata", name), record_id("conversion", name)
     status, *headers = http.rstrip("\r\n").split("\r\n") if http else [""]
-    title, lang = TITLE.search(page), LANG.search(page)
     fields = [("derived-from", name), ("conversion", text_id), ("source-block-digest", digest((http + page).encode("utf-8", "replace"))),
               ("source-payload-digest", source), ("source-content-length", str(len((http + page).encode("utf-8", "replace")))),
               ("source-status", status), *[("source-header", h) for h in headers if h],
-              *([("title", one_line(title[1]))] if title else []), *([("language", lang[1])] if lang else []),
+              *([("title", one_line(parsed.title))] if parsed.title is not None else []), *([("language", parsed.lang)] if parsed.lang else []),
               ("text-length", str(len(body))),
-              *[("outlink", one_line(next(g for g in m.groups() if g is not None))) for m in LINK.finditer(page)]]
+              *[("outlink", one_line(link)) for link in parsed.links]]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields)
     rows = []
     for kind, own, content, block in (("metadata", meta_id, "application/warc-fields", meta), ("conversion", text_id, "text/plain; charset=utf-8", text)):
@@ -128,24 +180,54 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
     records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def parse(data: bytes) -> list[dict[str, str]]:
-    """Records of a WARC file: header fields in lower case and the block."""
+def parse(data: bytes) -> list[dict]:
+    """Records of a WARC file: header fields in lower case, and the block in bytes.  A block that has another
+    digest than its record says, where that is a SHA-1, is an error."""
     out, at = [], 0
     while at < len(data):
         if not data.startswith(b"WARC/", at):
             raise ValueError(f"no WARC record at byte {at}")
         end = data.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
-        fields = {k.lower(): v for k, v in fields.items()}
+        fields: dict = {}
+        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            fields[name.strip().lower()] = value.strip()
         size = int(fields["content-length"])
-        fields["block"] = data[end + 4:end + 4 + size].decode()
-        if digest(fields["block"].encode()) != fields["warc-block-digest"]:
+        fields["block"] = data[end + 4:end + 4 + size]
+        named = fields.get("warc-block-digest", "")
+        if named.startswith("sha1:") and digest(fields["block"]) != named:
             raise ValueError("a block does not have its digest")
         out.append(fields)
         at = end + 4 + size + 4
     return out
 
 
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("content")
+
+
+def responses_of_warc(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Response records (key, record_id, target_uri, date, http, payload) of the WARC files in a folder, for :func:`derivatives`; the key is
+    the record's identifier.  Bytes that aren't UTF-8 become replacement characters; a block without an end of its HTTP header is all payload;
+    records of other types are left out."""
+    names = ["key", "record_id", "target_uri", "date", "http", "payload"]
+
+    def run(batches):
+        import gzip
+        for batch in batches:
+            for raw in batch.column("content").to_pylist():
+                found = [f for f in parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw) if f.get("warc-type") == "response"]
+                for a in range(0, len(found), 500):
+                    rows = []
+                    for f in found[a:a + 500]:
+                        head, end, body = f["block"].partition(b"\r\n\r\n")
+                        http, payload = (head + end, body) if end else (b"", head)
+                        rows.append((f.get("warc-record-id", ""), f.get("warc-record-id", ""), f.get("warc-target-uri", ""), f.get("warc-date", ""),
+                                     http.decode("utf-8", "replace"), payload.decode("utf-8", "replace")))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)], names=names)
+    return _files(spark, path, pattern).mapInArrow(run, ", ".join(f"{n} string" for n in names))
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """RECORD rows of the WARC files in a folder; each file is read by one task and bounded by its writer."""
     def run(batches):
@@ -158,6 +240,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         "source_payload_digest": "warc-source-payload-digest", "block": "block"}
                 for a in range(0, len(found), 500):
                     part = found[a:a + 500]
-                    yield pa.RecordBatch.from_pydict({n: ([int(f[k]) for f in part] if n == "content_length" else [f.get(k, "") for f in part])
+                    yield pa.RecordBatch.from_pydict({n: ([int(f[k]) for f in part] if n == "content_length" else [f[k].decode("utf-8", "replace") if k == "block" else f.get(k, "") for f in part])
                                                       for n, k in cols.items()})
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORD))
+    return _files(spark, path, "part-*").mapInArrow(run, RECORD)

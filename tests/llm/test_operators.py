@@ -299,6 +299,32 @@ def test_warc_derivatives(spark, tmp_path):
     assert sorted(map(drop, back)) == sorted(map(drop, rows))
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<title>", "<head>", "<script ", "<!-- ", "<td", "<", "</", "&lt", "<a href=", "<style>", "<p>\n"])
+def test_warc_time_is_in_proportion_to_the_page(piece):
+    import time
+    t = time.process_time()
+    warc.derivatives_of("<urn:x>", "u", warc.DATE, "", "start " + piece * (1_000_000 // len(piece)))
+    assert time.process_time() - t < 20
+
+
+def test_warc_responses_are_read(spark, tmp_path):
+    import gzip
+    page = "<html lang='de'><head><title>T &amp; t</title></head><body><!-- <a href='no'> --><script>a<b</script>Gr\u00fc\u00dfe<a href='x?a=1'>l</a><td>z".encode()
+    blocks = [b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + page, b"HTTP/1.1 200 OK\r\n\r\n\xff\xfe<p>bytes", b"no header"]
+    data = b""
+    for i, (kind, block) in enumerate([("warcinfo", b"software: x"), *[("response", x) for x in blocks], ("request", b"GET /")]):
+        name = warc.digest(block) if i % 2 else "sha256:unchecked"
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{i}>\r\nWARC-Target-URI: http://h/{i}\r\nWARC-Block-Digest: {name}\r\nContent-Length: {len(block)}"
+        data += gzip.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+    (tmp_path / "own.warc.gz").write_bytes(data)
+    rows = warc.responses_of_warc(spark, str(tmp_path)).collect()
+    assert [(r.record_id, r.http[:8]) for r in rows] == [("<urn:1>", "HTTP/1.1"), ("<urn:2>", "HTTP/1.1"), ("<urn:3>", "")]
+    made = {(r.refers_to, r.warc_type): r.block for r in warc.derivatives(warc.responses_of_warc(spark, str(tmp_path))).collect()}
+    assert made["<urn:1>", "conversion"] == "Gr\u00fc\u00dfel z" and made["<urn:2>", "conversion"] == "\ufffd\ufffd\nbytes" and made["<urn:3>", "conversion"] == "no header"
+    meta = made["<urn:1>", "metadata"]
+    assert "title: T & t\r\n" in meta and "language: de\r\n" in meta and meta.count("outlink: ") == 1 and "outlink: x?a=1\r\n" in meta
+
+
 def test_warc_odd_pages(spark):
     schema = "page_id LONG, url STRING, html STRING, block STRING, record_id STRING"
     rows = [(1, None, None, None, None), (None, "http://a", "", "b", "c"), (2, "u", "<p>a &lt; b<!-- x", "", ""), (2, "u", "<p>a &lt; b<!-- x", "", ""),
@@ -369,11 +395,26 @@ def test_decontamination_odd(spark, odd, none):
     benchmark = spark.createDataFrame([(1, "the cat sat on the mat today"), (2, None), (3, ""), (None, "the cat"), (4, "le chat")],
                                       "item_id LONG, text STRING")
     got = decontaminate.contaminated(odd, benchmark).collect()
-    assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 1), (1, 1), (1, 1), (5, 1), (7, 4)]
+    assert sorted((r.doc_id or 0, r.item_id or 0) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 0), (1, 1), (1, 1), (5, 0), (5, 1), (7, 4)]
     assert decontaminate.contaminated(none, benchmark).collect() == []
     assert decontaminate.contaminated(odd, benchmark.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("length", [1, 2, 4, 5, 6, 7, 8, 9, 14])
+def test_short_items_are_found(length):
+    rng = random.Random(length)
+    items = [[f"i{k}w{j}" for j in range(length)] for k in range(40)]
+    index = decontaminate.Index(items)
+    texts = []
+    for item in items:
+        copy = list(item)
+        for at in rng.sample(range(length), int(0.2 * length)):
+            copy[at] = "other"
+        texts.append(" ".join(["x", "y", *copy, "z"]))
+    found = {(t, i) for t, i, *_ in index.matches(texts)}
+    assert found <= {(k, k) for k in range(40)} and len(found) >= (40 if length < 5 else 36)
+
+
 # ---- 8 ---------------------------------------------------------------------------------------
 
 def test_bag_minhash_is_unbiased():
@@ -447,6 +488,11 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.url_verdicts(pages).where("rule is null").collect()} == {"allow"}
 
 
+def test_url_query_runs_in_a_used_session(spark):
+    common.store_counted(spark.range(10), "seen")
+    assert queries.QUERIES["op9_url_filter"](spark, SF).count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
 def test_url_model_learns_and_is_native(spark):
     rows = [(f"{'bad' if i % 2 else 'good'}{i}.example.net", f"/{'casino' if i % 2 else 'wiki'}/{i}", "block" if i % 2 else "allow") for i in range(300)]
     model = url_filter.fit(spark.createDataFrame(rows, "host STRING, path STRING, verdict STRING"))
