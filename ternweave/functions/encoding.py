@@ -51,7 +51,7 @@ def check_mode(mode: str, config: dict) -> None:
         raise ValueError(f"unknown list mode {mode!r}; expected one of {LIST_MODES}")
     sizes, weights = config.get("n_sizes"), config.get("weights")
     if mode == "ngram_configurable" and weights is not None and len(weights) != len(sizes or [2]):
-        raise ValueError("weights must match n_sizes length")
+        raise ValueError("give one weight for each of n_sizes")
     if any(n < 1 for n in sizes or []):
         raise ValueError("n_sizes must be positive")
     if mode == "subsequence_aligned" and config.get("alignment_mode", "sliding_window") not in (

@@ -172,6 +172,33 @@ def search_metric_length_normalized(spark, sf):
     return _all_scores(spark, sf, "length_normalized")
 
 
+_C01 = "CASE WHEN nn.n * qn.n = 0 THEN 0 ELSE (coalesce(s / sqrt(CAST(nn.n AS DOUBLE) * qn.n), 0) + 1) / 2 END"
+_EUCLIDEAN = "exp(-sqrt(CAST(nn.n + qn.n - 2 * s AS DOUBLE)) / 10)"
+_MANHATTAN = f"exp(-CAST(mh.m AS DOUBLE) / (10 * {D}))"
+_METRICS = {
+    "raw_dot": "CAST(s AS DOUBLE)", "cosine01": _C01, "contextual": _C01, "manhattan": _MANHATTAN,
+    "contiguous_bonus": "least(coalesce(s / sqrt(CAST(nn.n AS DOUBLE) * qn.n), 0) + 0.1 * 0.5, 1.0)",
+    "multi": f"0.4 * {_C01} + 0.3 * ({_C01} + 100) / 200 + 0.2 * {_EUCLIDEAN} + 0.1 * {_MANHATTAN}",
+    "hierarchical": "hi.h", "ensemble": f"0.5 * {_C01} + 0.3 * hi.h + 0.2 * least({_C01}, 1.0)"}
+
+
+def _metric_query(metric):
+    sql = search_sql({0: P}, extra=f""", nn AS (SELECT id, sum(x * x) AS n FROM dv GROUP BY id), qn AS (SELECT sum(x * x) AS n FROM qv),
+mh AS (SELECT dv.id, sum(abs(dv.x - qv.x)) AS m FROM dv JOIN qv USING (d) GROUP BY dv.id),
+sg AS (SELECT dv.id, d // {D // 8} AS g, sum(dv.x * qv.x) AS s, sum(dv.x * dv.x) AS a, sum(qv.x * qv.x) AS b FROM dv JOIN qv USING (d) WHERE d < {3 * (D // 8)} GROUP BY 1, 2),
+hi AS (SELECT id, sum([0.5, 0.3, 0.2][g + 1] * CASE WHEN a * b = 0 THEN 0 ELSE (s / sqrt(CAST(a AS DOUBLE) * b) + 1) / 2 END) AS h FROM sg GROUP BY id),
+ms AS (SELECT doc_id, round({_METRICS[metric]}, 9) AS sc FROM sc JOIN nn ON nn.id = doc_id JOIN mh ON mh.id = doc_id JOIN hi ON hi.id = doc_id, qn)""",
+                     final="SELECT doc_id, round(sc, 6) AS score FROM ms")
+
+    @query(sql, name=f"search_metric_{metric}")
+    def run(spark, sf):
+        return _all_scores(spark, sf, metric)
+
+
+for _metric in _METRICS:
+    _metric_query(_metric)
+
+
 # ---- probe tables ----------------------------------------------------------------------------
 
 _BRANDS = f"""WITH {pairs_sql("part", "p_partkey", PART)}, bkv AS (SELECT DISTINCT p_brand AS id, 'p_brand' AS k, p_brand AS v FROM part),
@@ -222,8 +249,11 @@ def search_request_table(spark, sf):
     return S.search_requests(parts(spark, sf), asks, D, guards).withColumn("score", F.round("score", 6))
 
 
-@query(_BRANDS + """ SELECT q AS query_id, count(*) AS hits_a, count(*) AS hits_b, count(*) AS shared, TRUE AS consistent
-  FROM hit WHERE rn <= 10 GROUP BY q""")
+@query(_BRANDS + f""", dl AS (SELECT id, list(x ORDER BY d)::FLOAT[] AS v FROM dv GROUP BY id), ql AS (SELECT id, list(x ORDER BY d)::FLOAT[] AS v FROM qv GROUP BY id),
+al AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, doc_id) AS rn FROM (SELECT ql.id AS q, dl.id AS doc_id, list_dot_product(dl.v, ql.v) AS s FROM dl, ql) WHERE s >= 0),
+bo AS (SELECT coalesce(a.q, b.q) AS q, a.s AS sa, b.s AS sb FROM (SELECT * FROM hit WHERE rn <= 10) a FULL JOIN (SELECT * FROM al WHERE rn <= 10) b ON a.q = b.q AND a.doc_id = b.doc_id)
+SELECT q AS query_id, count(sa) AS hits_a, count(sb) AS hits_b, count(*) FILTER (sa IS NOT NULL AND sb IS NOT NULL) AS shared,
+  count(sa) = count(sb) AND bool_and(coalesce(abs(sa - sb) / {D} <= 0.001, FALSE)) AS consistent FROM bo GROUP BY q""")
 def search_consistency(spark, sf):
     """Broadcast and grid plans agree on every probe."""
     a = S.search_table(parts(spark, sf), _brand_probes(spark, sf), D, 10)
@@ -321,6 +351,32 @@ def guard_list_wildcard(spark, sf):
     return p.where(guard_predicate(p.schema, {"words": [{"$any": True}, "bolt"]})).select("p_partkey")
 
 
+#: Documents with a key that is absent in some, null in others, and a list or a number elsewhere.
+_TAGGED = """e AS (SELECT event_id, event_id % 5 AS r, CAST(json_extract(props, '$.k') AS INT) AS k, event_type AS t FROM events)"""
+
+
+def _tagged(spark, sf):
+    k, t = F.from_json("props", "k INT")["k"].cast("string"), F.concat(F.lit('"'), "event_type", F.lit('"'))
+    value = F.element_at(F.array(F.lit('{}'), F.lit('{"tag": null}'), F.concat(F.lit('{"tag": '), t, F.lit("}")),
+                                 F.concat(F.lit('{"tag": ['), t, F.lit(", "), k, F.lit("]}")), F.concat(F.lit('{"tag": {"in": '), k, F.lit("}}"))),
+                         (F.col("event_id") % 5 + 1).cast("int"))
+    return spread_table(spark, sf, "events").select("event_id", F.parse_json(value).alias("doc"))
+
+
+def _tag_query(name, guard, sql, doc):
+    @query(f"WITH {_TAGGED} SELECT event_id FROM e WHERE {sql}", name=name)
+    def run(spark, sf):
+        e = _tagged(spark, sf)
+        return e.where(guard_predicate("doc", guard)).select("event_id")
+    run.__doc__ = doc
+
+
+_tag_query("guard_document_existence", {"tag": None}, "r >= 1", "Documents that have the key, whatever its value: null counts, absence does not.")
+_tag_query("guard_document_any_marker", {"tag": {"$any": True}}, "r >= 1", "The same by the marker.")
+_tag_query("guard_document_value", {"tag": "click"}, "r = 2 AND t = 'click'", "A value; lists, null and absent keys do not match.")
+_tag_query("guard_document_nested", {"tag": {"in": 7}}, "r = 4 AND k = 7", "A nested key that most documents lack.")
+
+
 @query("""SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS INT) IN (1, 5, 42)
   AND event_type <> 'error'""")
 def guard_nested_document(spark, sf):
