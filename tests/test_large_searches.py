@@ -196,3 +196,10 @@ def test_spread(spark):
     few = spark.range(100).coalesce(1)
     assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(few).count() == 100
+
+
+def test_pairs_of_blocks_are_dealt_evenly(spark):
+    v = clustered(21, 240)
+    got = B.pairs_above(table_of(spark, v), D, -2.0, block_bytes=20 * D).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert sum(r["count"] for r in got) == 240 * 239
+    assert max(r["count"] for r in got) < 240 * 239 * 0.05                      # 78 pairs of 12 blocks
