@@ -203,3 +203,13 @@ def test_pairs_of_blocks_are_dealt_evenly(spark):
     got = B.pairs_above(table_of(spark, v), D, -2.0, block_bytes=20 * D).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
     assert sum(r["count"] for r in got) == 240 * 239
     assert max(r["count"] for r in got) < 240 * 239 * 0.05                      # 78 pairs of 12 blocks
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 900])
+def test_links_above_have_the_groups_of_all_pairs(spark, block_bytes):
+    v = clustered(22, 150)
+    df = table_of(spark, v)
+    pairs, links = (f(df, D, 0.6, block_bytes=block_bytes) for f in (B.pairs_above, B.links_above))
+    assert links.count() < pairs.count() / 2
+    want, got = ({r.doc_id: r.group for r in Dup.connected_groups(df.select("doc_id"), e).collect()} for e in (pairs, links))
+    assert got == want and len(set(got.values())) > 5
