@@ -213,3 +213,23 @@ def test_links_above_have_the_groups_of_all_pairs(spark, block_bytes):
     assert links.count() < pairs.count() / 2
     want, got = ({r.doc_id: r.group for r in Dup.connected_groups(df.select("doc_id"), e).collect()} for e in (pairs, links))
     assert got == want and len(set(got.values())) > 5
+
+
+@pytest.mark.parametrize("block_bytes, threshold", [(8 << 20, 0.5), (900, 0.5), (900, 0.7)])
+def test_leaders_above_match_the_greedy_order(spark, block_bytes, threshold, monkeypatch):
+    monkeypatch.setattr(B, "STEP", 7)
+    v = clustered(23, 150, flips=20)
+    score, heads, want = v.astype(int) @ v.astype(int).T / D, [], {}
+    for i in range(150):
+        if score[i].max() >= threshold:
+            want[i] = next((h for h in heads if score[i, h] >= threshold), i)
+            heads += [i] if want[i] == i else []
+    got = {r.doc_id: r.leader for r in B.leaders_above(table_of(spark, v), D, threshold, block_bytes=block_bytes).collect()}
+    assert {i: h for i, h in got.items() if i != h} == {i: h for i, h in want.items() if i != h} and set(want) <= set(got)
+    assert B.leaders_above(table_of(spark, v).where("false"), D, threshold).collect() == []
+
+
+def test_groups_and_clusters_make_no_list_of_pairs(spark, monkeypatch):
+    df = table_of(spark, clustered(24, 60))
+    monkeypatch.setattr(B, "pairs_above", None)
+    assert Dup.duplicate_groups(df, D, 0.6).count() and Dup.greedy_duplicates(df, D, 0.6).count()
