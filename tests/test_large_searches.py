@@ -233,3 +233,26 @@ def test_groups_and_clusters_make_no_list_of_pairs(spark, monkeypatch):
     df = table_of(spark, clustered(24, 60))
     monkeypatch.setattr(B, "pairs_above", None)
     assert Dup.duplicate_groups(df, D, 0.6).count() and Dup.greedy_duplicates(df, D, 0.6).count()
+
+
+@pytest.mark.parametrize("k, exclude_self", [(1, True), (7, False)])
+def test_copies_are_compared_once(spark, monkeypatch, k, exclude_self):
+    v = np.concatenate([clustered(25, 60)] * 5)
+    docs, probes = table_of(spark, v), table_of(spark, v, "query_id")
+    want = S.search_table(docs, probes, D, k, None, exclude_self=exclude_self).collect()
+    seen, real = [], S.search_table
+    monkeypatch.setattr(S, "search_table", lambda c, p, *a, **b: seen.append((c.count(), p.count())) or real(c, p, *a, **b))
+    got = S.search_classes(docs, probes, D, k, None, exclude_self=exclude_self).collect()
+    assert sorted(map(tuple, (r.asDict().values() for r in got))) == sorted(map(tuple, (r.asDict().values() for r in want)))
+    n = len(np.unique(v, axis=0))
+    assert seen == [(n * min(5, k + exclude_self) + sum(max(0, min(c, k + exclude_self) - 5) for c in np.unique(v, axis=0, return_counts=True)[1]), n)]
+
+
+@pytest.mark.parametrize("take", [1, 3, 9])
+def test_first_columns_are_those_of_a_stable_sort(take):
+    rng = np.random.default_rng(26)
+    known, asks = rng.integers(-1, 2, (50, 8)).astype(np.int8), rng.integers(-1, 2, (20, 8)).astype(np.int8)
+    score = asks.astype(int) @ known.astype(int).T / 8
+    want = np.argsort(-score, axis=1, kind="stable")[:, :take]
+    order, best = S._first_columns("dot", asks, known.astype(np.float32), take, True)
+    assert (order == want).all() and (best == np.take_along_axis(score, want, axis=1)).all()
