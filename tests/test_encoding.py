@@ -159,3 +159,19 @@ def test_vector_length_is_checked(spark):
     df = spark.createDataFrame([(bytearray(128), bytearray(64))], "a BINARY, b BINARY")
     with pytest.raises(Exception, match="length mismatch"):
         df.select(A.bind("a", "b", 128)).collect()
+
+
+def test_the_cache_of_atoms_counts_what_an_entry_takes(monkeypatch):
+    import tracemalloc
+    from collections import OrderedDict
+
+    from ternweave.functions import codebook
+    monkeypatch.setattr(codebook, "_cache", OrderedDict())
+    monkeypatch.setattr(codebook, "_cached_bytes", 0)
+    monkeypatch.setattr(codebook, "_CACHE_BYTES", 4 << 20)
+    tracemalloc.start()
+    for i in range(40_000):
+        codebook.atom_vector(f"w{i}", 64)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 6 << 20 and len(codebook._cache) > 1000
