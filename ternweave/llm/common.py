@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from ternweave.functions.session import checkpoint_dir
 WORD = re.compile(r"\w+")
 #: A key with at least 1 / HOT_SHARE of all rows is hot; there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
+#: Links that one task joins at a time, and at most in all where components are finished without further rounds.
+LINKS = 2 ** 18
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -196,14 +199,73 @@ def marked(rows: DataFrame, name: str, filter_: DataFrame, bits: int) -> tuple[D
             .withColumn(maybe, F.col(name).isNotNull() & bit_set(F.col(bitmap), cell))), maybe
 
 
+def stars(u: pa.Array, v: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(node, the smallest node that the links u - v connect it with) of all their nodes."""
+    held = pa.concat_arrays([u, v]).dictionary_encode()
+    order = pc.sort_indices(held.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    a, b = np.split(rank[held.indices.to_numpy()], 2)
+    root = np.arange(len(order))
+    while True:
+        x, y = root[a], root[b]
+        on = x != y
+        if not on.any():
+            return held.dictionary.take(pa.array(order)), held.dictionary.take(pa.array(order[root]))
+        a, b, low = a[on], b[on], np.minimum(x[on], y[on])
+        np.minimum.at(root, x[on], low)
+        np.minimum.at(root, y[on], low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def contracted(edges: DataFrame, roots: bool = False) -> DataFrame:
+    """The edges (u, v) with those that a task holds, LINKS of them at a time, replaced by stars around their smallest nodes.
+
+    Connected nodes stay connected.  With ``roots``, a smallest node is a row as well, linked to itself."""
+    def compute(batches):
+        held, n = [], 0
+
+        def close():
+            table = pa.Table.from_batches(held)
+            u, v = stars(*(table.column(c).combine_chunks() for c in ("u", "v")))
+            out = pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
+            return out if roots else out.filter(pc.not_equal(u, v))
+
+        for batch in batches:
+            for part in (batch.slice(i, LINKS) for i in range(0, batch.num_rows, LINKS)):
+                if held and n + part.num_rows > LINKS:
+                    yield close()
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if n:
+            yield close()
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.select("u", "v").mapInArrow(compute, f"u {kind}, v {kind}")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node of the edges: the smallest node that it is connected with.
+    """(node, root) of every node of the edges: the smallest node that it is connected with."""
+    return sized_components(edges, a, b)[0]
+
+
+def sized_components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, bool]:
+    """:func:`components`, and whether they fit a broadcast.
 
-    In each round all neighbours of a node are linked to the smallest of them, until only stars are
-    left.  Edges stay in stored tables, one job per round; minima are combined before the shuffle,
+    Tasks first replace the edges they hold by stars.  If LINKS are left at most, they are joined in one more step, and the
+    result is small enough for a broadcast.  Otherwise, in each round all neighbours of a node are linked to the smallest of them, until only
+    stars are left.  Edges stay in stored tables, one job per round; minima are combined before the shuffle,
     and the neighbours of hot nodes stay where they are."""
+    first, seen = store_counted(contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")), "edges")
+    if seen["n"] <= LINKS:
+        out = store(contracted(first.coalesce(1), roots=True).toDF("node", "root"), "edges")
+        discard(first)
+        return out, True
     mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    now, old = store_counted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges", mark=mark)
+    now, old = store_counted(first.distinct(), "edges", mark=mark)
+    discard(first)
     while old["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count(F.lit(1)).alias("size"))
@@ -216,7 +278,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         old = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), False
+
+
+def merged(state: DataFrame, links: DataFrame, nodes: int, name: str) -> DataFrame:
+    """``state`` of so many ``nodes``, stored, with the classes in its column ``class`` that the links (ca, cb) connect made one."""
+    roots, small = sized_components(links, "ca", "cb")
+    roots = roots.withColumnRenamed("node", "class")
+    if small:
+        both = state.join(F.broadcast(roots), "class", "left")
+    else:
+        both = attach(state, state.groupBy("class").agg(F.count(F.lit(1)).alias("n")).join(roots, "class", "left"), "class", "n", nodes)
+    return store(both.withColumn("class", F.coalesce("root", "class")).select(*state.columns), name)
 
 
 def without_ids(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ternweave.llm.common import (attach, components, discard, give_back, id_filter, join_skewed, kept_by, may_be_in, mix64, portions, slices,
-                                  store, store_counted, word_hashes)
+from ternweave.llm.common import (attach, discard, give_back, id_filter, join_skewed, kept_by, may_be_in, merged, mix64, portions, slices,
+                                  store, store_counted)
 
 SHINGLE = 5
 #: Two sets are linked from this similarity on, in percent.
@@ -20,40 +20,91 @@ PIVOT_ROUNDS = 2
 #: Regions of at most SMALL sets are compared pair by pair, and of at most CELL sets in one task.  Larger ones are split at PIVOTS pivots each,
 #: LEVELS times at most, if their parts hold at most SPREAD times their sets; the others are compared in cells of CELL x CELL sets.
 SMALL, PIVOTS, LEVELS, SPREAD, CELL = 24, 8, 4, 2.0, 256
-#: Length of the count vectors that bound an intersection from above.
-FOLD = 256
+#: Least and largest length of the count vectors that bound an intersection from above.
+FOLD, MOST_FOLD = 256, 2 ** 15
 CHARS = 2_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 class Sets:
     """Sets of five-word shingles, as sorted 64-bit hashes."""
 
+    #: Bytes that are hashed at a time, and of the longest word among them; longer words are hashed one by one.
+    BLOCK, LONGEST = 2 ** 17, 2 ** 12
+
     def __init__(self):
-        self.hashes = word_hashes()
+        lower = np.arange(256, dtype=np.uint64)
+        lower[65:91] += np.uint64(32)
+        self.byte = mix64((lower + np.uint64(1)) * PRIME)
+        self.space = np.isin(np.arange(256), [32, *range(9, 14)])
+        self.power = _powers(int(PRIME), self.BLOCK + self.LONGEST)
+        self.inverse = _powers(pow(int(PRIME), -1, 2 ** 64), self.BLOCK)
+
+    def words(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words at the places [start, end) of the bytes ``text``: the value of a polynomial whose coefficients are the
+        lower-cased bytes, as a difference of its running sums."""
+        out = np.zeros(len(start), np.uint64)
+        cut = np.searchsorted(start, np.arange(0, len(text) + self.BLOCK, self.BLOCK))
+        long = np.flatnonzero(end - start > self.LONGEST)
+        for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            if a == b:
+                continue
+            low = i * self.BLOCK
+            x = self.byte[text[low:low + self.BLOCK + self.LONGEST]]
+            x *= self.power[:len(x)]
+            total = np.zeros(len(x) + 1, np.uint64)
+            np.cumsum(x, out=total[1:])
+            s = start[a:b] - low
+            out[a:b] = (total[np.minimum(end[a:b] - low, len(x))] - total[s]) * self.inverse[s]
+        if len(long):
+            import xxhash
+            out[long] = [xxhash.xxh3_64_intdigest(text[start[i]:end[i]].tobytes().lower()) for i in long.tolist()]
+        return mix64(out + PRIME)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(the sets one after the other, their sizes).  Words are lower-cased (A-Z only) and split at ASCII white space;
         a text of fewer words than a shingle has one, of all its words, and a text without words none."""
-        lists = [t.lower().split() for t in texts]
-        n = np.array([len(w) for w in lists], np.int64)
-        flat = np.fromiter((self.hashes[w] for ws in lists for w in ws), np.uint64, int(n.sum()))
-        value = mix64(flat + PRIME)
+        text = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        gap = np.concatenate([[True], self.space[text]])
+        turn = np.flatnonzero(gap[1:] != gap[:-1])                            # every text ends with a space
+        start, end = turn[::2], turn[1::2]
+        value = self.words(text, start, end)
+        first = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts]))
+        n, first = np.diff(first), first[:-1]
         width = np.minimum(n, SHINGLE)
         per = np.where(n == 0, 0, n - width + 1)
-        first = np.cumsum(n) - n
-        at = np.arange(per.sum()) + np.repeat(first - (np.cumsum(per) - per), per)
-        width = np.repeat(width, per)
-        out = width.astype(np.uint64)
+        edge = np.cumsum(per)
+        out = np.zeros(int(edge[-1]) if len(edge) else 0, np.uint64)
+        whole, spans = max(len(value) - SHINGLE + 1, 0), np.repeat(n >= SHINGLE, per)
+        full = np.full(whole, SHINGLE, np.uint64)
         for i in range(SHINGLE):
-            on = slice(None) if not len(width) or width.min() > i else width > i
-            out[on] = out[on] * PRIME + value[at[on] + i]
+            full *= PRIME
+            full += value[i:i + whole]
+        at = np.ones(len(value), bool)                                        # words that begin a shingle of full width
+        at[whole:] = False
+        for i in range(SHINGLE - 1):
+            at[(first + n - 1 - i)[n > i]] = False
+        out[spans] = full[at[:whole]]
+        few = np.flatnonzero((n > 0) & (n < SHINGLE))
+        short = width[few].astype(np.uint64)
+        for i in range(SHINGLE - 1):
+            on = n[few] > i
+            short[on] = short[on] * PRIME + value[first[few][on] + i]
+        out[edge[few] - 1] = short
         out = mix64(out)
-        edge, sets = np.cumsum(per), []
-        for a, b in zip(edge - per, edge, strict=True):
-            s = np.sort(out[a:b])
-            sets.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s)
-        return (np.concatenate(sets) if sets else out), np.array([len(s) for s in sets], np.int64)
+        for a, b in zip((edge - per).tolist(), edge.tolist(), strict=True):
+            out[a:b].sort()
+        new = np.ones(len(out), bool)
+        new[1:] = out[1:] != out[:-1]
+        new[(edge - per)[per > 0]] = True
+        total = np.concatenate([[0], np.cumsum(new)])
+        return out[new], total[edge] - total[edge - per]
 
     def batches(self, batches, column: str = "text"):
         """(rows, their sets one after the other, their sizes), for bounded runs of rows."""
@@ -135,20 +186,50 @@ def common_size(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def fold(shingles: np.ndarray) -> np.ndarray:
-    """How many of a set's shingles fall into each of FOLD cells, 255 at most.
+    """How many of a set's shingles fall into each cell, 255 at most: FOLD cells, or as many as the set has shingles (a power of two, MOST_FOLD at most).
 
     The L1 distance of two such vectors is at most the size of the sets' symmetric difference: it rules most pairs out, and no linked one."""
-    return np.minimum(np.bincount((shingles % np.uint64(FOLD)).astype(np.int64), minlength=FOLD), 255).astype(np.uint8)
+    n = FOLD
+    while n < min(len(shingles), MOST_FOLD):
+        n *= 2
+    return np.minimum(np.bincount((shingles % np.uint64(n)).astype(np.int64), minlength=n), 255).astype(np.uint8)
+
+
+def narrowed(vector: np.ndarray, n: int) -> np.ndarray:
+    """A fold in ``n`` cells, of one in more."""
+    return vector.reshape(-1, n).sum(0, dtype=np.int16)
 
 
 def may_link(one: np.ndarray, n, two: np.ndarray, m) -> np.ndarray:
-    """Whether sets of sizes n and m may be linked, by their folds."""
+    """Whether sets of sizes n and m may be linked, by their folds in equally many cells."""
     apart = np.abs(one.astype(np.int16) - two.astype(np.int16)).sum(axis=-1, dtype=np.int64)
     return linked((n + m - apart) // 2, n, m)
 
 
-def _folds(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), FOLD)
+class Folds:
+    """Folds of a column, in as many cells as are asked for."""
+
+    def __init__(self, column):
+        self.own = [np.frombuffer(v.as_buffer(), np.uint8) for v in column]
+        self.cells = np.array([len(x) for x in self.own], np.int64)
+        self.base = np.array([narrowed(x, FOLD) for x in self.own], np.int16).reshape(-1, FOLD)
+
+    def at(self, rows: np.ndarray, n: int) -> np.ndarray:
+        return self.base[rows] if n == FOLD else np.array([narrowed(self.own[i], n) for i in rows.tolist()])
+
+
+def near_rows(one: Folds, i: int, n: int, two: Folds, rows: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Those of the ``rows`` of ``two``, of sizes ``m``, that may be linked with row ``i`` of ``one``: coarse folds are compared first."""
+    on = may_link(one.base[i], n, two.base[rows], m)
+    rows, m = rows[on], m[on]
+    cells = np.minimum(two.cells[rows], one.cells[i])
+    keep = np.ones(len(rows), bool)
+    for c in np.unique(cells[cells > FOLD]).tolist():
+        at = np.flatnonzero(cells == c)
+        for a in range(0, len(at), 64):
+            part = at[a:a + 64]
+            keep[part] = may_link(narrowed(one.own[i], c), n, two.at(rows[part], c), m[part])
+    return rows[keep]
 
 
 class Texts:
@@ -157,22 +238,23 @@ class Texts:
 
     def __init__(self, own: DataFrame, feats: DataFrame, state: DataFrame):
         self.own = own
-        self.wanted = store(feats.join(state.select(F.col("node").alias("row")), "row", "left_semi").select(
+        self.wanted, wanted = store_counted(feats.join(state.select(F.col("node").alias("row")), "row", "left_semi").select(
             F.col("row").alias("node"), "mark", "key_a", "key_b"), "join-wanted")
-        self.again = store(feats.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"), "join-again")
-        self.folds = store(self._made(self.wanted, "fold"), "join-folds")
+        self.again, again = store_counted(feats.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"), "join-again")
+        self.repeated = again["n"]
+        self.folds = store(self._made(self.wanted, wanted["n"], "fold"), "join-folds")
 
-    def sets(self, ids: DataFrame, count: int) -> DataFrame:
-        """(node, items), stored, of at most ``count`` nodes."""
-        filter_, bits = id_filter(ids, "node", count)
-        return store(self._made(store(may_be_in(self.wanted, "node", filter_, bits).join(ids, "node", "left_semi"), "join-few"), "items"), "join-sets")
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(node, items), stored, of the nodes ``ids``."""
+        few, seen = store_counted(self.wanted.join(ids, "node", "left_semi"), "join-few")
+        return store(self._made(few, seen["n"], "items"), "join-sets")
 
-    def _made(self, wanted: DataFrame, what: str) -> DataFrame:
-        filter_, bits = id_filter(wanted, "mark", wanted.count())
+    def _made(self, wanted: DataFrame, count: int, what: str) -> DataFrame:
+        filter_, bits = id_filter(wanted, "mark", count)
         texts = may_be_in(self.own.select("mark", "text"), "mark", filter_, bits)
-        if self.again.isEmpty():
+        if not self.repeated:
             return _sets_of(texts, wanted, what)
-        filter_, bits = id_filter(self.again, "mark", self.again.count())
+        filter_, bits = id_filter(self.again, "mark", self.repeated)
         once = texts.join(self.again, "mark", "left_anti")
         twice = may_be_in(texts, "mark", filter_, bits).join(self.again, "mark", "left_semi").distinct()
         return _sets_of(once, wanted, what).unionByName(_sets_of(twice, wanted, what))
@@ -200,8 +282,9 @@ def _verified(pairs: DataFrame, count: int, texts: Texts) -> DataFrame:
         give_back()
         for batch in batches:
             n, m = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
-            keep = may_link(_folds(batch.column("fold_a")), n, _folds(batch.column("fold_b")), m)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names).filter(pa.array(keep))
+            one, two = Folds(batch.column("fold_a")), Folds(batch.column("fold_b"))
+            keep = [bool(len(near_rows(one, i, n[i], two, np.array([i]), m[i:i + 1]))) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names).filter(pa.array(keep, pa.bool_()))
 
     def check(batches):
         give_back()
@@ -219,7 +302,7 @@ def _verified(pairs: DataFrame, count: int, texts: Texts) -> DataFrame:
         rule_out, ", ".join(f"{c} long" for c in names)), "join-near")
     if not seen["n"]:
         return left.select("ca", "cb")
-    sets = texts.sets(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * seen["n"])
+    sets = texts.sets(left.select(F.explode(F.array("a", "b")).alias("node")))
     return with_both(left, seen["n"], sets, "items").select("ca", "cb", "items_a", "items_b").mapInArrow(check, "ca long, cb long")
 
 
@@ -301,10 +384,10 @@ def _cells(rows: DataFrame, count: int, texts: Texts) -> DataFrame:
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
         (a, ca, ha, n), (b, cb, hb, m) = ([t.column(c).to_numpy() for c in ("node", "class", "home", "size")] for t in (x, y))
         same = bool(x.num_rows) and x.column("i")[0].as_py() == x.column("j")[0].as_py()
-        left, right, at, to = _folds(x.column("fold")), _folds(y.column("fold")), [], []
+        left, right, at, to = Folds(x.column("fold")), Folds(y.column("fold")), [], []
         for k in range(len(a)):
             may = np.flatnonzero((cb != ca[k]) & (ha[k] | hb) & ((a[k] < b) if same else (a[k] != b)) & linked(np.minimum(m, n[k]), m, n[k]))
-            may = may[may_link(left[k], n[k], right[may], m[may])]
+            may = near_rows(left, k, n[k], right, may, m[may])
             at += [k] * len(may)
             to += may.tolist()
         return pa.table({"a": a[at], "b": b[to], "ca": ca[at], "cb": cb[to]}) if at else pa.table({c: np.zeros(0, np.int64) for c in ("a", "b", "ca", "cb")})
@@ -313,13 +396,6 @@ def _cells(rows: DataFrame, count: int, texts: Texts) -> DataFrame:
     return side("own", "other").groupBy(*cell).cogroup(side("other", "own").groupBy(*cell)).applyInArrow(compare, "a long, b long, ca long, cb long")
 
 
-def _joined(state: DataFrame, links: DataFrame, nodes: int) -> DataFrame:
-    """The state with the classes of each link (ca, cb) made one."""
-    roots = components(links, "ca", "cb").select(F.col("node").alias("class"), "root")
-    sizes = state.groupBy("class").agg(F.count(F.lit(1)).alias("n")).join(roots, "class", "left")
-    return store(attach(state, sizes, "class", "n", nodes).select("node", "weight", F.coalesce("root", "class").alias("class")), "join-classes")
-
-
 def _sized(rows: DataFrame) -> DataFrame:
     """Regions (region, node, class, home) of several classes, each set of members once, with their size ``n``."""
     seen = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("x"), F.max("class").alias("y"),
@@ -365,7 +441,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             discard(rows, tops)
             if not seen["n"]:
                 break
-            state = _after(state, _verified(pairs, seen["n"], texts).distinct(), near)
+            state = _after(state, _verified(pairs, seen["n"], texts), near)
             discard(pairs)
         state = _ends(placed, state, near, texts)
     named = (groups.join(state.select("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node")))
@@ -380,7 +456,7 @@ def _after(state: DataFrame, links: DataFrame, nodes: int) -> DataFrame:
     found, seen = store_counted(links, "join-links")
     if not seen["n"]:
         return state
-    out = _joined(state, found, nodes)
+    out = merged(state, found, nodes, "join-classes")
     discard(state, found)
     return out
 
@@ -405,8 +481,7 @@ def _ends(placed: DataFrame, state: DataFrame, nodes: int, texts: Texts) -> Data
         if level == LEVELS:
             pairs = pairs.unionByName(_cells(large, count, texts))
         elif not last:
-            ids = large.select("node").distinct()
-            dealt = store(voronoi(large, count, texts.sets(ids, large.count()), level), "join-dealt")
+            dealt = store(voronoi(large, count, texts.sets(large.select("node")), level), "join-dealt")
             parts = dealt.groupBy("region").agg(F.sum(F.size("to")).alias("parts"), F.count(F.lit(1)).alias("n"))
             parts = store(parts.select("region", "n", (F.col("parts") <= SPREAD * F.col("n")).alias("split")), "join-parts")
             marked = attach(dealt.drop("n"), parts, "region", "n", count)
@@ -417,7 +492,7 @@ def _ends(placed: DataFrame, state: DataFrame, nodes: int, texts: Texts) -> Data
         links = _verified(pairs, seen["n"], texts)
         if not last:
             links = links.unionByName(dealt.select(F.col("class").alias("ca"), F.explode("near").alias("cb")))
-        state = _after(state, links.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct(), nodes)
+        state = _after(state, links, nodes)
         if last:
             break
         rows = rows.join(state.select("node", "class"), "node")

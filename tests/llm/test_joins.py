@@ -102,6 +102,38 @@ def test_every_way_through_the_regions_is_exact(spark, monkeypatch, small, level
     assert joined(docs_of(spark, rows)) == brute_components(rows)
 
 
+def test_words_are_hashed_as_they_are_split():
+    rng, sets = random.Random(5), jaccard_join.Sets()
+    odd = [b"", b" ", b"A b", b"a B\t", b"a b c d e", b"A b\x0bc\r\nd e F", b"\xc2\xa0 A", b"x" * 5000 + b" Y", b"X" * 5000 + b" y", b"w" * 300_000 + b" k l m n o p" * 30_000]
+    texts = odd + [b" ".join(rng.choice([b"Aa", b"aa", b"b", b"cc", b"\xc3\xa9"]) for _ in range(rng.randrange(40))) for _ in range(200)]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    want = [shingles(t) for t in texts]
+    flat, size = sets.of(texts)
+    assert size.tolist() == [len(x) for x in want]
+    assert len(set(flat.tolist())) == len(set().union(*want))
+    parts = np.split(flat, np.cumsum(size)[:-1])
+    for t, p in zip(texts, parts, strict=True):                               # whatever else is in the batch
+        assert sets.of([t])[0].tolist() == p.tolist()
+
+
+def test_folds_of_long_sets_rule_out_what_is_not_linked():
+    rng = np.random.default_rng(3)
+    sets, items = [], rng.integers(0, 2 ** 63, 60_000).astype(np.uint64)
+    for n, same in ((9000, 0), (9000, 8000), (9000, 6500), (7500, 7400), (300, 290), (240, 235), (100, 0)):
+        sets.append(np.sort(np.concatenate([items[:same], rng.integers(0, 2 ** 63, n - same).astype(np.uint64)])))
+    folds = jaccard_join.Folds(pa.array([jaccard_join.fold(x).tobytes() for x in sets], pa.binary()))
+    size, rows = np.array([len(x) for x in sets]), np.arange(len(sets))
+    for i, x in enumerate(sets):
+        left = set(jaccard_join.near_rows(folds, i, size[i], folds, rows, size).tolist())
+        linked = {j for j, y in enumerate(sets) if jaccard_join.linked(jaccard_join.common_size(x, y), len(x), len(y))}
+        assert linked <= left
+        assert left <= {j for j, y in enumerate(sets) if 100 * jaccard_join.common_size(x, y) >= 70 * (len(x) + len(y) - jaccard_join.common_size(x, y))}
+    assert jaccard_join.may_link(folds.base[0], size[0], folds.base[1], size[1])       # which short folds do not
+
+
 def test_voronoi_windows_lose_no_link(spark):
     """Every linked pair meets in a region in which one of them is at home."""
     rng = random.Random(9)

@@ -459,6 +459,23 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 0 for i in range(90)}, 200: 200, 201: 200}
 
 
+@pytest.mark.parametrize("most", [3, 2 ** 18])
+def test_components_are_joined_in_tasks_or_in_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "LINKS", most)
+    links = spark.createDataFrame([(f"n{i + 10}", f"n{i + 11}") for i in range(40)] + [("a", f"n{i}") for i in range(60, 90)], "a STRING, b STRING")
+    out, small = common.sized_components(links)
+    assert small == (most > 3)
+    assert dict(map(tuple, out.collect())) == {**{f"n{i}": "n10" for i in range(10, 51)}, **{f"n{i}": "a" for i in range(60, 90)}, "a": "a"}
+
+
+def test_packed_bags_are_what_they_were():
+    rng = np.random.default_rng(1)
+    for counts in (np.ones(50, np.int64), rng.integers(1, 9, 50), np.zeros(0, np.int64)):
+        items = np.unique(rng.integers(0, 2 ** 48, len(counts)).astype(np.uint64))
+        got = near_dedup.unpacked(*near_dedup.packed(items, counts[:len(items)]))
+        assert got[0].tolist() == items.tolist() and got[1].tolist() == counts[:len(items)].tolist()
+
+
 def test_join_skewed_keeps_every_row(spark):
     rows = spark.createDataFrame([(i, 0 if i % 2 else i) for i in range(4000)], "id LONG, k LONG")
     lookup = spark.createDataFrame([(k, k * 10) for k in range(0, 4000, 4)], "k LONG, v LONG")
