@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternweave.llm.common import (attach, components, discard, id_filter, join_skewed, kept_by, may_be_in, mix64, portions, slices,
+from ternweave.llm.common import (attach, discard, id_filter, join_skewed, kept_by, may_be_in, merged, mix64, portions, slices,
                                   store, store_counted, word_hashes, words)
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -140,18 +140,33 @@ def _bags(docs: DataFrame) -> DataFrame:
                     _lists, flat, n = shingles.split(part)
                     text, item, count = shingles.bags(flat, n)
                     edge = np.searchsorted(text, np.arange(1, len(part)))
-                    items += [x.tobytes() for x in np.split(item, edge)]
-                    counts += [x.astype("<u4").tobytes() for x in np.split(count, edge)]
+                    for x, y in zip(np.split(item, edge), np.split(count, edge), strict=True):
+                        x, y = packed(x, y)
+                        items.append(x)
+                        counts.append(y)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(items, pa.binary()), pa.array(counts, pa.binary())],
                                              names=["id", "items", "counts"])
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(compute, f"id {kind}, items binary, counts binary")
 
 
+def packed(items: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """A multiset as bytes: six of each item, and four of each count, none where all are 1."""
+    return items.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), counts.astype("<u4").tobytes() if (counts > 1).any() else b""
+
+
+def unpacked(items, counts) -> tuple[np.ndarray, np.ndarray]:
+    """(items, counts) of buffers of :func:`packed`."""
+    six = np.frombuffer(items, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    n = np.frombuffer(counts, "<u4").astype(np.int64)
+    return out.view("<u8").ravel(), n if len(n) else np.ones(len(six), np.int64)
+
+
 def overlap(items_a: bytes, counts_a: bytes, items_b: bytes, counts_b: bytes) -> tuple[int, int]:
     """(sum of minima, sum of maxima) of two multisets."""
-    a, b = np.frombuffer(items_a, np.uint64), np.frombuffer(items_b, np.uint64)
-    x, y = np.frombuffer(counts_a, "<u4").astype(np.int64), np.frombuffer(counts_b, "<u4").astype(np.int64)
+    (a, x), (b, y) = unpacked(items_a, counts_a), unpacked(items_b, counts_b)
     if not len(a) or not len(b):
         return 0, int(x.sum() + y.sum())
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -171,9 +186,11 @@ def _verified(pairs: DataFrame, count: int, bags: DataFrame, threshold: float) -
                 keep.append(union > 0 and common >= threshold * union - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("ca"), batch.column("cb")], names=["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
-    one = bags.select(F.col("id").alias("a"), F.col("items").alias("ia"), F.col("counts").alias("na"))
-    two = bags.select(F.col("id").alias("b"), F.col("items").alias("ib"), F.col("counts").alias("nb"))
-    both = join_skewed(join_skewed(pairs, two, "b", "a", count), one, "a", "b", count, counted=pairs)
+    def of(c: str) -> DataFrame:                                             # few other bags are moved
+        filter_, bits = id_filter(pairs.select(F.col(c).alias("id")), "id", count)
+        return may_be_in(bags, "id", filter_, bits).select(F.col("id").alias(c), F.col("items").alias(f"i{c}"), F.col("counts").alias(f"n{c}"))
+
+    both = join_skewed(join_skewed(pairs, of("a"), "a", "b", count), of("b"), "b", "a", count, counted=pairs)
     kind = pairs.schema["ca"].dataType.simpleString()
     return both.select("ca", "cb", "ia", "na", "ib", "nb").mapInArrow(check, f"ca {kind}, cb {kind}")
 
@@ -226,11 +243,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 pairs, n = _remaining_pairs(placed, state, count, bags, threshold)
             if not n:
                 break
-            links, found = store_counted(_verified(pairs, n, bags, threshold).distinct(), "near-links")
+            links, found = store_counted(_verified(pairs, n, bags, threshold), "near-links")
             if found["n"]:
-                roots = components(links, "ca", "cb").select(F.col("node").alias("class"), "root")
-                sizes = state.groupBy("class").agg(F.count(F.lit(1)).alias("n")).join(roots, "class", "left")
-                nxt = store(attach(state, sizes, "class", "n", ids).select("id", "weight", F.coalesce("root", "class").alias("class")), "near-classes")
+                nxt = merged(state, links, ids, "near-classes")
                 discard(state)
                 state = nxt
         discard(bags)
@@ -320,12 +335,12 @@ def _sketches(bags: DataFrame) -> DataFrame:
     """(id, sketch): one byte of each of SKETCH signature components."""
     def compute(batches):
         for batch in batches:
-            items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("items")]
-            counts = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("counts")]
+            both = [unpacked(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("items"), batch.column("counts"), strict=True)]
+            items, counts = [x for x, _ in both], [y for _, y in both]
             out = []
             for a, b in portions((max(len(x), 200) for x in items), 200_000):            # 1000 texts at most
                 text = np.repeat(np.arange(b - a), [len(x) for x in items[a:b]])
-                sig = bag_minhash(text, np.concatenate(items[a:b]), np.concatenate(counts[a:b]).astype(np.int64), b - a, SKETCH)
+                sig = bag_minhash(text, np.concatenate(items[a:b]), np.concatenate(counts[a:b]), b - a, SKETCH)
                 out += [x.tobytes() for x in (mix64(sig.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "sketch"])
     return bags.mapInArrow(compute, f"id {bags.schema['id'].dataType.simpleString()}, sketch binary")
