@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternweave.llm.common import (attach, discard, give_back, id_filter, join_skewed, kept_by, may_be_in, merged, mix64, portions, slices,
-                                  store, store_counted)
+                                  store, store_counted, without_ids)
 
 SHINGLE = 5
 #: Two sets are linked from this similarity on, in percent.
 PERCENT = 80
 #: Counters of the sketch of shingle frequencies, and of a part of it that is merged as one row.
-COUNTERS, PART, FANS = 2 ** 21, 2 ** 16, 64
+COUNTERS, PART, FANS = 2 ** 21, 2 ** 16, 8
 #: Rounds in which every set is compared with one pivot before regions are split.
 PIVOT_ROUNDS = 2
 #: Regions of at most SMALL sets are compared pair by pair, and of at most CELL sets in one task.  Larger ones are split at PIVOTS pivots each,
@@ -396,6 +396,40 @@ def _cells(rows: DataFrame, count: int, texts: Texts) -> DataFrame:
     return side("own", "other").groupBy(*cell).cogroup(side("other", "own").groupBy(*cell)).applyInArrow(compare, "a long, b long, ca long, cb long")
 
 
+def _told_apart(met: DataFrame, count: int) -> DataFrame:
+    """(region, node, n) of the regions (region, node, held) that can hold a link, with their number of sets; one region of all that have the same sets.
+
+    Near copies share many of their rarest shingles, each of which is a region of the same sets."""
+    alike = ["n", "low", "high", "members"]
+    regions = met.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"),
+                                        F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
+    once, seen = store_counted(regions.groupBy(*alike).agg(F.min("region").alias("region")).select("region", "n"), "join-alike")
+    filter_, bits = id_filter(once, "region", seen["n"])
+    rows, seen = store_counted(attach(may_be_in(met, "region", filter_, bits), once, "region", "n", count), "join-apart")
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("held").alias("least"), F.max("held").alias("most"))
+    may = sizes.where((F.col("n") > 2) | linked(F.col("least"), F.col("least"), F.col("most"))).select("region", "n")
+    return attach(rows.select("region", "node"), may, "region", "n", seen["n"])
+
+
+def _gathered(rows: DataFrame, count: int) -> DataFrame:
+    """(region, node) of the regions (region, node, n), those made one that have most of their sets in common.
+
+    The sets of a large group of near copies are together in one region for each shingle that most of them share.  A region of more than SMALL sets goes to the one that is
+    the largest for half of its sets or more, where those that go to it have at least as many pairs by themselves as in one.  Sets that share a region always share the
+    one that it goes to."""
+    large = rows.where(F.col("n") > SMALL)
+    main = large.groupBy("node").agg(F.max(F.struct("n", "region")).alias("main")).select("node", F.col("main.region").alias("main"))
+    votes = large.join(main, "node").groupBy("region", "n", "main").agg(F.count(F.lit(1)).alias("votes"))
+    goes = votes.groupBy("region", "n").agg(F.max(F.struct("votes", "main")).alias("to")).where("2 * to.votes >= n").select("region", "n", F.col("to.main").alias("to"))
+    goes = store(goes, "join-goes")
+    moved = store(attach(large.drop("n"), goes, "region", "n", count).select("to", "node").distinct(), "join-moved")
+    pairs = goes.groupBy("to").agg(F.sum(F.col("n") * F.col("n")).alias("apart"), F.count(F.lit(1)).alias("regions")).where("regions > 1")
+    fewer = store(moved.groupBy("to").agg(F.count(F.lit(1)).alias("n")).join(pairs, "to").where("n * n <= apart").select("to", "n"), "join-fewer")
+    stay = rows.where(F.col("n") <= SMALL).unionByName(large.join(goes.join(fewer, "to", "left_semi"), "region", "left_anti"))
+    return stay.select("region", "node").unionByName(
+        attach(moved, fewer, "to", "n", count).select(F.xxhash64("to", F.lit("all")).alias("region"), "node"))
+
+
 def _sized(rows: DataFrame) -> DataFrame:
     """Regions (region, node, class, home) of several classes, each set of members once, with their size ``n``."""
     seen = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("x"), F.max("class").alias("y"),
@@ -422,17 +456,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     level = frequencies(own)
     feats, seen = store_counted(features(own.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "mark", "text"), level), "join-features")
     total, key = seen["n"], ["key_a", "key_b"]
-    groups = store(feats.where("n > 0").groupBy(*key).agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"),
-                                                         F.max(F.size("prefix")).alias("rare")), "join-groups")
-    nodes = feats.join(groups.select(F.col("node").alias("row")), "row", "left_semi")
-    exploded = nodes.select(F.col("row").alias("node"), F.explode("prefix").alias("region"))
+    groups = store(feats.where("n > 0").groupBy(*key).agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")), "join-groups")
+    copies = attach(feats.where("n > 0").select("row", F.struct(*key).alias("key")), groups.where("size > 1").select(F.struct(*key).alias("key"), "node", "size"),
+                    "key", "size", total).where("row <> node").select("row")
+    nodes = without_ids(feats.where("n > 0").select("row", "n", "prefix"), copies, "row")
+    exploded = nodes.select(F.col("row").alias("node"), F.col("n").alias("held"), F.explode("prefix").alias("region"))
     shared, seen = store_counted(exploded.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "join-regions")
     filter_, bits = id_filter(shared, "region", seen["n"])                    # shingles of a single set don't shuffle again
-    placed, seen = store_counted(attach(may_be_in(exploded, "region", filter_, bits), shared, "region", "n", seen["n"] * 2), "join-placed")
+    met, seen = store_counted(may_be_in(exploded, "region", filter_, bits), "join-met")
+    told, seen = store_counted(_told_apart(met, seen["n"]), "join-told")
+    state, nodes = store_counted(told.groupBy("node").agg(F.sum("n").alias("weight")).withColumn("class", F.col("node")), "join-classes")
+    near = nodes["n"]
+    placed, seen = store_counted(_gathered(told, seen["n"]), "join-placed")
     count = seen["n"]
-    state, seen = store_counted(placed.groupBy("node").agg(F.sum("n").alias("weight")).withColumn("class", F.col("node")), "join-classes")
-    placed, near = placed.select("region", "node"), seen["n"]
-    discard(shared)
+    discard(shared, met, told)
     if count:
         texts = Texts(own, feats, state)
         for turn in range(PIVOT_ROUNDS):

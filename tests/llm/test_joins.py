@@ -102,6 +102,40 @@ def test_every_way_through_the_regions_is_exact(spark, monkeypatch, small, level
     assert joined(docs_of(spark, rows)) == brute_components(rows)
 
 
+def test_pairs_of_near_copies_are_compared_once(spark, monkeypatch):
+    """Near copies share many of their rarest shingles, but a pair of them is formed for one of these alone."""
+    rng, made, cells = random.Random(8), [], jaccard_join._cells
+    base = [f"v{i}" for i in range(140)]
+    rows = [(i, " ".join(edited(rng, base, 0.04))) for i in range(120)] + [(i, f"one of {i} texts of its own") for i in range(120, 140)]
+
+    def counted(*args):
+        made.append(cells(*args).count())
+        return cells(*args)
+    monkeypatch.setattr(jaccard_join, "_cells", counted)
+    monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", 0)
+    assert joined(docs_of(spark, rows)) == brute_components(rows)
+    assert 0 < sum(made) <= 120 * 119 // 2
+
+
+def test_regions_of_the_same_sets_are_one(spark):
+    """Sets that meet in a region and may be linked still meet; no region is there twice, and gathered ones form no more pairs."""
+    rng, met = random.Random(4), []
+    for r in range(60):
+        met += [(r, i, 100) for i in range(40) if rng.random() < 0.9] + [(100 + r, 50 + r % 3, 90), (100 + r, 60 + r % 2, 100)]
+        met += [(200 + r, 70, 50), (200 + r, 71, 100), (300 + r, r, 100)]
+    of = collections.defaultdict(set)
+    for r, i, _ in met:
+        of[r].add(i)
+    want = {p for m in of.values() for p in itertools.combinations(sorted(m), 2)} - {(70, 71)}       # 50 of 100 shingles at most
+    told = jaccard_join._told_apart(spark.createDataFrame(met, "region LONG, node LONG, held LONG").repartition(5), len(met))
+    for rows, most in ((told, 66), (jaccard_join._gathered(told, told.count()), 7)):
+        regions = collections.defaultdict(set)
+        for r in rows.collect():
+            regions[r.region].add(r.node)
+        assert {p for m in regions.values() for p in itertools.combinations(sorted(m), 2)} == want
+        assert len({frozenset(m) for m in regions.values()}) == len(regions) <= most
+
+
 def test_words_are_hashed_as_they_are_split():
     rng, sets = random.Random(5), jaccard_join.Sets()
     odd = [b"", b" ", b"A b", b"a B\t", b"a b c d e", b"A b\x0bc\r\nd e F", b"\xc2\xa0 A", b"x" * 5000 + b" Y", b"X" * 5000 + b" y", b"w" * 300_000 + b" k l m n o p" * 30_000]
