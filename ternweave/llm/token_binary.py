@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -83,10 +84,16 @@ class Encoder:
         self.special = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(n)])
-        self._forget()
+        self.words, self.bytes, self.again = Ragged(), 0, np.zeros(256, bool)
 
     def _forget(self) -> None:
-        self.words, self.bytes = Ragged(), 0
+        """Forget the words that have not been met again since they were learned or kept; all, if the others take more than half of the space."""
+        old, keep = self.words, np.flatnonzero(self.again[:len(self.words.index)])
+        names = list(old.index)
+        self.words, self.bytes, self.again = Ragged(), 0, np.zeros(256, bool)
+        self._keep([names[i] for i in keep.tolist()], *old.get(keep))
+        if self.bytes > REMEMBERED // 2:
+            self.words, self.bytes = Ragged(), 0
 
     def _keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.words.add(names, ids, sizes)
@@ -127,18 +134,33 @@ class Encoder:
         if self.bytes > REMEMBERED:
             self._forget()
         whole = [any(s in t for s in self.special) for t in texts]
-        split = [[] if w else t.lower().split() if not unsure(t) else [c for x in t.split(" ") for c in (
-            [x] if UNSURE.search(x) else x.lower().split())] for t, w in zip(texts, whole, strict=True)]
-        names = list(itertools.chain.from_iterable(split))
+        odd = [not w and unsure(t) for t, w in zip(texts, whole, strict=True)]
+        split = [[c for x in t.split(" ") for c in ([x] if UNSURE.search(x) else x.lower().split())] if o else [] for t, o in zip(texts, odd, strict=True)]
+        plain = pc.ascii_split_whitespace(pa.array(["" if w or o else t.lower() for t, w, o in zip(texts, whole, odd, strict=True)], pa.large_string()))
+        names = pc.list_flatten(plain).dictionary_encode()
+        n, distinct = pc.list_value_length(plain).to_numpy(), names.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = self._numbers(distinct + list(itertools.chain.from_iterable(split)))
+        number, other = number[:len(distinct)][names.indices.to_numpy()], number[len(distinct):]
+        if len(other):
+            more = np.array([len(s) for s in split], np.int64)
+            number = np.insert(number, np.repeat(np.cumsum(n), more), other)
+            n = n + more
+        ids, sizes = self.words.get(number)
+        edge = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(n, dtype=np.int64)]
+        out = np.split(ids, edge[:-1]) if len(edge) else []
+        return [np.array(self._library([t])[0], np.uint32) if w else x for t, w, x in zip(texts, whole, out, strict=True)]
+
+    def _numbers(self, names: list[str]) -> np.ndarray:
+        """Places of the words, which are learned if they are new; an empty one has no ids."""
         number = np.fromiter(map(self.words.index.get, names, itertools.repeat(-1)), np.int64, len(names))
+        if len(self.again) < len(self.words.index):
+            self.again = np.concatenate([self.again, np.zeros(len(self.words.start) - len(self.again), bool)])
+        self.again[number[number >= 0]] = True
         if len(missing := np.flatnonzero(number < 0)):
             unknown = [names[i] for i in missing.tolist()]
             self._learn(list(set(unknown)))
             number[missing] = self.words.numbers(unknown)
-        ids, sizes = self.words.get(number)
-        edge = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(s) for s in split], dtype=np.int64)]
-        out = np.split(ids, edge[:-1]) if len(edge) else []
-        return [np.array(self._library([t])[0], np.uint32) if w else x for t, w, x in zip(texts, whole, out, strict=True)]
+        return number
 
 
 def encoder_of(path: str) -> Encoder:

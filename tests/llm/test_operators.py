@@ -136,6 +136,23 @@ def test_token_files(spark, odd, none):
     assert token_binary.token_files(none, model).collect() == []
 
 
+def test_words_met_again_are_not_learned_again(monkeypatch):
+    """A full memory keeps them; ids are the library's, whatever stands between the words."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder, learned = Tokenizer.from_file(path), token_binary.Encoder(path), []
+    learn, forget = encoder._learn, encoder._forget
+    monkeypatch.setattr(token_binary, "REMEMBERED", 100_000)
+    monkeypatch.setattr(encoder, "_learn", lambda new: (learned.extend(new), learn(new)))
+    monkeypatch.setattr(encoder, "_forget", lambda: (learned.append("forgot"), forget()))
+    often = [f"often{i}" for i in range(50)]
+    for k in range(20):
+        once = [f"once{k}x{i}" for i in range(150)]
+        texts = [" ".join(often + once[:70]), "  a\t b \n", "", " ", "\x1c 日本 語 a", "\n".join(once[70:]) + " İx ", "<|endoftext|> a"]
+        assert [x.tolist() for x in encoder(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert learned.count("forgot") > 2
+    assert all(learned.count(w) == 1 for w in often)
+
+
 # ---- 3 ---------------------------------------------------------------------------------------
 
 def test_exact_dedup(spark, odd, none):
