@@ -20,8 +20,9 @@ PIVOT_ROUNDS = 2
 #: Regions of at most SMALL sets are compared pair by pair, and of at most CELL sets in one task.  Larger ones are split at PIVOTS pivots each,
 #: LEVELS times at most, if their parts hold at most SPREAD times their sets; the others are compared in cells of CELL x CELL sets.
 SMALL, PIVOTS, LEVELS, SPREAD, CELL = 24, 8, 4, 2.0, 256
-#: Least and largest length of the count vectors that bound an intersection from above.
-FOLD, MOST_FOLD = 256, 2 ** 15
+#: Least and largest length, in bits, of the parity vectors that bound an intersection from above, and 64-bit words of a least one.
+FOLD, MOST_FOLD = 512, 2 ** 18
+WORDS = FOLD // 64
 CHARS = 2_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -152,7 +153,7 @@ def prefix(shingles: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """(row, doc_id, mark, key_a, key_b, n, prefix) of documents (row, doc_id, mark, text): the key is 128 bits of the set."""
+    """(row, doc_id, mark, key_a, key_b, n, prefix, fold) of documents (row, doc_id, mark, text): the key is 128 bits of the set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def compute(batches):
@@ -164,10 +165,11 @@ def features(docs: DataFrame, level: np.ndarray) -> DataFrame:
             rare = [prefix(s, level).view(np.int64) for s in sets]
             ends = np.cumsum([0] + [len(r) for r in rare]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare)))
+            folds = pa.array([fold(s).tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("row", "doc_id", "mark")]
-                                             + [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(size), lists],
-                                             names=["row", "doc_id", "mark", "key_a", "key_b", "n", "prefix"])
-    return docs.mapInArrow(compute, f"row long, doc_id {kind}, mark long, key_a long, key_b long, n long, prefix array<long>")
+                                             + [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(size), lists, folds],
+                                             names=["row", "doc_id", "mark", "key_a", "key_b", "n", "prefix", "fold"])
+    return docs.mapInArrow(compute, f"row long, doc_id {kind}, mark long, key_a long, key_b long, n long, prefix array<long>, fold binary")
 
 
 def linked(common, n, m):
@@ -185,83 +187,97 @@ def common_size(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
+def sizes_fit(n: Column, m: Column) -> Column:
+    """Whether sets of sizes n and m may be linked, whatever they hold."""
+    return linked(F.least(n, m), n, m)
+
+
 def fold(shingles: np.ndarray) -> np.ndarray:
-    """How many of a set's shingles fall into each cell, 255 at most: FOLD cells, or as many as the set has shingles (a power of two, MOST_FOLD at most).
+    """Whether an odd number of a set's shingles falls into each cell, one bit per cell: FOLD cells, or as many as the set has shingles
+    (a power of two, MOST_FOLD at most).
 
-    The L1 distance of two such vectors is at most the size of the sets' symmetric difference: it rules most pairs out, and no linked one."""
+    A cell in which two such vectors differ has a shingle of only one of the sets: their number is at most the size of the sets'
+    symmetric difference.  It rules most pairs out, and no linked one."""
     n = FOLD
     while n < min(len(shingles), MOST_FOLD):
         n *= 2
-    return np.minimum(np.bincount((shingles % np.uint64(n)).astype(np.int64), minlength=n), 255).astype(np.uint8)
+    odd = np.bincount((shingles % np.uint64(n)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
-def narrowed(vector: np.ndarray, n: int) -> np.ndarray:
-    """A fold in ``n`` cells, of one in more."""
-    return vector.reshape(-1, n).sum(0, dtype=np.int16)
+def narrowed(vector: np.ndarray, words: int) -> np.ndarray:
+    """A fold of so many 64-bit words, of one of more."""
+    return np.bitwise_xor.reduce(vector.reshape(-1, words), axis=0)
 
 
 def may_link(one: np.ndarray, n, two: np.ndarray, m) -> np.ndarray:
-    """Whether sets of sizes n and m may be linked, by their folds in equally many cells."""
-    apart = np.abs(one.astype(np.int16) - two.astype(np.int16)).sum(axis=-1, dtype=np.int64)
-    return linked((n + m - apart) // 2, n, m)
+    """Whether sets of sizes n and m may be linked, by their folds of equally many words."""
+    apart = np.bitwise_count(one ^ two).sum(axis=-1, dtype=np.int64)
+    return linked(np.minimum((n + m - apart) // 2, np.minimum(n, m)), n, m)
 
 
 class Folds:
-    """Folds of a column, in as many cells as are asked for."""
+    """Folds of a column, of as many words as are asked for."""
 
     def __init__(self, column):
-        self.own = [np.frombuffer(v.as_buffer(), np.uint8) for v in column]
-        self.cells = np.array([len(x) for x in self.own], np.int64)
-        self.base = np.array([narrowed(x, FOLD) for x in self.own], np.int16).reshape(-1, FOLD)
+        self.own = [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
+        self.words = np.array([len(x) for x in self.own], np.int64)
+        self.base = np.array([narrowed(x, WORDS) for x in self.own], np.uint64).reshape(-1, WORDS)
 
-    def at(self, rows: np.ndarray, n: int) -> np.ndarray:
-        return self.base[rows] if n == FOLD else np.array([narrowed(self.own[i], n) for i in rows.tolist()])
+    def at(self, rows: np.ndarray, words: int) -> np.ndarray:
+        return self.base[rows] if words == WORDS else np.array([narrowed(self.own[i], words) for i in rows.tolist()])
 
 
 def near_rows(one: Folds, i: int, n: int, two: Folds, rows: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Those of the ``rows`` of ``two``, of sizes ``m``, that may be linked with row ``i`` of ``one``: coarse folds are compared first."""
     on = may_link(one.base[i], n, two.base[rows], m)
     rows, m = rows[on], m[on]
-    cells = np.minimum(two.cells[rows], one.cells[i])
+    words = np.minimum(two.words[rows], one.words[i])
     keep = np.ones(len(rows), bool)
-    for c in np.unique(cells[cells > FOLD]).tolist():
-        at = np.flatnonzero(cells == c)
+    for c in np.unique(words[words > WORDS]).tolist():
+        at = np.flatnonzero(words == c)
         for a in range(0, len(at), 64):
             part = at[a:a + 64]
             keep[part] = may_link(narrowed(one.own[i], c), n, two.at(rows[part], c), m[part])
     return rows[keep]
 
 
+def near_pairs(one: Folds, n: np.ndarray, two: Folds, m: np.ndarray) -> np.ndarray:
+    """Whether row i of ``one``, of size n[i], may be linked with row i of ``two``, of size m[i]."""
+    keep = may_link(one.base, n, two.base, m)
+    words = np.minimum(one.words, two.words)
+    for i in np.flatnonzero(keep & (words > WORDS)).tolist():
+        keep[i] = may_link(narrowed(one.own[i], words[i]), n[i], narrowed(two.own[i], words[i]), m[i])
+    return keep
+
+
 class Texts:
-    """The sets of nodes, made from their texts again whenever they are needed: folds are stored for all nodes, and sets for the few
+    """The sets of nodes, made from their texts again whenever they are needed: folds are stored for all, and sets for the few
     whose pairs the folds leave.  Rows of the same id and text are combined first."""
 
     def __init__(self, own: DataFrame, feats: DataFrame, state: DataFrame):
         self.own = own
-        self.wanted, wanted = store_counted(feats.join(state.select(F.col("node").alias("row")), "row", "left_semi").select(
+        self.folds = feats.where("n > 0").select(F.col("row").alias("node"), F.col("n").alias("size"), "fold")
+        self.wanted = store(feats.join(state.select(F.col("node").alias("row")), "row", "left_semi").select(
             F.col("row").alias("node"), "mark", "key_a", "key_b"), "join-wanted")
         self.again, again = store_counted(feats.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"), "join-again")
         self.repeated = again["n"]
-        self.folds = store(self._made(self.wanted, wanted["n"], "fold"), "join-folds")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(node, items), stored, of the nodes ``ids``."""
         few, seen = store_counted(self.wanted.join(ids, "node", "left_semi"), "join-few")
-        return store(self._made(few, seen["n"], "items"), "join-sets")
-
-    def _made(self, wanted: DataFrame, count: int, what: str) -> DataFrame:
-        filter_, bits = id_filter(wanted, "mark", count)
+        filter_, bits = id_filter(few, "mark", seen["n"])
         texts = may_be_in(self.own.select("mark", "text"), "mark", filter_, bits)
         if not self.repeated:
-            return _sets_of(texts, wanted, what)
+            return store(_sets_of(texts, few), "join-sets")
         filter_, bits = id_filter(self.again, "mark", self.repeated)
         once = texts.join(self.again, "mark", "left_anti")
         twice = may_be_in(texts, "mark", filter_, bits).join(self.again, "mark", "left_semi").distinct()
-        return _sets_of(once, wanted, what).unionByName(_sets_of(twice, wanted, what))
+        return store(_sets_of(once, few).unionByName(_sets_of(twice, few)), "join-sets")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, what: str) -> DataFrame:
-    """(node, size, fold), or (node, items), of the ``wanted(node, mark, key_a, key_b)`` from documents (mark, text)."""
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, items) of the ``wanted(node, mark, key_a, key_b)`` from documents (mark, text)."""
     def compute(batches):
         import xxhash
         give_back()
@@ -269,11 +285,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, what: str) -> DataFrame:
             parts = np.split(flat, np.cumsum(size)[:-1])
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in parts), np.int64).reshape(-1, 2)
             same = (rows.column("key_a").to_numpy() == keys[:, 0]) & (rows.column("key_b").to_numpy() == keys[:, 1])
-            made = [pa.array(size), pa.array([fold(s).tobytes() for s in parts], pa.binary())] if what == "fold" else [pa.array([s.tobytes() for s in parts], pa.binary())]
-            yield pa.RecordBatch.from_arrays([rows.column("node"), *made], names=["node", *names]).filter(pa.array(same))
+            items = pa.array([s.tobytes() for s in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column("node"), items], names=["node", "items"]).filter(pa.array(same))
 
-    names = ["size", "fold"] if what == "fold" else ["items"]
-    return docs.join(wanted, "mark").mapInArrow(compute, "node long, size long, fold binary" if what == "fold" else "node long, items binary")
+    return docs.join(wanted, "mark").mapInArrow(compute, "node long, items binary")
 
 
 def _verified(pairs: DataFrame, count: int, texts: Texts) -> DataFrame:
@@ -283,7 +298,7 @@ def _verified(pairs: DataFrame, count: int, texts: Texts) -> DataFrame:
         for batch in batches:
             n, m = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
             one, two = Folds(batch.column("fold_a")), Folds(batch.column("fold_b"))
-            keep = [bool(len(near_rows(one, i, n[i], two, np.array([i]), m[i:i + 1]))) for i in range(batch.num_rows)]
+            keep = near_pairs(one, n, two, m)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names).filter(pa.array(keep, pa.bool_()))
 
     def check(batches):
@@ -307,29 +322,31 @@ def _verified(pairs: DataFrame, count: int, texts: Texts) -> DataFrame:
 
 
 def _open_regions(placed: DataFrame, state: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(rows (region, node, class), regions of several classes (region, top, n)): ``top`` is the largest class with
+    """(rows (region, node, held, class), regions of several classes (region, top, n)): ``top`` is the largest class with
     its number of sets and its pivot, a member that is in many large regions."""
     rows = store(placed.join(state, "node"), "join-rows")
     chance = F.lit(1.0) if turn == 0 else 0.6 + 0.4 * F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000)) / 1000
-    pivot = F.max(F.struct((F.col("weight") * chance).alias("w"), "node")).alias("pivot")
+    pivot = F.max(F.struct((F.col("weight") * chance).alias("w"), "node", "held")).alias("pivot")
     tops = (rows.groupBy("region", "class").agg(F.count(F.lit(1)).alias("n"), pivot)
-            .groupBy("region").agg(F.max(F.struct("n", F.col("pivot.node").alias("node"), "class")).alias("top"),
+            .groupBy("region").agg(F.max(F.struct("n", F.col("pivot.node").alias("node"), "class", F.col("pivot.held").alias("held"))).alias("top"),
                                    F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1"))
     return rows, store(tops, "join-tops")
 
 
 def _pivot_pairs(rows: DataFrame, tops: DataFrame, count: int) -> DataFrame:
-    """A set and the pivot of the largest class, of all that its regions have, that it isn't in: a pair (a, b, ca, cb) per set."""
-    rest = attach(rows, tops, "region", "n", count).where("class <> top.class")
+    """A set and the pivot of the largest class, of all that its regions have, that it isn't in and may be linked with by size: a pair (a, b, ca, cb) per set."""
+    rest = attach(rows, tops, "region", "n", count).where((F.col("class") != F.col("top.class")) & sizes_fit(F.col("held"), F.col("top.held")))
     best = F.max(F.struct(F.col("top.n").alias("n"), F.col("top.node").alias("node"), F.col("top.class").alias("class"))).alias("to")
     return (rest.groupBy("node", "class").agg(best)
             .select(F.col("node").alias("a"), F.col("to.node").alias("b"), F.col("class").alias("ca"), F.col("to.class").alias("cb")))
 
 
 def _pairs_within(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, ca, cb) of different classes in one region (region, node, class, home) of at most SMALL sets; one of them is at home."""
-    one, two = (rows.select("region", *[F.col(c).alias(n) for c, n in (("node", x), ("class", "c" + x), ("home", "h" + x))]) for x in "ab")
-    return one.join(two, "region").where("a < b and ca <> cb and (ha or hb)").select("a", "b", "ca", "cb").distinct()
+    """Pairs (a, b, ca, cb) of different classes in one region (region, node, held, class, home) of at most SMALL sets, which may be linked by
+    their sizes ``held``; one of them is at home."""
+    one, two = (rows.select("region", *[F.col(c).alias(n) for c, n in (("node", x), ("class", "c" + x), ("home", "h" + x), ("held", "n" + x))]) for x in "ab")
+    near = one.join(two, "region").where(F.expr("a < b and ca <> cb and (ha or hb)") & sizes_fit(F.col("na"), F.col("nb")))
+    return near.select("a", "b", "ca", "cb").distinct()
 
 
 def voronoi(rows: DataFrame, count: int, sets: DataFrame, level: int) -> DataFrame:
@@ -397,7 +414,7 @@ def _cells(rows: DataFrame, count: int, texts: Texts) -> DataFrame:
 
 
 def _told_apart(met: DataFrame, count: int) -> DataFrame:
-    """(region, node, n) of the regions (region, node, held) that can hold a link, with their number of sets; one region of all that have the same sets.
+    """(region, node, held, n) of the regions (region, node, held) that can hold a link, with their number of sets; one region of all that have the same sets.
 
     Near copies share many of their rarest shingles, each of which is a region of the same sets."""
     alike = ["n", "low", "high", "members"]
@@ -407,8 +424,8 @@ def _told_apart(met: DataFrame, count: int) -> DataFrame:
     filter_, bits = id_filter(once, "region", seen["n"])
     rows, seen = store_counted(attach(may_be_in(met, "region", filter_, bits), once, "region", "n", count), "join-apart")
     sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("held").alias("least"), F.max("held").alias("most"))
-    may = sizes.where((F.col("n") > 2) | linked(F.col("least"), F.col("least"), F.col("most"))).select("region", "n")
-    return attach(rows.select("region", "node"), may, "region", "n", seen["n"])
+    may = sizes.where((F.col("n") > 2) | sizes_fit(F.col("least"), F.col("most"))).select("region", "n")
+    return attach(rows.select("region", "node", "held"), may, "region", "n", seen["n"])
 
 
 def _gathered(rows: DataFrame, count: int) -> DataFrame:
@@ -465,7 +482,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     filter_, bits = id_filter(shared, "region", seen["n"])                    # shingles of a single set don't shuffle again
     met, seen = store_counted(may_be_in(exploded, "region", filter_, bits), "join-met")
     told, seen = store_counted(_told_apart(met, seen["n"]), "join-told")
-    state, nodes = store_counted(told.groupBy("node").agg(F.sum("n").alias("weight")).withColumn("class", F.col("node")), "join-classes")
+    state, nodes = store_counted(told.groupBy("node").agg(F.sum("n").alias("weight"), F.max("held").alias("held")).withColumn("class", F.col("node")), "join-classes")
     near = nodes["n"]
     placed, seen = store_counted(_gathered(told, seen["n"]), "join-placed")
     count = seen["n"]
@@ -481,9 +498,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             state = _after(state, _verified(pairs, seen["n"], texts), near)
             discard(pairs)
         state = _ends(placed, state, near, texts)
-    named = (groups.join(state.select("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node")))
+    named = store(groups.join(state.select("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node")), "join-classed")
     least = named.groupBy("class").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("sets"))
-    named = attach(named.select("class", *key, "size"), least, "class", "sets", total).select(*key, "size", "component_id")
+    named = store(attach(named.select("class", *key, "size"), least, "class", "sets", total).select(*key, "size", "component_id"), "join-named")
     return (attach(feats.where("n > 0").select("doc_id", "n", F.struct(*key).alias("key")), named.select(F.struct(*key).alias("key"), "size", "component_id"),
                    "key", "size", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
             .unionByName(feats.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
@@ -502,35 +519,35 @@ def _ends(placed: DataFrame, state: DataFrame, nodes: int, texts: Texts) -> Data
     """The final state: regions that still have several classes are split and compared until none is left.
 
     A region that is too large for a task is split where its parts hold at most SPREAD times its sets, guests included; another one is compared as it is."""
-    rows = placed.join(state.select("node", "class"), "node").withColumn("home", F.lit(True))
+    rows = placed.join(state.select("node", "held", "class"), "node").withColumn("home", F.lit(True))
     for level in range(LEVELS + 1):
-        rows = store(rows.select("region", "node", "class", "home"), "join-level")
+        rows = store(rows.select("region", "node", "held", "class", "home"), "join-level")
         sized = store(_sized(rows), "join-sized")
         count = sized.agg(F.sum("n")).first()[0] or 0
         if not count:
             break
         open_ = store(attach(rows, sized, "region", "n", count), "join-open")
         discard(rows, sized)
-        pairs = _pairs_within(open_.where(F.col("n") <= SMALL).drop("n")).unionByName(
-            _cells(open_.where((F.col("n") > SMALL) & (F.col("n") <= CELL)), count, texts))
-        large = store(open_.where(F.col("n") > CELL), "join-large")
+        large = open_.where(F.col("n") > CELL)
         last = level == LEVELS or large.isEmpty()
-        if level == LEVELS:
-            pairs = pairs.unionByName(_cells(large, count, texts))
-        elif not last:
+        whole = open_.where(F.col("n") > SMALL)                               # what is compared in cells
+        if not last:
             dealt = store(voronoi(large, count, texts.sets(large.select("node")), level), "join-dealt")
             parts = dealt.groupBy("region").agg(F.sum(F.size("to")).alias("parts"), F.count(F.lit(1)).alias("n"))
             parts = store(parts.select("region", "n", (F.col("parts") <= SPREAD * F.col("n")).alias("split")), "join-parts")
-            marked = attach(dealt.drop("n"), parts, "region", "n", count)
-            pairs = pairs.unionByName(_cells(marked.where("not split").select("region", "node", "class", "home", "n"), count, texts))
-            moved = marked.where("split").select("region", "node", "home", F.explode(F.arrays_zip("to", "stays")).alias("t"))
+            cut = store(attach(dealt.drop("n"), parts, "region", "n", count), "join-cut")
+            whole = whole.where(F.col("n") <= CELL).select("region", "node", "class", "home", "n").unionByName(
+                cut.where("not split").select("region", "node", "class", "home", "n"))
+            moved = cut.where("split").select("region", "node", "home", F.explode(F.arrays_zip("to", "stays")).alias("t"))
             rows = moved.select(F.xxhash64("region", "t.to").alias("region"), "node", (F.col("home") & F.col("t.stays")).alias("home"))
+        pairs = _pairs_within(open_.where(F.col("n") <= SMALL).drop("n")).unionByName(_cells(whole, count, texts))
         pairs, seen = store_counted(pairs.distinct(), "join-pairs")
         links = _verified(pairs, seen["n"], texts)
         if not last:
             links = links.unionByName(dealt.select(F.col("class").alias("ca"), F.explode("near").alias("cb")))
         state = _after(state, links, nodes)
+        discard(open_, pairs)
         if last:
             break
-        rows = rows.join(state.select("node", "class"), "node")
+        rows = rows.join(state.select("node", "held", "class"), "node")
     return state

@@ -168,6 +168,22 @@ def test_folds_of_long_sets_rule_out_what_is_not_linked():
     assert jaccard_join.may_link(folds.base[0], size[0], folds.base[1], size[1])       # which short folds do not
 
 
+def test_pairs_are_listed_where_sizes_may_link_and_folds_are_a_bit_a_cell(spark):
+    """Pairs move with their folds, so few of them and short ones are moved."""
+    size = [100, 81, 80, 79, 300, 240, 20]
+    rows = spark.createDataFrame([(1, i, i, n, True) for i, n in enumerate(size)], "region LONG, node LONG, class LONG, held LONG, home BOOLEAN")
+    want = {(a, b) for a, b in itertools.combinations(range(7), 2) if 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b])}
+    assert {(r.a, r.b) for r in jaccard_join._pairs_within(rows).collect()} == want
+    tops = spark.createDataFrame([(1, (7, 0, 0, 100), 7)], "region LONG, top STRUCT<n: LONG, node: LONG, class: LONG, held: LONG>, n LONG")
+    assert {(r.a, r.b) for r in jaccard_join._pivot_pairs(rows, tops, 7).collect()} == {(1, 0), (2, 0)}
+    items = np.random.default_rng(6).integers(0, 2 ** 63, 700).astype(np.uint64)
+    assert [len(jaccard_join.fold(items[:n]).tobytes()) for n in (0, 1, 512, 513, 700)] == [64, 64, 64, 128, 128]
+    folds = jaccard_join.Folds(pa.array([jaccard_join.fold(items[a:b]).tobytes() for a, b in ((0, 700), (60, 640), (300, 700), (0, 0))], pa.binary()))
+    n = np.array([700, 580, 400, 0])
+    keep = [jaccard_join.near_pairs(folds, n, jaccard_join.Folds(pa.array([folds.own[0].tobytes()] * 4, pa.binary())), np.full(4, 700))]
+    assert [x.tolist() for x in keep] == [[True, True, False, False]]
+
+
 def test_voronoi_windows_lose_no_link(spark):
     """Every linked pair meets in a region in which one of them is at home."""
     rng = random.Random(9)
