@@ -175,3 +175,19 @@ def test_the_cache_of_atoms_counts_what_an_entry_takes(monkeypatch):
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert held < 6 << 20 and len(codebook._cache) > 1000
+
+
+def test_atoms_of_a_batch_are_read_at_once_and_recurring_ones_are_kept(monkeypatch):
+    import ternweave.functions.codebook as codebook
+    words = [f"w{i}" for i in range(400)]
+    want = np.stack([atom_vector(w, 128) for w in words])
+    monkeypatch.setattr(codebook, "_CACHE_BYTES", 100 * 2 * (128 + 240))
+    monkeypatch.setattr(codebook, "_books", {}, raising=False)
+    monkeypatch.setattr(codebook, "atom_vector", None)
+    derived, real = [], getattr(codebook, "_derived", None)
+    monkeypatch.setattr(codebook, "_derived", lambda a, d: derived.extend(a) or real(a, d), raising=False)
+    for s in range(0, 400, 40):
+        some = [*words[:20], *words[s:s + 40], "w3"]
+        assert (codebook.atom_matrix(some, 128) == np.concatenate([want[:20], want[s:s + 40], want[3:4]])).all()
+    assert set(derived) == set(words) and derived.count("w7") <= 2 and len(codebook._books[128].new[0]) <= 100
+    assert (codebook.atom_matrix(words, 128) == want).all() and codebook.atom_matrix([], 128).shape == (0, 128)

@@ -46,6 +46,30 @@ def test_pairs_above_match_brute_force(spark, block_bytes, threshold):
     assert B.pairs_above(table_of(spark, v).where("false"), D, threshold).collect() == []
 
 
+@pytest.mark.parametrize("dims, threshold", [(64, 0.4), (128, 0.75), (128, 0.004), (192, 0.5)])
+def test_pairs_have_rounded_scores_and_bytes_never_overflow(spark, dims, threshold):
+    """Full vectors with copies and opposites have the largest products there are; rounding is that of Spark."""
+    rng = np.random.default_rng(31)
+    v = np.where(rng.random((6, dims)) < 0.5, -1, 1).astype(np.int8)[rng.integers(0, 6, 100)]
+    for row in v[20:]:
+        at = rng.integers(0, dims, rng.integers(0, 20))
+        row[at] = rng.integers(-1, 2, len(at))
+    v[5:8], v[8] = v[4], -v[4]
+    score = v.astype(int) @ v.astype(int).T / dims
+    want = sorted((i, j, float(score[i, j])) for i in range(100) for j in range(100) if i != j and score[i, j] >= threshold)
+    got = B.pairs_above(table_of(spark, v), dims, threshold, digits=6)
+    assert sorted(map(tuple, B.pairs_above(table_of(spark, v), dims, threshold).collect())) == want
+    rounded = spark.createDataFrame(want, "doc_id LONG, other_id LONG, score DOUBLE").withColumn("score", F.round("score", 6))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rounded.collect()))
+
+
+def test_tasks_give_a_list_per_row_not_a_row_per_pair(spark, monkeypatch):
+    v, rows, real = clustered(32, 150), [], B._compared
+    monkeypatch.setattr(B, "_compared", lambda *a: rows.append(real(*a)) or rows[-1])
+    pairs = B.pairs_above(table_of(spark, v), D, 0.4).count()
+    assert rows[0].count() < pairs / 4
+
+
 def test_pairs_above_of_float_vectors(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(60, 5))
