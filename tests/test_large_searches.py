@@ -280,3 +280,19 @@ def test_first_columns_are_those_of_a_stable_sort(take):
     want = np.argsort(-score, axis=1, kind="stable")[:, :take]
     order, best = S._first_columns("dot", asks, known.astype(np.float32), take, True)
     assert (order == want).all() and (best == np.take_along_axis(score, want, axis=1)).all()
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 900])
+def test_a_large_group_costs_a_link_per_document_not_per_pair_of_blocks(spark, block_bytes):
+    """300 documents of one group in up to 22 blocks, with pivots first; a chain through documents that no pivot reaches is kept."""
+    rng = np.random.default_rng(33)
+    v = np.repeat(rng.integers(-1, 2, (1, D)), 300, axis=0).astype(np.int8)
+    for row in v:
+        row[rng.integers(0, D, 3)] = 0
+    v = np.concatenate([v, clustered(34, 20, groups=9)])
+    df = table_of(spark, v)
+    links = B.links_above(df, D, 0.45, block_bytes=block_bytes)
+    assert links.count() < 1600
+    got, want = ({r.doc_id: r.group for r in Dup.connected_groups(df.select("doc_id"), e).collect()} for e in (links, B.pairs_above(df, D, 0.45)))
+    assert got == want and 3 < len(set(got.values())) < 20
+    assert B.links_above(df.where("false"), D, 0.45).collect() == []
