@@ -296,3 +296,23 @@ def test_a_large_group_costs_a_link_per_document_not_per_pair_of_blocks(spark, b
     got, want = ({r.doc_id: r.group for r in Dup.connected_groups(df.select("doc_id"), e).collect()} for e in (links, B.pairs_above(df, D, 0.45)))
     assert got == want and 3 < len(set(got.values())) < 20
     assert B.links_above(df.where("false"), D, 0.45).collect() == []
+
+
+@pytest.mark.parametrize("few", [1e9, 3.0, -1.0])
+def test_the_rest_of_the_order_is_decided_by_its_links(spark, few, monkeypatch):
+    """Blocks of 20 rows: one round and then the links, rounds until few links are left, or rounds alone give the same leaders."""
+    monkeypatch.setattr(B, "DECIDED", 20)
+    monkeypatch.setattr(B, "FEW_LINKS", few)
+    listed = []
+    links = B.earlier_links
+    monkeypatch.setattr(B, "earlier_links", lambda *a: listed.append(1) or links(*a))
+    v = np.unique(clustered(35, 220, flips=20), axis=0)
+    v = v[np.random.default_rng(36).permutation(len(v))]
+    score, heads, want = v.astype(int) @ v.astype(int).T / D, [], {}
+    for i in range(len(v)):
+        if score[i].max() >= 0.5:
+            want[i] = next((h for h in heads if score[i, h] >= 0.5), i)
+            heads += [i] if want[i] == i else []
+    got = [tuple(r) for r in B.leaders_above(table_of(spark, v), D, 0.5).collect()]
+    assert sorted(got) == sorted(want.items()) and len(set(want.values())) < len(want)
+    assert bool(listed) == (few > 0)
